@@ -7,18 +7,20 @@ Gaussian here, and the noise is estimated by a first fit.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, VectorAssembler
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.operators.encode import one_hot
+from tripledger.operators.encode import declared_size, one_hot
 
 # Default settings and prior scales; all of them are parameters of the fit.
 TREND_PRIOR = 5.0
@@ -53,7 +55,7 @@ class Settings:
     changepoint_prior: float = CHANGEPOINT_PRIOR
     seasonality_prior: float = SEASONALITY_PRIOR
     regressor_prior: float = REGRESSOR_PRIOR
-    seasons: tuple[tuple[str, float, int], ...] = field(default=(YEARLY, WEEKLY))
+    seasons: tuple[tuple[str, float, int], ...] = (YEARLY, WEEKLY)
 
 
 def day_number(day: Column) -> Column:
@@ -106,83 +108,122 @@ def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
     )
 
 
-def trend(day: Column, calendar: Calendar) -> Column:
+# The design columns are SQL text: a model has about a hundred of them, and one
+# parsed array is far cheaper to plan than as many column objects.
+DAY = "unix_date(ds)"
+
+
+def sql_double(value: float) -> str:
+    return f"CAST({float(value)!r} AS DOUBLE)"
+
+
+def trend(calendar: Calendar) -> str:
     """Position in the training history: 0 at its first day, 1 at its last."""
-    return (day_number(day) - calendar.first_day) / F.lit(float(calendar.span))
+    return f"({DAY} - {calendar.first_day}) / {sql_double(calendar.span)}"
 
 
-def hinge(day: Column, point: float, calendar: Calendar) -> Column:
-    """Trend time passed since a changepoint."""
-    return F.greatest(F.lit(0.0), (day_number(day) - F.lit(point)) / F.lit(float(calendar.span)))
+def hinge(point: float, calendar: Calendar) -> str:
+    """Trend time passed since a changepoint, 0 before it."""
+    return f"greatest({sql_double(0)}, ({DAY} - {sql_double(point)}) / {sql_double(calendar.span)})"
 
 
-def season(day: Column, period: float, order: int) -> tuple[Column, Column]:
+def season(period: float, order: int) -> tuple[str, str]:
     """Sine and cosine of one harmonic; the phase counts from the epoch."""
-    angle = F.lit(2.0 * math.pi * order / period) * day_number(day)
-    return F.sin(angle), F.cos(angle)
-
+    angle = f"{sql_double(2.0 * math.pi * order / period)} * {DAY}"
+    return f"sin({angle})", f"cos({angle})"
 
-def _sql_double(value: float) -> str:
-    return f"CAST({value!r} AS DOUBLE)"
 
+@dataclass(frozen=True)
+class Design:
+    """How a trip or a request becomes a row of the design matrix."""
+
+    calendar: Calendar
+    mean: float
+    spread: float
+    y_scale: float
+    labels: tuple[str, ...]
+    settings: Settings
+
+    def numeric(self) -> list[tuple[str, str, float]]:
+        """Name, value and prior scale of every numeric column."""
+        prior = self.settings
+        out = [("trend", trend(self.calendar), prior.trend_prior)]
+        for j, point in enumerate(self.calendar.changepoints, 1):
+            out.append((f"hinge_{j}", hinge(point, self.calendar), prior.changepoint_prior))
+        for name, period, orders in self.calendar.seasons:
+            for order in range(1, orders + 1):
+                sine, cosine = season(period, order)
+                out.append((f"{name}_sin_{order}", sine, prior.seasonality_prior))
+                out.append((f"{name}_cos_{order}", cosine, prior.seasonality_prior))
+        duration = f"(duration - {sql_double(self.mean)}) / {sql_double(self.spread)}"
+        out.append(("duration", duration, prior.regressor_prior))
+        return out
+
+    def column_names(self) -> list[str]:
+        names = [name for name, _, _ in self.numeric()]
+        return names + [f"{side}_{code}" for side in ("home", "dest") for code in self.labels]
+
+    def priors(self) -> list[float]:
+        slots = [self.settings.regressor_prior] * (2 * len(self.labels))
+        return [scale for _, _, scale in self.numeric()] + slots
+
+    def with_numbers(self, df: DataFrame) -> DataFrame:
+        """Adds the numeric columns as one vector."""
+        values = ", ".join(f"{value}" for _, value, _ in self.numeric())
+        return df.withColumn("f_numbers", array_to_vector(F.expr(f"array({values})")))
+
+    def stages(self, spark: SparkSession) -> list[Transformer]:
+        """From numbers and country codes to ``f_design``.
+
+        Multiplying a column by its prior scale makes one uniform penalty equal
+        to a prior per column.
+        """
+        sample = spark.createDataFrame([], "home_country string, dest_country string")
+        return [
+            declared_size("f_numbers", len(self.numeric())),
+            *one_hot(self.labels, sample).stages,
+            VectorAssembler(inputCols=["f_numbers", "home_vec", "dest_vec"], outputCol="f_raw"),
+            ElementwiseProduct(
+                scalingVec=Vectors.dense(self.priors()), inputCol="f_raw", outputCol="f_design"
+            ),
+        ]
 
-def numeric_features(
-    calendar: Calendar, mean: float, spread: float, settings: Settings
-) -> list[tuple[str, str, float]]:
-    """Name, SQL expression and prior scale of every numeric design column.
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
 
-    They are SQL text because a pipeline stores them that way; the column
-    functions above are the same formulas.
-    """
-    day, span = "unix_date(ds)", _sql_double(float(calendar.span))
-    out = [("f_trend", f"({day} - {calendar.first_day}) / {span}", settings.trend_prior)]
-    out += [
-        (
-            f"f_hinge_{j}",
-            f"greatest(CAST(0 AS DOUBLE), ({day} - {_sql_double(point)}) / {span})",
-            settings.changepoint_prior,
-        )
-        for j, point in enumerate(calendar.changepoints, 1)
-    ]
-    for name, period, orders in calendar.seasons:
-        for order in range(1, orders + 1):
-            angle = f"{_sql_double(2.0 * math.pi * order / period)} * {day}"
-            out += [
-                (f"f_{name}_sin_{order}", f"sin({angle})", settings.seasonality_prior),
-                (f"f_{name}_cos_{order}", f"cos({angle})", settings.seasonality_prior),
-            ]
-    out.append(
-        (
-            "f_duration",
-            f"(duration - {_sql_double(mean)}) / {_sql_double(spread)}",
-            settings.regressor_prior,
-        )
-    )
-    return out
+    @classmethod
+    def from_json(cls, text: str) -> Design:
+        raw = json.loads(text)
+        calendar, settings = raw.pop("calendar"), raw.pop("settings")
+        calendar["changepoints"] = tuple(calendar["changepoints"])
+        for part in (calendar, settings):
+            part["seasons"] = tuple((n, p, o) for n, p, o in part["seasons"])
+        raw["labels"] = tuple(raw["labels"])
+        return cls(calendar=Calendar(**calendar), settings=Settings(**settings), **raw)
 
 
 @dataclass(frozen=True)
 class AdditiveModel:
+    design: Design
     pipeline: PipelineModel
-    feature_names: tuple[str, ...]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``additive``, the point forecast in EUR."""
-        scored = self.pipeline.transform(df)
-        return scored.select(*df.columns, "additive")
+        scored = self.pipeline.transform(self.design.with_numbers(df))
+        additive = F.col("f_prediction") * F.lit(self.design.y_scale)
+        return scored.select(*df.columns, additive.alias("additive"))
 
     def coefficients(self) -> list[tuple[str, float]]:
         """Effect of each design column, in units of the scaled target."""
-        scale = next(s for s in self.pipeline.stages if isinstance(s, ElementwiseProduct))
-        linear = next(s for s in self.pipeline.stages if isinstance(s, LinearRegressionModel))
-        weights = scale.getScalingVec().toArray() * linear.coefficients.toArray()
+        linear = self.pipeline.stages[-1]
+        weights = [p * w for p, w in zip(self.design.priors(), linear.coefficients.toArray())]
         return [
             ("intercept", float(linear.intercept)),
-            *zip(self.feature_names, (float(w) for w in weights)),
+            *zip(self.design.column_names(), map(float, weights)),
         ]
 
 
-def ridge(train: DataFrame, penalty: float, spread: float, rows: int) -> LinearRegressionModel:
+def ridge(design: DataFrame, penalty: float, spread: float, rows: int) -> LinearRegressionModel:
     """Least squares plus ``penalty`` times the squared coefficients.
 
     The solver divides its penalty by the target's spread and multiplies it by
@@ -196,17 +237,15 @@ def ridge(train: DataFrame, penalty: float, spread: float, rows: int) -> LinearR
         elasticNetParam=0.0,
         standardization=False,
         regParam=penalty * spread / rows,
-    ).fit(train)
+    ).fit(design)
 
 
 def fit_additive(
     train: DataFrame, labels: Sequence[str], settings: Settings = Settings()
 ) -> AdditiveModel:
-    """Fit on trips with a known total; three passes and no shuffle of trips.
+    """Fit on trips with a known total; a few passes and no shuffle of trips.
 
-    Multiplying a column by its prior scale makes one uniform penalty equal to
-    a prior per column. The penalty is the residual variance of a nearly
-    unpenalized first fit.
+    The penalty is the residual variance of a nearly unpenalized first fit.
     """
     known = train.filter(F.col("y").isNotNull())
     calendar = fit_calendar(known, settings)
@@ -220,42 +259,18 @@ def fit_additive(
     y_scale = facts["y_scale"] or 1.0
     # A constant duration is used as it is.
     mean, spread = (facts["mean"], facts["spread"]) if facts["spread"] else (0.0, 1.0)
-
-    numeric = numeric_features(calendar, mean, spread, settings)
-    sample = known.select("home_country", "dest_country").limit(0)
-    priors = [scale for _, _, scale in numeric] + [settings.regressor_prior] * 2 * len(labels)
-    features = PipelineModel(
-        [
-            SQLTransformer(
-                statement="SELECT *, "
-                + ", ".join(f"{expression} AS {name}" for name, expression, _ in numeric)
-                + " FROM __THIS__"
-            ),
-            *one_hot(labels, sample).stages,
-            VectorAssembler(
-                inputCols=[*[name for name, _, _ in numeric], "home_vec", "dest_vec"],
-                outputCol="f_raw",
-            ),
-            ElementwiseProduct(
-                scalingVec=Vectors.dense(priors), inputCol="f_raw", outputCol="f_design"
-            ),
-        ]
-    )
-    design = features.transform(known).select(
-        "f_design", (F.col("y") / F.lit(float(y_scale))).alias("f_target")
+    design = Design(calendar, mean, spread, float(y_scale), tuple(labels), settings)
+    features = PipelineModel(design.stages(train.sparkSession))
+    rows = features.transform(design.with_numbers(known)).select(
+        "f_design", (F.col("y") / F.lit(design.y_scale)).alias("f_target")
     )
     y_spread = facts["y_spread"] / y_scale
-    model = ridge(design, 1e-6, y_spread or 1.0, facts["n"])
+    model = ridge(rows, 1e-6, y_spread or 1.0, facts["n"])
     noise = (
-        model.transform(design)
+        model.transform(rows)
         .agg(F.avg((F.col("f_target") - F.col("f_prediction")) ** 2).alias("v"))
         .first()["v"]
     )
     if noise > 0 and y_spread > 0:
-        model = ridge(design, noise, y_spread, facts["n"])
-    output = SQLTransformer(
-        statement=f"SELECT *, f_prediction * {_sql_double(float(y_scale))} AS additive FROM __THIS__"
-    )
-    names = [name for name, _, _ in numeric]
-    names += [f"{side}_{code}" for side in ("home", "dest") for code in labels]
-    return AdditiveModel(PipelineModel([*features.stages, model, output]), tuple(names))
+        model = ridge(rows, noise, y_spread, facts["n"])
+    return AdditiveModel(design, PipelineModel([*features.stages, model]))

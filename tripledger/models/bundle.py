@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.models.additive import AdditiveModel
+from tripledger.models.additive import AdditiveModel, Design
 from tripledger.models.hybrid import HybridModel
 from tripledger.models.sequence import SequenceModel
 from tripledger.operators.scaling import MinMax
@@ -18,7 +18,7 @@ from tripledger.operators.windows import STEP_FIELDS
 
 _MANIFEST = (
     "run string, saved_at timestamp, train_rows long, has_sequence boolean, "
-    "labels array<string>, design array<string>, shares map<string,double>, "
+    "labels array<string>, design string, shares map<string,double>, "
     "tail array<struct<y:double,duration:double,home_idx:int,dest_idx:int>>"
 )
 
@@ -42,7 +42,7 @@ def save(model: HybridModel, path: str) -> HybridModel:
         model.train_rows,
         model.sequence is not None,
         list(model.labels),
-        list(model.additive.feature_names),
+        model.additive.design.to_json(),
         model.shares,
         [dict(zip(STEP_FIELDS, values)) for values in model.tail],
     )
@@ -63,14 +63,18 @@ def load(spark: SparkSession, path: str) -> HybridModel:
     if newest is None:
         raise FileNotFoundError(f"no bundle in {path}")
     parts = f"{path}/runs/{newest['run']}"
+    labels = tuple(newest["labels"])
+    scaler = MinMax.from_table(spark.read.parquet(f"{parts}/scaler"))
     sequence = None
     if newest["has_sequence"]:
-        sequence = SequenceModel(PipelineModel.load(f"{parts}/sequence"))
+        sequence = SequenceModel(PipelineModel.load(f"{parts}/sequence"), scaler)
     return HybridModel(
-        additive=AdditiveModel(PipelineModel.load(f"{parts}/additive"), tuple(newest["design"])),
+        additive=AdditiveModel(
+            Design.from_json(newest["design"]), PipelineModel.load(f"{parts}/additive")
+        ),
         sequence=sequence,
-        scaler=MinMax.from_table(spark.read.parquet(f"{parts}/scaler")),
-        labels=tuple(newest["labels"]),
+        scaler=scaler,
+        labels=labels,
         shares=dict(newest["shares"]),
         tail=tuple(tuple(s[f] for f in STEP_FIELDS) for s in newest["tail"]),
         train=spark.read.parquet(f"{parts}/train"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.functions.trip import request_day
-from tripledger.models.additive import AdditiveModel, Settings, fit_additive
+from tripledger.models.additive import AdditiveModel, Settings, fit_additive, sql_double
 from tripledger.models.sequence import SequenceModel, fit_sequence, scaled_step
 from tripledger.operators.encode import with_category_index
 from tripledger.operators.metrics import (
@@ -19,9 +19,15 @@ from tripledger.operators.metrics import (
     error_metrics,
     hybrid_average,
 )
-from tripledger.operators.ranks import history_tail
+from tripledger.operators.ranks import Ranked, history_tail
 from tripledger.operators.scaling import MinMax
-from tripledger.operators.windows import STEP_FIELDS, SEQUENCE_LENGTH, request_window, step, with_history
+from tripledger.operators.windows import (
+    SEQUENCE_LENGTH,
+    STEP_FIELDS,
+    request_window,
+    step,
+    with_history,
+)
 
 
 @dataclass(frozen=True)
@@ -70,8 +76,8 @@ def fit_hybrid(
     )
 
 
-def predict_hold_out(model: HybridModel, ranked: DataFrame) -> DataFrame:
-    """Predictions for the trips after the training rows.
+def predict_hold_out(model: HybridModel, ranked: DataFrame, count: int) -> DataFrame:
+    """Predictions for the trips after the training rows of ``count`` ranked ones.
 
     Windows are one step ahead: later ones hold the true totals of earlier
     hold-out trips. A row carries the inputs of both forecasters, so their
@@ -82,7 +88,9 @@ def predict_hold_out(model: HybridModel, ranked: DataFrame) -> DataFrame:
         rows = model.additive.transform(ranked.filter(F.col("rn") >= first))
         return rows.withColumn("sequence", F.lit(0.0)).withColumn("predicted", F.col("additive"))
     context = ranked.filter(F.col("rn") >= first - SEQUENCE_LENGTH)
-    windows = with_history(context, scaled_step(model.scaler)).filter(F.col("rn") >= first)
+    windows = with_history(
+        context, scaled_step(model.scaler), count - first + SEQUENCE_LENGTH
+    ).filter(F.col("rn") >= first)
     return (
         model.sequence.transform(model.additive.transform(windows))
         .drop("history")
@@ -90,9 +98,9 @@ def predict_hold_out(model: HybridModel, ranked: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(model: HybridModel, ranked: DataFrame) -> DataFrame:
+def evaluate(model: HybridModel, ranked: Ranked) -> DataFrame:
     """One row ``rmse, mse`` over the hold-out."""
-    return error_metrics(predict_hold_out(model, ranked), "y", "predicted")
+    return error_metrics(predict_hold_out(model, ranked.rows, ranked.count), "y", "predicted")
 
 
 def future_rows(requests: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -104,7 +112,14 @@ def future_rows(requests: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def _tail_literal(tail: Sequence[tuple]) -> Column:
-    return F.array(*[step(*[F.lit(v) for v in values]) for values in tail])
+    """The steps as one constant array, written as SQL text to keep planning short."""
+    steps = (
+        f"struct({sql_double(y)} AS y, {sql_double(duration)} AS duration, "
+        f"CAST({'NULL' if home is None else home} AS INT) AS home_idx, "
+        f"CAST({'NULL' if dest is None else dest} AS INT) AS dest_idx)"
+        for y, duration, home, dest in tail
+    )
+    return F.expr(f"array({', '.join(steps)})")
 
 
 def with_request_window(future: DataFrame, model: HybridModel) -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, SQLTransformer, VectorAssembler
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripledger.operators.encode import declared_size
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import SEQUENCE_LENGTH, step, with_history
 
@@ -32,37 +34,39 @@ def scaled_step(scaler: MinMax) -> Column:
     )
 
 
-def window_features(
-    labels: Sequence[str], scaler: MinMax, length: int = SEQUENCE_LENGTH
-) -> PipelineModel:
-    """From the array ``history`` to a sparse vector of all its steps.
-
-    Totals and durations are numeric columns. A country of a step is a token
-    of its position and code, counted against a fixed vocabulary: that gives
-    the one-hot slots of all steps inside the JVM, and codes outside the domain
-    have no token. A one-hot column that is 1 in all training rows scales to 0
-    and is left out.
+def with_window_inputs(df: DataFrame) -> DataFrame:
+    """The array ``history`` as a vector of numbers and an array of country tokens.
+
+    A token is a side, a position in the window and a country position; a
+    country outside the domain has none.
     """
-    numeric = [f"w_{c}_{i}" for c in ("y", "duration") for i in range(length)]
-    select = [f"history[{i}].{c} AS w_{c}_{i}" for c in ("y", "duration") for i in range(length)]
-    tokens = [
-        f"transform(history, (s, i) -> concat('{side}', i, '_', s.{side}_idx))"
+    numbers = F.concat(F.col("history.y"), F.col("history.duration"))
+    tokens = ", ".join(
+        f"transform(history.{side}_idx, (k, i) -> concat('{side}', i, '_', k))"
         for side in ("home", "dest")
-    ]
+    )
+    return df.withColumn("w_numbers", array_to_vector(numbers)).withColumn(
+        "w_tokens", F.expr(f"array_compact(concat({tokens}))")
+    )
+
+
+def window_stages(
+    labels: Sequence[str], scaler: MinMax, length: int = SEQUENCE_LENGTH
+) -> list[Transformer]:
+    """From numbers and tokens to one sparse vector, inside the JVM.
+
+    Counting the tokens against a fixed vocabulary gives the one-hot slots of
+    all steps. A one-hot column that is 1 in all training rows scales to 0 and
+    is left out.
+    """
     vocabulary = [
         f"{side}{i}_{k}"
         for side in ("home", "dest")
         for i in range(length)
-        for k in range(len(labels))
-        if k not in scaler.always_on(side, labels)
+        for k in sorted(set(range(len(labels))) - scaler.always_on(side, labels))
     ]
-    stages = [
-        SQLTransformer(
-            statement=f"SELECT *, {', '.join(select)}, "
-            f"filter(concat({', '.join(tokens)}), t -> t IS NOT NULL) AS w_tokens FROM __THIS__"
-        )
-    ]
-    inputs = list(numeric)
+    inputs = ["w_numbers"]
+    stages: list[Transformer] = [declared_size("w_numbers", 2 * length)]
     if vocabulary:
         stages.append(
             CountVectorizerModel.from_vocabulary(
@@ -70,17 +74,21 @@ def window_features(
             )
         )
         inputs.append("w_countries")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="w_features"))
-    return PipelineModel(stages)
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="w_features")]
 
 
 @dataclass(frozen=True)
 class SequenceModel:
+    """A fitted pipeline and the scaling its windows and predictions use."""
+
     pipeline: PipelineModel
+    scaler: MinMax
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``sequence``, the forecast in EUR, to rows with a ``history``."""
-        return self.pipeline.transform(df).select(*df.columns, "sequence")
+        scored = self.pipeline.transform(with_window_inputs(df))
+        sequence = self.scaler.restore("y", F.col("w_prediction"))
+        return scored.select(*df.columns, sequence.alias("sequence"))
 
 
 def fit_sequence(
@@ -102,14 +110,10 @@ def fit_sequence(
             base.getParam("predictionCol"): "w_prediction",
         }
     )
-    windows = with_history(train, scaled_step(scaler), length).select(
-        "history", scaler.scale("y", F.col("y")).alias("w_target")
-    )
-    features = window_features(labels, scaler, length)
-    model = learner.fit(features.transform(windows).select("w_features", "w_target"))
-    low, span = scaler.bounds["y"][0], scaler.span("y")
-    output = SQLTransformer(
-        statement=f"SELECT *, w_prediction * CAST({span!r} AS DOUBLE)"
-        f" + CAST({low!r} AS DOUBLE) AS sequence FROM __THIS__"
+    windows = with_history(train, scaled_step(scaler), rows, length)
+    features = PipelineModel(window_stages(labels, scaler, length))
+    target = scaler.scale("y", F.col("y")).alias("w_target")
+    model = learner.fit(
+        features.transform(with_window_inputs(windows)).select("w_features", target)
     )
-    return SequenceModel(PipelineModel([*features.stages, model, output]))
+    return SequenceModel(PipelineModel([*features.stages, model]), scaler)

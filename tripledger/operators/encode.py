@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorSizeHint
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +76,15 @@ def feature_names(columns: Sequence[str], with_target: bool = False) -> list[str
     return ["y", *inputs] if with_target else inputs
 
 
+def declared_size(column: str, size: int) -> VectorSizeHint:
+    """States the size of a vector column.
+
+    Without it a later assembler would run a job to look at a first row, which
+    costs a pass and is not possible on a stream.
+    """
+    return VectorSizeHint(inputCol=column, size=size, handleInvalid="optimistic")
+
+
 def with_country_names(df: DataFrame, column: str, countries: DataFrame, out: str) -> DataFrame:
     """Display name of a code, null for codes outside the dimension."""
     dim = countries.select(F.col("code").alias("dim_code"), F.col("name").alias(out))

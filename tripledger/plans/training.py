@@ -42,4 +42,4 @@ def run_training(
     model = fit_hybrid(train, rows, labels, regressor, settings)
     if bundle_path is not None:
         model = save(model, bundle_path)
-    return Training(model, evaluate(model, ranked.rows), ranked)
+    return Training(model, evaluate(model, ranked), ranked)
