@@ -1,4 +1,4 @@
-"""Scalar rules of a trip: category, dates, duration, money."""
+"""Scalar rules of a trip: category, dates, duration, country flags."""
 
 from __future__ import annotations
 
@@ -34,10 +34,10 @@ def request_day(year: Column, month: Column) -> Column:
     return F.make_date(F.coalesce(year, F.lit(DEFAULT_YEAR)), month, F.lit(1))
 
 
-def money(amount: Column) -> Column:
-    return F.round(amount, 2)
-
-
 def one_hot_flag(country: Column, code: str) -> Column:
     """1 where the country is ``code``, else 0, also for null."""
     return F.coalesce((country == code).cast("int"), F.lit(0))
+
+
+def month_name(month: Column) -> Column:
+    return F.date_format(F.make_date(F.lit(2000), month, F.lit(1)), "MMMM")

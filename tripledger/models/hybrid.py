@@ -58,15 +58,19 @@ def fit_hybrid(
     labels: Sequence[str],
     regressor: Estimator | None = None,
     settings: Settings = Settings(),
+    with_sequence: bool = True,
 ) -> HybridModel:
     """Fit both forecasters on ranked, encoded training trips with a known total.
 
-    With too few trips for one window the hybrid has the additive part only.
+    With too few trips for one window, or on request, the hybrid has the
+    additive part only.
     """
     scaler = MinMax.fit(train, labels)
     return HybridModel(
         additive=fit_additive(train, labels, settings),
-        sequence=fit_sequence(train, rows, labels, scaler, regressor),
+        sequence=(
+            fit_sequence(train, rows, labels, scaler, regressor) if with_sequence else None
+        ),
         scaler=scaler,
         labels=tuple(labels),
         shares=category_shares(train).first().asDict(),
@@ -122,15 +126,15 @@ def _tail_literal(tail: Sequence[tuple]) -> Column:
     return F.expr(f"array({', '.join(steps)})")
 
 
-def with_request_window(future: DataFrame, model: HybridModel) -> DataFrame:
-    """The last training steps, a constant, then the request with a total of 0."""
+def with_request_window(future: DataFrame, tail: Sequence[tuple], scaler: MinMax) -> DataFrame:
+    """All but the oldest of the last training steps, then the request with a total of 0."""
     newest = step(
-        model.scaler.scale("y", F.lit(0.0)),
-        model.scaler.scale("duration", F.col("duration")),
+        scaler.scale("y", F.lit(0.0)),
+        scaler.scale("duration", F.col("duration")),
         F.col("home_idx"),
         F.col("dest_idx"),
     )
-    return future.withColumn("history", request_window(_tail_literal(model.tail[1:]), newest))
+    return future.withColumn("history", request_window(_tail_literal(tail[1:]), newest))
 
 
 def forecast(model: HybridModel, requests: DataFrame) -> DataFrame:
@@ -143,9 +147,9 @@ def forecast(model: HybridModel, requests: DataFrame) -> DataFrame:
     if model.sequence is None:
         rows = rows.withColumn("sequence", F.lit(0.0)).withColumn("total", F.col("additive"))
     else:
-        rows = model.sequence.transform(with_request_window(rows, model)).withColumn(
-            "total", hybrid_average(F.col("additive"), F.col("sequence"))
-        )
+        rows = model.sequence.transform(
+            with_request_window(rows, model.tail, model.scaler)
+        ).withColumn("total", hybrid_average(F.col("additive"), F.col("sequence")))
     return rows.select(
         *requests.columns,
         "total",

@@ -24,6 +24,13 @@ def hybrid_average(additive: Column, sequence: Column) -> Column:
     return (additive + sequence) / 2
 
 
+def align_predictions(additive: DataFrame, sequence: DataFrame, key: str) -> DataFrame:
+    """Predictions held in two frames, matched by key and averaged."""
+    return additive.join(sequence, key).withColumn(
+        "hybrid", hybrid_average(F.col("additive"), F.col("sequence"))
+    )
+
+
 def category_shares(train: DataFrame) -> DataFrame:
     """Ratio of sums per cost item over the training trips; null if the total is 0."""
     return train.agg(

@@ -77,3 +77,12 @@ class MinMax:
     def always_on(self, side: str, labels: Sequence[str]) -> set[int]:
         """Positions whose one-hot column is 1 in every training row: it scales to 0."""
         return {i for i, code in enumerate(labels) if self.bounds[f"{side}_{code}"][0] == 1.0}
+
+    def scaled_slot(self, side: str, labels: Sequence[str]) -> Column:
+        """Scaled value of a row's own one-hot column, 0 for codes outside the domain."""
+        position = F.col(f"{side}_idx")
+        off = position.isNull()
+        constant = sorted(self.always_on(side, labels))
+        if constant:
+            off = off | position.isin(constant)
+        return F.when(off, 0.0).otherwise(1.0)

@@ -33,13 +33,14 @@ def run_training(
     test_fraction: float = 0.2,
     regressor: Estimator | None = None,
     settings: Settings = Settings(),
+    with_sequence: bool = True,
 ) -> Training:
     """Train on the first trips in order, hold out the rest, save if asked."""
     labels = domain_of(countries)
-    ranked = rank_trips(build_trips(lines, rates), labels, order_by)
+    ranked = rank_trips(build_trips(lines, rates, staged=True), labels, order_by)
     rows = train_size(ranked.count, test_fraction)
     train = ranked.rows.filter(F.col("rn") < rows)
-    model = fit_hybrid(train, rows, labels, regressor, settings)
+    model = fit_hybrid(train, rows, labels, regressor, settings, with_sequence)
     if bundle_path is not None:
         model = save(model, bundle_path)
     return Training(model, evaluate(model, ranked), ranked)

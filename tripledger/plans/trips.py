@@ -11,14 +11,21 @@ from tripledger.operators.allowance import fill_rates, join_rates, with_totals
 from tripledger.operators.encode import with_category_index
 from tripledger.operators.ranks import Ranked, rank_rows
 from tripledger.operators.rollup import roll_up, with_dates
+from tripledger.session import stage
 
 
-def build_trips(lines: DataFrame, rates: DataFrame, quarantine: bool = False) -> DataFrame:
+def build_trips(
+    lines: DataFrame, rates: DataFrame, quarantine: bool = False, staged: bool = False
+) -> DataFrame:
     """Expense lines to trips with their official allowance and total.
 
-    One shuffle on the trip key, one small join and one scalar subquery.
+    One shuffle on the trip key, one small join and one scalar subquery. The
+    subquery takes its own pass over the two or three columns it needs; with
+    ``staged`` the roll-up is written first and both read that instead.
     """
     dated = with_dates(roll_up(lines), quarantine)
+    if staged:
+        dated = stage(dated, "rollup")
     return with_totals(fill_rates(join_rates(dated, rates)))
 
 
