@@ -58,10 +58,6 @@ class Settings:
     seasons: tuple[tuple[str, float, int], ...] = (YEARLY, WEEKLY)
 
 
-def day_number(day: Column) -> Column:
-    return F.unix_date(day)
-
-
 def smallest_gap(days: Column) -> Column:
     """Smallest distance between neighbours of a sorted array, null below two entries."""
     return F.array_min(
@@ -76,34 +72,39 @@ def smallest_gap(days: Column) -> Column:
 def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
     """Day range, changepoints and seasons of the training trips.
 
-    Two aggregations over one column. Their states hold distinct days or one
-    counter per distinct day, which the calendar bounds.
+    Trips are counted per day first; everything else is derived from that
+    table, which has at most one row per day of the calendar.
     """
-    day = day_number(F.col("ds"))
-    facts = train.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(day).alias("first"),
-        F.max(day).alias("last"),
-        smallest_gap(F.sort_array(F.collect_set(day))).alias("gap"),
+
+    def fractions(number: int) -> list[float]:
+        return [settings.changepoint_range * j / number for j in range(1, number + 1)]
+
+    def points(number: int) -> Column:
+        return F.percentile("day", fractions(number), F.col("n")).alias("points")
+
+    days = train.groupBy(F.unix_date("ds").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    facts = days.agg(
+        F.sum("n").alias("n"),
+        F.min("day").alias("first"),
+        F.max("day").alias("last"),
+        smallest_gap(F.sort_array(F.collect_list("day"))).alias("gap"),
+        points(max(settings.changepoints, 1)),
     ).first()
-    if facts["n"] < 2:
+    if (facts["n"] or 0) < 2:
         raise ValueError("the additive model needs at least two trips")
     history = facts["last"] - facts["first"]
     gap = facts["gap"] or 0
-    wanted = {
-        "yearly": history >= 730,
-        "weekly": history >= 14 and 0 < gap < 7,
-    }
+    wanted = {"yearly": history >= 730, "weekly": history >= 14 and 0 < gap < 7}
     # Fewer changepoints where the covered history has fewer rows.
-    number = min(settings.changepoints, math.floor(facts["n"] * settings.changepoint_range) - 1)
-    points: tuple[float, ...] = ()
-    if number > 0 and history > 0:
-        fractions = [settings.changepoint_range * j / number for j in range(1, number + 1)]
-        points = tuple(train.agg(F.percentile(day, fractions).alias("at")).first()["at"])
+    covered = math.floor(facts["n"] * settings.changepoint_range)
+    number = max(min(settings.changepoints, covered - 1), 0) if history > 0 else 0
+    found = facts["points"]
+    if number != settings.changepoints:
+        found = days.agg(points(number)).first()["points"] if number else []
     return Calendar(
         facts["first"],
         facts["last"],
-        points,
+        tuple(found),
         tuple(s for s in settings.seasons if wanted.get(s[0], True)),
     )
 

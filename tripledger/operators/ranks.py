@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.session import stage
+from tripledger.session import broadcast_if_small, stage
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def rank_rows(df: DataFrame, *order_by: str, name: str = "ranked") -> Ranked:
         total += size
     starts = df.sparkSession.createDataFrame(offsets, "part int, start long")
     rows = (
-        placed.join(F.broadcast(starts), "part")
+        placed.join(broadcast_if_small(starts, len(offsets)), "part")
         .withColumn("rn", F.col("start") + F.col("pos"))
         .drop("part", "pos", "start")
     )

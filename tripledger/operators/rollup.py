@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,32 @@ def category_sum(category: str) -> Column:
     return F.coalesce(F.sum(F.when(hit, F.col("amount_eur"))).cast("double"), F.lit(0.0))
 
 
+def _is_complete() -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in TRIP_META])
+
+
+def first_known_states() -> list[Column]:
+    """Aggregates that hold the first non-null value of every trip fact.
+
+    Most lines have all facts, so the first such line is kept whole with its
+    row order once. A column's own first value is kept beside it only from
+    lines that lack another fact; it stays null on clean data, which keeps the
+    shuffled state small.
+    """
+    complete = _is_complete()
+    whole = F.min(F.when(complete, F.struct("row_ord", *TRIP_META))).alias("first_whole")
+    partial = [
+        F.min(F.when(~complete & F.col(c).isNotNull(), F.struct("row_ord", c))).alias(f"first_{c}")
+        for c in TRIP_META
+    ]
+    return [whole, *partial]
+
+
 def first_known(name: str) -> Column:
-    """First non-null value by row order, each column on its own."""
-    return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("row_ord")))
+    """The earlier of both candidates of :func:`first_known_states`."""
+    whole, own = F.col("first_whole"), F.col(f"first_{name}")
+    earlier = whole.isNull() | (own["row_ord"] < whole["row_ord"])
+    return F.when(earlier, own[name]).otherwise(whole[name]).alias(name)
 
 
 def pivot_expenses(lines: DataFrame) -> DataFrame:
@@ -50,7 +76,8 @@ def trip_meta(lines: DataFrame) -> DataFrame:
     return (
         keyed_lines(lines)
         .groupBy("report_key")
-        .agg(*[first_known(c).alias(c) for c in TRIP_META])
+        .agg(*first_known_states())
+        .select("report_key", *[first_known(c) for c in TRIP_META])
     )
 
 
@@ -64,9 +91,10 @@ def roll_up(lines: DataFrame) -> DataFrame:
         keyed_lines(lines)
         .groupBy("report_key")
         .agg(
-            *[first_known(c).alias(c) for c in TRIP_META],
+            *first_known_states(),
             *[category_sum(c).alias(CATEGORY_COLUMNS[c]) for c in EXPENSE_CATEGORIES],
         )
+        .select("report_key", *[first_known(c) for c in TRIP_META], *CATEGORY_COLUMNS.values())
     )
 
 
