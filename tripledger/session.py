@@ -20,18 +20,22 @@ RUNTIME_DEFAULTS = {
 BROADCAST_ROW_LIMIT = 100_000
 
 
-def build_session(app_name: str = "tripledger", cores: int | None = None) -> SparkSession:
+def build_session(
+    app_name: str = "tripledger", cores: int | None = None, shared: str | None = None
+) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     cores = cores or os.cpu_count() or 1
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TRIPLEDGER_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return apply_runtime_defaults(spark)
 
