@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from fixtures import planted_trips
 from tripledger.models import additive, bundle, hybrid
 from tripledger.models.hybrid import evaluate, fit_hybrid, forecast
+from tripledger.models.sequence import scaled_step, window_vector
 from tripledger.operators.ranks import train_size
+from tripledger.operators.scaling import MinMax
+from tripledger.operators.windows import with_history
 from tripledger.plans.trips import rank_trips
 from tripledger.schemas import REQUEST
 from tripledger.session import scratch_path, shared_dir
@@ -111,6 +114,35 @@ def test_hold_out_predictions_average_both_parts(model, ranked):
         assert r.predicted == pytest.approx((r.additive + r.sequence) / 2)
 
 
+def test_window_vector_equals_the_wide_scaled_columns(spark):
+    """Slot by slot against one-hot columns scaled one by one."""
+    codes, length = ["AA", "BB", "CC"], 5
+    steps = [
+        (float(i % 7), i % 3 + 1, 0, None if i % 4 == 0 else i % 3) for i in range(40)
+    ]  # home AA in every row
+    train = spark.createDataFrame(
+        [(i, *s) for i, s in enumerate(steps)], "rn long, y double, duration int, home_idx int, dest_idx int"
+    )
+    scaler = MinMax.fit(train, codes)
+    windows = with_history(train, scaled_step(scaler), 40, length, 16).select(
+        "rn", window_vector(codes, scaler, length).alias("v")
+    )
+    rows = windows.collect()
+    assert len(rows) == 35
+
+    def scaled(feature, value):
+        low, high = scaler.bounds[feature]
+        return (value - low) / ((high - low) or 1.0)
+
+    for r in rows:
+        past = steps[r.rn - length : r.rn]
+        want = [scaled("y", s[0]) for s in past] + [scaled("duration", s[1]) for s in past]
+        for side, column in (("home", 2), ("dest", 3)):
+            for s in past:
+                want += [scaled(f"{side}_{c}", float(s[column] == k)) for k, c in enumerate(codes)]
+        assert list(r.v.toArray()) == pytest.approx(want)
+
+
 def test_forecast_parts_add_up(model, requests):
     rows = forecast(model, requests).collect()
     assert len(rows) == 3

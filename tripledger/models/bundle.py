@@ -67,7 +67,7 @@ def load(spark: SparkSession, path: str) -> HybridModel:
     scaler = MinMax.from_table(spark.read.parquet(f"{parts}/scaler"))
     sequence = None
     if newest["has_sequence"]:
-        sequence = SequenceModel(PipelineModel.load(f"{parts}/sequence"), scaler)
+        sequence = SequenceModel(PipelineModel.load(f"{parts}/sequence"), labels, scaler)
     return HybridModel(
         additive=AdditiveModel(
             Design.from_json(newest["design"]), PipelineModel.load(f"{parts}/additive")

@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from tripledger.operators.encode import declared_size
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import SEQUENCE_LENGTH, step, with_history
 
@@ -34,61 +35,69 @@ def scaled_step(scaler: MinMax) -> Column:
     )
 
 
-def with_window_inputs(df: DataFrame) -> DataFrame:
-    """The array ``history`` as a vector of numbers and an array of country tokens.
+def window_vector(labels: Sequence[str], scaler: MinMax, length: int = SEQUENCE_LENGTH) -> Column:
+    """The array ``history`` as one sparse vector.
 
-    A token is a side, a position in the window and a country position; a
-    country outside the domain has none.
+    Its slots are the totals, the durations, then one home and one destination
+    group per step. Spark has no built-in that makes a sparse vector from
+    positions, so whole Arrow batches go through numpy. A country outside the
+    domain has no slot; a one-hot column that is 1 in all training rows scales
+    to 0 and is left empty.
     """
-    numbers = F.concat(F.col("history.y"), F.col("history.duration"))
-    tokens = ", ".join(
-        f"transform(history.{side}_idx, (k, i) -> concat('{side}', i, '_', k))"
+    width = len(labels)
+    size = 2 * length * (1 + width)
+    live = {
+        side: np.array([k not in scaler.always_on(side, labels) for k in range(width)] + [False])
         for side in ("home", "dest")
-    )
-    return df.withColumn("w_numbers", array_to_vector(numbers)).withColumn(
-        "w_tokens", F.expr(f"array_compact(concat({tokens}))")
-    )
-
-
-def window_stages(
-    labels: Sequence[str], scaler: MinMax, length: int = SEQUENCE_LENGTH
-) -> list[Transformer]:
-    """From numbers and tokens to one sparse vector, inside the JVM.
-
-    Counting the tokens against a fixed vocabulary gives the one-hot slots of
-    all steps. A one-hot column that is 1 in all training rows scales to 0 and
-    is left out.
-    """
-    vocabulary = [
-        f"{side}{i}_{k}"
-        for side in ("home", "dest")
-        for i in range(length)
-        for k in sorted(set(range(len(labels))) - scaler.always_on(side, labels))
-    ]
-    inputs = ["w_numbers"]
-    stages: list[Transformer] = [declared_size("w_numbers", 2 * length)]
-    if vocabulary:
-        stages.append(
-            CountVectorizerModel.from_vocabulary(
-                vocabulary, inputCol="w_tokens", outputCol="w_countries"
-            )
+    }
+    steps = np.arange(length)
+    first = {"home": 2 * length + steps * width, "dest": (2 + width) * length + steps * width}
+
+    @arrow_udf(VectorUDT())
+    def vectorize(history: pa.Array) -> pa.Array:
+        rows, flat = len(history), history.flatten()
+
+        def matrix(field: str) -> np.ndarray:
+            values = flat.field(field)
+            if field.endswith("_idx"):
+                values = values.fill_null(-1)
+            return values.to_numpy(zero_copy_only=False).reshape(rows, length)
+
+        numbers = np.hstack([matrix("y"), matrix("duration")])
+        slots, used = [np.tile(np.arange(2 * length), (rows, 1))], [np.ones_like(numbers, bool)]
+        for side in ("home", "dest"):
+            position = matrix(f"{side}_idx")
+            slots.append(first[side] + position)
+            used.append(live[side][position])
+        keep = np.hstack(used)
+        values = np.hstack([numbers, np.ones((rows, 2 * length))])[keep]
+        ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+        return pa.StructArray.from_arrays(
+            [
+                pa.array(np.zeros(rows, np.int8)),
+                pa.array(np.full(rows, size, np.int32)),
+                pa.ListArray.from_arrays(ends, np.hstack(slots)[keep].astype(np.int32)),
+                pa.ListArray.from_arrays(ends, values),
+            ],
+            names=["type", "size", "indices", "values"],
         )
-        inputs.append("w_countries")
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="w_features")]
+
+    return vectorize("history")
 
 
 @dataclass(frozen=True)
 class SequenceModel:
-    """A fitted pipeline and the scaling its windows and predictions use."""
+    """A fitted regressor and the domain and scaling of its windows."""
 
     pipeline: PipelineModel
+    labels: tuple[str, ...]
     scaler: MinMax
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``sequence``, the forecast in EUR, to rows with a ``history``."""
-        scored = self.pipeline.transform(with_window_inputs(df))
+        features = df.withColumn("w_features", window_vector(self.labels, self.scaler))
         sequence = self.scaler.restore("y", F.col("w_prediction"))
-        return scored.select(*df.columns, sequence.alias("sequence"))
+        return self.pipeline.transform(features).select(*df.columns, sequence.alias("sequence"))
 
 
 def fit_sequence(
@@ -110,10 +119,8 @@ def fit_sequence(
             base.getParam("predictionCol"): "w_prediction",
         }
     )
-    windows = with_history(train, scaled_step(scaler), rows, length)
-    features = PipelineModel(window_stages(labels, scaler, length))
-    target = scaler.scale("y", F.col("y")).alias("w_target")
-    model = learner.fit(
-        features.transform(with_window_inputs(windows)).select("w_features", target)
+    windows = with_history(train, scaled_step(scaler), rows, length).select(
+        window_vector(labels, scaler, length).alias("w_features"),
+        scaler.scale("y", F.col("y")).alias("w_target"),
     )
-    return SequenceModel(PipelineModel([*features.stages, model]), scaler)
+    return SequenceModel(PipelineModel([learner.fit(windows)]), tuple(labels), scaler)

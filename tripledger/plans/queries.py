@@ -28,7 +28,7 @@ from tripledger.operators import allowance, encode, metrics, ranks, rollup, wind
 from tripledger.operators.scaling import MinMax
 from tripledger.plans.training import Training, run_training
 from tripledger.plans.trips import build_trips, rank_trips
-from tripledger.session import apply_runtime_defaults, scratch_path
+from tripledger.session import apply_runtime_defaults, scratch_path, stage
 from tripledger.sources import adapter, files
 from tripledger.streaming.scoring import score_stream
 
@@ -77,7 +77,7 @@ class Tables:
 
     @cached_property
     def ranked(self) -> ranks.Ranked:
-        return rank_trips(build_trips(self.lines, self.rates, staged=True), self.labels)
+        return rank_trips(build_trips(self.lines, self.rates), self.labels)
 
     @cached_property
     def train_rows(self) -> int:
@@ -211,7 +211,9 @@ def allowance_left_join(t: Tables) -> DataFrame:
 
 
 def rate_median_fill(t: Tables) -> DataFrame:
-    return allowance.fill_rates(t.rated).select("report_key", "home_country", "daily_allowance")
+    """Both the trips and their median come from one written roll-up."""
+    rated = allowance.join_rates(stage(t.dated, "rollup"), t.rates)
+    return allowance.fill_rates(rated).select("report_key", "home_country", "daily_allowance")
 
 
 def trip_allowance(t: Tables) -> DataFrame:

@@ -15,13 +15,14 @@ from tripledger.session import stage
 
 
 def build_trips(
-    lines: DataFrame, rates: DataFrame, quarantine: bool = False, staged: bool = False
+    lines: DataFrame, rates: DataFrame, quarantine: bool = False, staged: bool = True
 ) -> DataFrame:
     """Expense lines to trips with their official allowance and total.
 
-    One shuffle on the trip key, one small join and one scalar subquery. The
-    subquery takes its own pass over the two or three columns it needs; with
-    ``staged`` the roll-up is written first and both read that instead.
+    One scan of the lines, one shuffle on the trip key, one small join and one
+    scalar subquery for the median rate. The roll-up is written once, because
+    both the trips and the median need it; without ``staged`` nothing is written
+    and the median takes its own pass over the lines.
     """
     dated = with_dates(roll_up(lines), quarantine)
     if staged:
