@@ -187,6 +187,7 @@ class Design:
             ElementwiseProduct(
                 scalingVec=Vectors.dense(self.priors()), inputCol="f_raw", outputCol="f_design"
             ),
+            declared_size("f_design", len(self.priors())),
         ]
 
     def to_json(self) -> str:

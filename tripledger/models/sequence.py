@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tripledger.operators.encode import declared_size
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import SEQUENCE_LENGTH, step, with_history
 
 
 def default_regressor() -> LinearRegression:
-    return LinearRegression(solver="l-bfgs", regParam=0.01, maxIter=30)
+    return LinearRegression(solver="l-bfgs", regParam=0.01, maxIter=20)
 
 
 def scaled_step(scaler: MinMax) -> Column:
@@ -35,6 +36,10 @@ def scaled_step(scaler: MinMax) -> Column:
     )
 
 
+def vector_size(labels: Sequence[str], length: int = SEQUENCE_LENGTH) -> int:
+    return 2 * length * (1 + len(labels))
+
+
 def window_vector(labels: Sequence[str], scaler: MinMax, length: int = SEQUENCE_LENGTH) -> Column:
     """The array ``history`` as one sparse vector.
 
@@ -45,7 +50,7 @@ def window_vector(labels: Sequence[str], scaler: MinMax, length: int = SEQUENCE_
     to 0 and is left empty.
     """
     width = len(labels)
-    size = 2 * length * (1 + width)
+    size = vector_size(labels, length)
     live = {
         side: np.array([k not in scaler.always_on(side, labels) for k in range(width)] + [False])
         for side in ("home", "dest")
@@ -123,4 +128,5 @@ def fit_sequence(
         window_vector(labels, scaler, length).alias("w_features"),
         scaler.scale("y", F.col("y")).alias("w_target"),
     )
-    return SequenceModel(PipelineModel([learner.fit(windows)]), tuple(labels), scaler)
+    sized = declared_size("w_features", vector_size(labels, length)).transform(windows)
+    return SequenceModel(PipelineModel([learner.fit(sized)]), tuple(labels), scaler)

@@ -79,8 +79,8 @@ def feature_names(columns: Sequence[str], with_target: bool = False) -> list[str
 def declared_size(column: str, size: int) -> VectorSizeHint:
     """States the size of a vector column.
 
-    Without it a later assembler would run a job to look at a first row, which
-    costs a pass and is not possible on a stream.
+    Without it a later assembler or fit would run a job to look at a first row,
+    which costs a pass and is not possible on a stream.
     """
     return VectorSizeHint(inputCol=column, size=size, handleInvalid="optimistic")
 
