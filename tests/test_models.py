@@ -42,16 +42,42 @@ def requests(spark):
 def test_ridge_equals_the_closed_form(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 4))
+    w = rng.integers(1, 9, size=80)
     y = x @ [1.0, -2.0, 0.5, 0.0] + 3.0 + rng.normal(size=80)
     df = spark.createDataFrame(
-        [(Vectors.dense(row), float(v)) for row, v in zip(x, y)], ["f_design", "f_target"]
+        [(Vectors.dense(row), float(v), float(k)) for row, v, k in zip(x, y, w)],
+        ["f_design", "f_target", "f_weight"],
     )
+    # Written out row by row, as often as its weight says.
+    x, y = np.repeat(x, w, axis=0), np.repeat(y, w)
     xc, yc = x - x.mean(0), y - y.mean()
     for penalty in (0.0, 1.0, 50.0):
-        fitted = additive.ridge(df, penalty, float(y.std()), 80)
+        fitted = additive.ridge(df, penalty, float(y.std()), len(y))
         want = np.linalg.solve(xc.T @ xc + penalty * np.eye(4), xc.T @ yc)
         assert fitted.coefficients.toArray() == pytest.approx(want, abs=1e-6)
         assert fitted.intercept == pytest.approx(y.mean() - x.mean(0) @ want, abs=1e-6)
+        mse = float(np.mean((y - (y.mean() + xc @ want)) ** 2))
+        assert fitted.summary.meanSquaredError == pytest.approx(mse, rel=1e-6)
+
+
+def test_grouped_fit_equals_the_fit_on_single_trips(spark, monkeypatch):
+    """Many trips with equal inputs and different totals, with and without grouping."""
+    rng = np.random.default_rng(2)
+    trips = planted_trips(spark, 150).select("ds", "duration", "home_country", "dest_country", "y")
+    rows = [tuple(r)[:4] + (r.y + float(e),) for r in trips.collect() for e in rng.normal(0, 50, 4)]
+    trips = spark.createDataFrame(rows, trips.schema)
+    grouped = dict(additive.fit_additive(trips, CODES).coefficients())
+    monkeypatch.setattr(
+        additive,
+        "distinct_inputs",
+        lambda df: df.withColumns(
+            {"n": F.lit(1).cast("long"), "y_variance": F.lit(0.0), "y_size": F.abs("y")}
+        ),
+    )
+    single = dict(additive.fit_additive(trips, CODES).coefficients())
+    assert grouped.keys() == single.keys()
+    for name, value in single.items():
+        assert grouped[name] == pytest.approx(value, abs=1e-6)
 
 
 def test_additive_model_recovers_planted_effects(model, ranked):

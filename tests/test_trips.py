@@ -221,6 +221,21 @@ def test_two_rates_for_a_country_are_rejected(spark):
         build_trips(lines(spark, (1, "HOTEL", 1.0)), rates)
 
 
+def test_a_large_rate_table_is_joined_without_a_hint(spark, monkeypatch):
+    df = lines(spark, *[(k, "HOTEL", 1.0, {"home": "SE" if k % 3 else "US"}) for k in range(30)])
+    hinted = build_trips(df, builtin_rates(spark)).orderBy("report_key")
+    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
+    want = hinted.collect()
+    monkeypatch.setattr("tripledger.session.BROADCAST_ROW_LIMIT", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = build_trips(df, builtin_rates(spark)).orderBy("report_key")
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert shuffled.collect() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_hot_trip_key_is_reduced_before_the_shuffle(spark):
     """A third of all lines on one key: at most one state per task and key is shuffled."""
     df = spark.range(30_000).select(

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.operators.encode import declared_size, one_hot
+from tripledger.session import stage
 
 # Default settings and prior scales; all of them are parameters of the fit.
 TREND_PRIOR = 5.0
@@ -69,11 +70,14 @@ def smallest_gap(days: Column) -> Column:
     )
 
 
-def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
+def fit_calendar(
+    train: DataFrame, settings: Settings = Settings(), weight: str | None = None
+) -> Calendar:
     """Day range, changepoints and seasons of the training trips.
 
     Trips are counted per day first; everything else is derived from that
-    table, which has at most one row per day of the calendar.
+    table, which has at most one row per day of the calendar. A row counts for
+    ``weight`` trips.
     """
 
     def fractions(number: int) -> list[float]:
@@ -82,7 +86,8 @@ def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
     def points(number: int) -> Column:
         return F.percentile("day", fractions(number), F.col("n")).alias("points")
 
-    days = train.groupBy(F.unix_date("ds").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    trips = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    days = train.groupBy(F.unix_date("ds").alias("day")).agg(trips.alias("n"))
     facts = days.agg(
         F.sum("n").alias("n"),
         F.min("day").alias("first"),
@@ -229,11 +234,13 @@ def ridge(design: DataFrame, penalty: float, spread: float, rows: int) -> Linear
     """Least squares plus ``penalty`` times the squared coefficients.
 
     The solver divides its penalty by the target's spread and multiplies it by
-    the row count, which is undone here. It makes one pass for the Gram matrix.
+    the sum of weights, which is undone here. It makes one pass for the Gram
+    matrix and one for its own summary.
     """
     return LinearRegression(
         featuresCol="f_design",
         labelCol="f_target",
+        weightCol="f_weight",
         predictionCol="f_prediction",
         solver="normal",
         elasticNetParam=0.0,
@@ -242,34 +249,57 @@ def ridge(design: DataFrame, penalty: float, spread: float, rows: int) -> Linear
     ).fit(design)
 
 
+def distinct_inputs(trips: DataFrame) -> DataFrame:
+    """Trips with equal inputs as one row: their number, mean and variance.
+
+    Least squares over these rows with their numbers as weights is the same as
+    over the trips. Days, durations and countries are few, so however many
+    trips there are, the passes of the fit stay bounded by their combinations.
+    """
+    return trips.groupBy("ds", "duration", "home_country", "dest_country").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("y").alias("y"),
+        F.var_pop("y").alias("y_variance"),
+        F.max(F.abs("y")).alias("y_size"),
+    )
+
+
 def fit_additive(
     train: DataFrame, labels: Sequence[str], settings: Settings = Settings()
 ) -> AdditiveModel:
-    """Fit on trips with a known total; a few passes and no shuffle of trips.
+    """Fit on trips with a known total, grouped by equal inputs and written once.
 
     The penalty is the residual variance of a nearly unpenalized first fit.
     """
-    known = train.filter(F.col("y").isNotNull())
-    calendar = fit_calendar(known, settings)
-    facts = known.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.abs("y")).alias("y_scale"),
-        F.stddev_pop("y").alias("y_spread"),
-        F.avg("duration").alias("mean"),
-        F.stddev_samp("duration").alias("spread"),
+    rows = stage(distinct_inputs(train.filter(F.col("y").isNotNull())), "inputs")
+    calendar = fit_calendar(rows, settings, weight="n")
+    facts = rows.agg(
+        F.sum("n").alias("n"),
+        F.max("y_size").alias("y_scale"),
+        (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("y_mean"),
+        (F.sum(F.col("n") * F.col("duration")) / F.sum("n")).alias("mean"),
+    ).first()
+    n, y_scale = facts["n"], float(facts["y_scale"] or 1.0)
+    moments = rows.agg(
+        F.sum(F.col("n") * (F.col("y") - facts["y_mean"]) ** 2).alias("between"),
+        F.sum(F.col("n") * F.col("y_variance")).alias("within"),
+        F.sum(F.col("n") * (F.col("duration") - facts["mean"]) ** 2).alias("duration"),
     ).first()
-    y_scale = facts["y_scale"] or 1.0
     # A constant duration is used as it is.
-    mean, spread = (facts["mean"], facts["spread"]) if facts["spread"] else (0.0, 1.0)
-    design = Design(calendar, mean, spread, float(y_scale), tuple(labels), settings)
+    mean, spread = facts["mean"], math.sqrt(moments["duration"] / (n - 1))
+    if spread == 0:
+        mean, spread = 0.0, 1.0
+    design = Design(calendar, mean, spread, y_scale, tuple(labels), settings)
     features = PipelineModel(design.stages(train.sparkSession))
-    rows = features.transform(design.with_numbers(known)).select(
-        "f_design", (F.col("y") / F.lit(design.y_scale)).alias("f_target")
+    matrix = features.transform(design.with_numbers(rows)).select(
+        "f_design",
+        (F.col("y") / F.lit(y_scale)).alias("f_target"),
+        F.col("n").cast("double").alias("f_weight"),
     )
-    y_spread = facts["y_spread"] / y_scale
-    model = ridge(rows, 1e-6, y_spread or 1.0, facts["n"])
-    # The fit itself measures its training error, in one pass of its own.
-    noise = model.summary.meanSquaredError
+    y_spread = math.sqrt(moments["between"] / n) / y_scale
+    model = ridge(matrix, 1e-6, y_spread or 1.0, n)
+    # Around the mean of its group a trip varies as well.
+    noise = model.summary.meanSquaredError + moments["within"] / n / y_scale**2
     if noise > 0 and y_spread > 0:
-        model = ridge(rows, noise, y_spread, facts["n"])
+        model = ridge(matrix, noise, y_spread, n)
     return AdditiveModel(design, PipelineModel([*features.stages, model]))

@@ -79,10 +79,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(dim: DataFrame, rows: int, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint for a dimension whose counted ``rows`` stay within ``limit``.
+def broadcast_if_small(dim: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a dimension whose counted ``rows`` stay within the limit.
 
     Beyond it the hint is left off and the join shuffles; adaptive skew
     handling then splits a hot key.
     """
-    return F.broadcast(dim) if rows <= limit else dim
+    return F.broadcast(dim) if rows <= BROADCAST_ROW_LIMIT else dim
