@@ -79,6 +79,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables of one job, deleted together (or one by one) when it is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = scratch_path(spark, name)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once below the job's folder and go on from the written table."""
+        return self._stage_at(df, self.path(name))
+
+    def _stage_at(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self, path: str | None = None) -> None:
+        """Delete one staged path, or all of the job; later reads of them fail."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.root)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_if_small(dim: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a dimension whose counted ``rows`` stay within the limit.
 
