@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +48,15 @@ def map_batches(
 
 
 def pieces_of(items: list, limit: int, weight: Callable) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges whose summed weight stays near ``limit``."""
+    """Consecutive index ranges whose summed weight stays near ``limit``.
+
+    An item of ``limit`` or more stands alone.
+    """
     start, held = 0, 0
     for k, item in enumerate(items):
+        if weight(item) >= limit and k > start:
+            yield start, k
+            start, held = k, 0
         held += weight(item)
         if held >= limit:
             yield start, k + 1
@@ -112,3 +119,32 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         current.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )
+
+
+def hashed_grams(data: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """``bits``-bit hashes of all runs of ``size`` bytes, one for each start."""
+    n = max(0, len(data) - size + 1)
+    h = np.full(n, size, np.uint32)
+    for k in range(size):
+        h *= np.uint32(0x01000193)
+        h ^= data[k : k + n]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return h >> np.uint32(32 - bits)
+
+
+def balanced_sample(rows: DataFrame, label: str, key: str, most: int) -> tuple[DataFrame, dict]:
+    """About ``most`` rows for each value of ``label``, chosen by a hash of ``key``.
+
+    Returns the sample and the count of all rows by value. Values with fewer
+    rows are kept whole. The rates follow the counts of all rows, so the
+    sample's size does not grow with the input.
+    """
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.limit(0), counts
+    rate = F.create_map(
+        *(F.lit(x) for value, n in sorted(counts.items()) for x in (value, min(1.0, most / n)))
+    )
+    drawn = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
+    return rows.where(drawn < rate[F.col(label)]), counts

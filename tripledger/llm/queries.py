@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripledger.llm.language import op4_language_codes
 from tripledger.llm.secrets import op5_secret_spans
 from tripledger.llm.simhash import op3_simhash_groups
 
@@ -13,6 +14,7 @@ from tripledger.llm.simhash import op3_simhash_groups
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_groups": op3_simhash_groups,
+        "op4_language_codes": op4_language_codes,
         "op5_secret_spans": op5_secret_spans,
     }
 
