@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tripledger.llm.language import op4_language_codes
 from tripledger.llm.secrets import op5_secret_spans
 from tripledger.llm.simhash import op3_simhash_groups
+from tripledger.llm.toxicity import op7_toxicity
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +17,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_groups": op3_simhash_groups,
         "op4_language_codes": op4_language_codes,
         "op5_secret_spans": op5_secret_spans,
+        "op7_toxicity": op7_toxicity,
     }
 
 
