@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripledger.llm.language import op4_language_codes
+from tripledger.llm.packing import op2_pack
 from tripledger.llm.secrets import op5_secret_spans
 from tripledger.llm.simhash import op3_simhash_groups
 from tripledger.llm.toxicity import op7_toxicity
@@ -14,6 +15,7 @@ from tripledger.llm.toxicity import op7_toxicity
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pack": op2_pack,
         "op3_simhash_groups": op3_simhash_groups,
         "op4_language_codes": op4_language_codes,
         "op5_secret_spans": op5_secret_spans,
