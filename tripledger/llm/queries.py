@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripledger.llm import vectors
 from tripledger.llm.language import op4_language_codes
 from tripledger.llm.packing import op2_pack
 from tripledger.llm.secrets import op5_secret_spans
 from tripledger.llm.simhash import op3_simhash_groups
 from tripledger.llm.toxicity import op7_toxicity
+from tripledger.llm.vectors import op6_top_k
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,10 +21,13 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_groups": op3_simhash_groups,
         "op4_language_codes": op4_language_codes,
         "op5_secret_spans": op5_secret_spans,
+        "op6_top_k": op6_top_k,
         "op7_toxicity": op7_toxicity,
     }
 
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries whose result SQL can state."""
-    return {}
+    return {
+        "op6_top_k": vectors.ORACLE,
+    }
