@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripledger.llm import vectors
+from tripledger.llm.fingerprint import op1_fingerprints
 from tripledger.llm.language import op4_language_codes
 from tripledger.llm.packing import op2_pack
 from tripledger.llm.secrets import op5_secret_spans
@@ -17,6 +18,7 @@ from tripledger.llm.vectors import op6_top_k
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_pack": op2_pack,
         "op3_simhash_groups": op3_simhash_groups,
         "op4_language_codes": op4_language_codes,
