@@ -10,6 +10,7 @@ from tripledger.llm import vectors
 from tripledger.llm.fingerprint import op1_fingerprints
 from tripledger.llm.language import op4_language_codes
 from tripledger.llm.packing import op2_pack
+from tripledger.llm.pieces import op9_pieces
 from tripledger.llm.secrets import op5_secret_spans
 from tripledger.llm.simhash import op3_simhash_groups
 from tripledger.llm.toxicity import op7_toxicity
@@ -25,6 +26,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_spans": op5_secret_spans,
         "op6_top_k": op6_top_k,
         "op7_toxicity": op7_toxicity,
+        "op9_pieces": op9_pieces,
     }
 
 
