@@ -12,6 +12,7 @@ from tripledger.llm.language import op4_language_codes
 from tripledger.llm.packing import op2_pack
 from tripledger.llm.pieces import op9_pieces
 from tripledger.llm.quality import op10_quality
+from tripledger.llm.repeats import op8_repeats
 from tripledger.llm.secrets import op5_secret_spans
 from tripledger.llm.simhash import op3_simhash_groups
 from tripledger.llm.toxicity import op7_toxicity
@@ -27,6 +28,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_spans": op5_secret_spans,
         "op6_top_k": op6_top_k,
         "op7_toxicity": op7_toxicity,
+        "op8_repeats": op8_repeats,
         "op9_pieces": op9_pieces,
         "op10_quality": op10_quality,
     }
