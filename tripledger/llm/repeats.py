@@ -138,9 +138,9 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield at, held
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
+def _keyed(documents: DataFrame, *others: str) -> DataFrame:
     """Rows with a key: rows are told apart by id and text, equal rows share all."""
-    return texts_of(documents).withColumn("row", F.xxhash64("doc_id", "text"))
+    return texts_of(documents, *others).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 SENT = "bucket int, kind int, hashes binary, rows binary, places binary"
@@ -550,20 +550,22 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 KEPT = (
-    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 )
 
 
-def without_repeats(documents: DataFrame, content: bool = True) -> DataFrame:
+def without_repeats(documents: DataFrame, *others: str) -> DataFrame:
     """Every document without the bytes that stand in a smaller doc_id, too.
 
     A byte goes if a ``LENGTH``-byte string over it also starts in a document
-    with a smaller doc_id, judged on the input. Columns: those of ``KEPT``;
-    ``kept``, the bytes that stay, is null unless asked for. Null texts are
-    empty. Rows with a null id are smaller than none and keep all. Rows with one
+    with a smaller doc_id, judged on the input. Columns: those of ``KEPT`` and
+    the ``others`` as they are; ``kept`` is the text of the bytes that stay,
+    without those of characters that were cut in part. Null texts are empty. Rows with a null id are smaller than none and keep all. Rows with one
     id never remove from each other. An empty table gives an empty result.
     """
     docs, buckets = _setting(documents)
+    passed = texts_of(documents, *others).schema[2:]
+    full = _keyed(documents, *others)
     spans = repeated_spans(docs.where(F.col("doc_id").isNotNull()), buckets)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -582,19 +584,21 @@ def without_repeats(documents: DataFrame, content: bool = True) -> DataFrame:
                     len(data) - len(kept),
                     len(runs),
                     hashlib.sha256(kept).hexdigest(),
-                    kept if content else None,
+                    kept.decode("utf-8", "ignore"),
                 )
             )
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)],
-            [name.split()[0] for name in KEPT.split(", ")],
+            [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            + [batch.column(name) for name in others],
+            [*(name.split()[0] for name in KEPT.split(", ")), *others],
         )
 
-    joined = docs.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return map_batches(joined, rows, KEPT)
+    joined = full.join(spans, "row", "left").select("doc_id", "text", "spans", *others)
+    schema = KEPT + "".join(f", {f.name} {f.dataType.simpleString()}" for f in passed)
+    return map_batches(joined, rows, schema)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(read_table(spark, sf_dir, "documents"), content=False)
+    found = without_repeats(read_table(spark, sf_dir, "documents"))
     return found.drop("kept")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tripledger.llm.common import map_batches, read_table, texts_of
 from tripledger.session import scratch_path
 
+#: Findings that may be broadcast, under 100 bytes each; beyond that they are joined.
+BROADCAST_SPANS = 200_000
 SPAN = "array<struct<start:long,end:long>>"
 LEDGER = f"blob binary, rule string, version int, spans {SPAN}"
 
@@ -165,16 +167,11 @@ def update_ledger(documents: DataFrame, path: str, rules: Sequence[Rule] = RULES
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def findings(
-    documents: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES
-) -> DataFrame:
-    """``doc_id``, ``blob`` and ``found``: kind, place of the kind, start and end, in order.
-
-    Every row of the documents is returned; a null text counts as empty.
-    """
+def _hits(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``blob`` and ``found`` of every blob with a finding of the current rules."""
     place = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)))
     current = F.concat_ws(":", "rule", "version").isin([f"{r.kind}:{r.version}" for r in rules])
-    hits = (
+    return (
         ledger.where(current & (F.size("spans") > 0))
         .dropDuplicates(["blob", "rule"])  # two runs at once may have scanned the same pair
         .select("blob", "rule", F.explode("spans").alias("s"))
@@ -192,6 +189,16 @@ def findings(
             ).alias("found")
         )
     )
+
+
+def findings(
+    documents: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES
+) -> DataFrame:
+    """``doc_id``, ``blob`` and ``found``: kind, place of the kind, start and end, in order.
+
+    Every row of the documents is returned; a null text counts as empty.
+    """
+    hits = _hits(ledger, rules)
     none = F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")
     return (
         _address(documents)
@@ -206,6 +213,54 @@ def scan(documents: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> Data
     return findings(documents, update_ledger(documents, path, rules), rules)
 
 
+def redact(documents: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """All rows and columns, each finding in ``text`` replaced by its kind in brackets.
+
+    Findings that overlap an earlier one go with it. Null texts stay null.
+    """
+    ledger = update_ledger(documents.select("doc_id", "text"), path, rules)
+    hits = _hits(ledger, rules).withColumnRenamed("blob", "found_blob")
+    spans = ledger.agg(F.sum(F.size("spans"))).first()[0] or 0
+    if spans <= BROADCAST_SPANS:
+        hits = F.broadcast(hits)
+    done = F.aggregate(
+        "found",
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        lambda held, s: F.when(
+            s["start"] >= held["at"],
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(
+                    held["out"],
+                    F.substring(
+                        F.col("text"),
+                        (held["at"] + 1).cast("int"),
+                        (s["start"] - held["at"]).cast("int"),
+                    ),
+                    F.lit("["),
+                    s["kind"],
+                    F.lit("]"),
+                ).alias("out"),
+            ),
+        ).otherwise(
+            F.struct(F.greatest(held["at"], s["end"]).alias("at"), held["out"].alias("out"))
+        ),
+    )
+    clean = F.when(
+        F.col("found").isNotNull(),
+        F.concat(
+            F.col("done.out"),
+            F.substring(F.col("text"), (F.col("done.at") + 1).cast("int"), F.length("text")),
+        ),
+    ).otherwise(F.col("text"))
+    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return (
+        documents.join(hits, blob == F.col("found_blob"), "left")
+        .withColumn("done", done)
+        .select(*(clean.alias(c) if c == "text" else F.col(c) for c in documents.columns))
+    )
+
+
 def _joined(found):
     return F.array_join(
         F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
