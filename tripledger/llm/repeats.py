@@ -1,20 +1,24 @@
 """Exact repeats across documents by enhanced suffix arrays and their interval tree.
 
-Repeats of at least ``LENGTH`` bytes are found in three steps.
+Documents are dealt to slots of a few megabytes. Repeats of at least ``LENGTH``
+bytes are found in three steps, each an exchange of packed rows between slots
+and buckets.
 
 1. Anchors. The lowest-hashed ``ANCHOR``-byte string inside each ``LENGTH``-byte
    window is its anchor. Equal windows have equal anchors, so only anchors that
-   two documents share can lie in a repeat. Anchors are dealt to buckets by
-   hash; a batch of documents sends each hash that it has in one document, and
-   settles by itself those it has in several.
+   two documents share can lie in a repeat. A slot sends each hash once; a
+   bucket of hashes tells a slot which of them others have.
 2. Segments. The consecutive windows of a document that share one such anchor
-   make a segment. Each distinct segment goes to its anchor's bucket once for
-   each batch. There the suffixes of all segments that still have ``LENGTH``
-   bytes are sorted, their common prefixes are computed, and a stack scan yields
-   the tree of common-prefix intervals. An interval whose suffixes have more
-   than one left neighbour is a maximal repeat; at a segment's first byte the
-   left neighbour is unknown and counts as different.
-3. Occurrences. Segments are joined back to all places where they stand.
+   make a segment. Of equal segments of a slot, those outside the smallest
+   doc_id are repeats at once, and the smallest one's is sent to its anchor's
+   bucket. There the suffixes of all distinct segments that still have
+   ``LENGTH`` bytes are sorted, their common prefixes are computed, and a stack
+   scan yields the tree of common-prefix intervals. An interval whose suffixes
+   have more than one left neighbour is a maximal repeat; at a segment's first
+   byte the left neighbour is unknown and counts as different.
+3. Answers. Buckets send each slot the repeats of its own segments.
+
+So a passage that very many documents share reaches a bucket once for each slot.
 """
 
 from __future__ import annotations
@@ -24,23 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import map_batches, read_table, texts_of
+from tripledger.llm.common import read_table, texts_of
 
 LENGTH = 50
 ANCHOR = 20
 WINDOW = LENGTH - ANCHOR + 1
 LONGEST = LENGTH + WINDOW - 1  # of a segment
-WIDTH = -(-LONGEST // 8) * 8
-#: Bytes of text for each bucket of anchors and segments, about.
-BUCKET_BYTES = 4 << 20
-BLOCK = 1 << 22
+#: Bytes of text for each slot, bucket of anchors and bucket of segments, about.
+SLOT_BYTES = 8 << 20
+ANCHOR_BYTES = 32 << 20
+SEGMENT_BYTES = 8 << 20
+BLOCK = 1 << 20
 PIECE_BYTES = 1 << 22
-SUFFIXES = 1 << 20
 INDEX = np.uint64((1 << 24) - 1)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,228 +130,202 @@ class Segments:
 
 def _pieces(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
     at, held, size = 0, [], 0
-    for text in texts:
+    for k, text in enumerate(texts):
         held.append(text.encode())
         size += len(held[-1])
         if size >= PIECE_BYTES:
             yield at, held
-            at, held, size = at + len(held), [], 0
+            at, held, size = k + 1, [], 0
     if held:
         yield at, held
 
 
-def _keyed(documents: DataFrame, *others: str) -> DataFrame:
-    """Rows with a key: rows are told apart by id and text, equal rows share all."""
-    return texts_of(documents, *others).withColumn("row", F.xxhash64("doc_id", "text"))
+class Slot:
+    """The documents of a slot in a fixed order, those without an id last."""
 
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        ids = self.table.column("doc_id")
+        self.ids = ids.drop_null().to_numpy()
+        self.texts = self.table.column("text").slice(0, len(self.ids)).to_pylist()
 
-SENT = "bucket int, kind int, hashes binary, rows binary, places binary"
-ALONE, SETTLED, FOUND = 0, 1, 2
+    def segments(self) -> Iterator[tuple[int, Segments]]:
+        """Number of the first document, and the segments, of pieces of the slot."""
+        for at, texts in _pieces(self.texts):
+            yield at, Segments(texts)
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, in order, that one document has; and those that several have."""
+        hashes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, found in self.segments():
+            hashes.append(found.hash)
+            docs.append(self.ids[at + found.text])
+        hashed, doc = np.concatenate(hashes), np.concatenate(docs)
+        order = np.argsort(hashed, kind="stable")
+        hashed, doc = hashed[order], doc[order]
+        if not len(hashed):
+            return hashed, hashed
+        first = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1]))
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        return hashed[first[~several]], hashed[first[several]]
+
+    def shared(self, masks: dict[int, bytes], buckets: int) -> np.ndarray:
+        """Hashes that several documents have, by the buckets' answers."""
+        alone, several = self.anchors()
+        kept = [several]
+        bucket = alone % buckets
+        for b, mask in masks.items():
+            mine = alone[bucket == b]
+            kept.append(mine[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(mine)) > 0])
+        return np.unique(np.concatenate(kept))
+
+    def occurrences(self, shared: np.ndarray) -> Iterator[tuple[int, int, bytes, int]]:
+        """Document number, place, bytes and anchor of every segment with a shared anchor."""
+        for at, found in self.segments():
+            found.keep(np.isin(found.hash, shared))
+            data = found.data.tobytes()
+            place = found.begin - found.start[found.text]
+            yield from zip(
+                (at + found.text).tolist(),
+                place.tolist(),
+                [data[a:b] for a, b in zip(found.begin.tolist(), found.end.tolist(), strict=True)],
+                found.hash.tolist(),
+                strict=True,
+            )
 
-def _sent_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors of all documents, packed by bucket.
 
-    ALONE: hash, row and place of an anchor that one document of the batch has.
-    SETTLED: hash of an anchor that several have. FOUND: its rows and places.
-    """
+PACKED = "slot int, bucket int, kind int, data binary, more binary, ids binary"
+ALONE, MASK, CONTENT, SPANS = range(4)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId()
-        for batch in batches:
-            row_of = batch.column("row").to_numpy(zero_copy_only=False)
-            hashes, rows, places = [], [], []
-            for at, texts in _pieces(batch.column("text").to_pylist()):
-                found = Segments(texts)
-                hashes.append(found.hash)
-                rows.append(row_of[at + found.text])
-                places.append((found.anchor - found.start[found.text]).astype(np.int32))
-            if not hashes:
-                continue
-            hashed, row, place = map(np.concatenate, (hashes, rows, places))
-            order = np.argsort(hashed, kind="stable")
-            hashed, row, place = hashed[order], row[order], place[order]
-            first, several = _in_several(hashed, row)
-            settled = np.repeat(several, np.diff(np.append(first, len(hashed))))
-            out = []
-            for kind, h, r, p in (
-                (ALONE, hashed[~settled], row[~settled], place[~settled]),
-                (SETTLED, hashed[first[several]], None, None),
-            ):
-                bucket = h % buckets
-                within = (h // buckets).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    some = order[edges[b] : edges[b + 1]]
-                    if r is None:
-                        out.append((b, kind, within[some].tobytes(), b"", b""))
-                    else:
-                        some = some[np.lexsort((p[some], r[some]))]
-                        out.append(
-                            (b, kind, within[some].tobytes(), r[some].tobytes(), p[some].tobytes())
-                        )
-            if settled.any():
-                out.append(
-                    (turn % buckets, FOUND, b"", row[settled].tobytes(), place[settled].tobytes())
-                )
-            turn += 1
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(column, kind)
-                        for column, kind in zip(
-                            zip(*out, strict=True),
-                            (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()),
-                            strict=True,
-                        )
-                    ],
-                    [name.split()[0] for name in SENT.split(", ")],
-                )
 
-    return docs.select("row", "text").mapInArrow(run, SENT)
+def _packed(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else ((),) * 6
+    return pa.table(
+        {
+            name.split()[0]: pa.array(column, kind)
+            for name, column, kind in zip(PACKED.split(", "), columns, kinds, strict=True)
+        }
+    )
 
 
-def _in_several(hashed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each hash in sorted hashes, and whether more than one row has it."""
-    if not len(hashed):
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    first = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1]))
-    return first, np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
+def _by_bucket(hashed: np.ndarray, buckets: int) -> dict[int, bytes]:
+    bucket = hashed % buckets
+    order = np.argsort(bucket, kind="stable")
+    within = (hashed[order] // buckets).astype(np.uint32)
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return {
+        b: within[edges[b] : edges[b + 1]].tobytes()
+        for b in np.flatnonzero(np.diff(edges)).tolist()
+    }
 
 
-def _shared_places(docs: DataFrame, buckets: int) -> DataFrame:
-    """``row`` and ``places`` of the anchors that other documents have, too."""
+def _shared_anchors(slots: DataFrame, buckets: int) -> DataFrame:
+    """For every slot and bucket, a mask of the slot's own hashes that others have."""
 
-    def settle(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-
-        def all_of(name: str, kind: int, dtype) -> np.ndarray:
-            parts = table.column(name).to_pylist()
-            return np.frombuffer(
-                b"".join(p for p, k in zip(parts, kinds, strict=True) if k == kind), dtype
-            )
+    def send(table: pa.Table) -> pa.Table:
+        slot = table.column("slot")[0].as_py()
+        alone, several = (_by_bucket(h, buckets) for h in Slot(table).anchors())
+        return _packed(
+            [
+                (slot, b, ALONE, alone.get(b, b""), several.get(b, b""), b"")
+                for b in sorted(alone.keys() | several.keys())
+            ]
+        )
 
-        hashed = all_of("hashes", ALONE, np.uint32)
-        row, place = all_of("rows", ALONE, np.int64), all_of("places", ALONE, np.int32)
-        order = np.argsort(hashed, kind="stable")
-        hashed, row, place = hashed[order], row[order], place[order]
-        first, several = _in_several(hashed, row)
-        several = several | np.isin(hashed[first], all_of("hashes", SETTLED, np.uint32))
-        kept = np.repeat(several, np.diff(np.append(first, len(hashed))))
-        row = np.concatenate([row[kept], all_of("rows", FOUND, np.int64)])
-        place = np.concatenate([place[kept], all_of("places", FOUND, np.int32)])
-        order = np.argsort(row, kind="stable")
-        row, place = row[order], place[order]
-        edge = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
-        ends = np.append(edge, len(row)).astype(np.int32)
-        return pa.table(
-            {
-                "row": pa.array(row[edge] if len(row) else row, pa.int64()),
-                "places": pa.ListArray.from_arrays(pa.array(ends), pa.array(place)),
-            }
+    def settle(table: pa.Table) -> pa.Table:
+        slot, bucket = table.column("slot").to_pylist(), table.column("bucket")[0].as_py()
+        mine = [np.frombuffer(x, np.uint32) for x in table.column("data").to_pylist()]
+        several = [np.frombuffer(x, np.uint32) for x in table.column("more").to_pylist()]
+        everyone = np.sort(np.concatenate(mine))
+        twice = everyone[1:][everyone[1:] == everyone[:-1]]
+        known = np.unique(np.concatenate([twice, *several]))
+        masks = [np.isin(hashes, known) for hashes in mine]
+        return _packed(
+            [
+                (s, bucket, MASK, np.packbits(mask).tobytes(), b"", b"")
+                for s, mask in zip(slot, masks, strict=True)
+                if mask.any()
+            ]
         )
 
     return (
-        _sent_anchors(docs, buckets)
+        slots.groupBy("slot")
+        .applyInArrow(send, PACKED)
         .groupBy("bucket")
-        .applyInArrow(settle, "row long, places array<int>")
-        .groupBy("row")
-        .agg(F.flatten(F.collect_list("places")).alias("places"))
+        .applyInArrow(settle, PACKED)
     )
 
 
-def _segments(docs: DataFrame, places: DataFrame, buckets: int, distinct: bool) -> DataFrame:
-    """Segments with a shared anchor.
+def _answers(table: pa.Table, kind: int, *columns: str) -> dict[int, tuple]:
+    """By bucket, the columns of the rows of a kind."""
+    return {
+        b: tuple(values)
+        for b, k, *values in zip(
+            *(table.column(c).to_pylist() for c in ("bucket", "kind", *columns)), strict=True
+        )
+        if k == kind
+    }
 
-    Distinct: bucket, digest and bytes of each that a batch has, with the least
-    and greatest doc_id there. Else: digest, row, doc_id and place of every one.
-    """
 
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        shared = batch.column("places")
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        keys = batch.column("row").to_numpy(zero_copy_only=False)
-        for at, texts in _pieces(batch.column("text").to_pylist()):
-            found = Segments(texts)
-            mine = shared.slice(at, len(texts))
-            count = mine.value_lengths().to_numpy(zero_copy_only=False)
-            wanted = np.repeat(found.start, count) + mine.flatten().to_numpy(zero_copy_only=False)
-            found.keep(np.isin(found.anchor, wanted))
-            data = found.data.tobytes()
-            cut = [
-                data[a:b] for a, b in zip(found.begin.tolist(), found.end.tolist(), strict=True)
-            ]
-            digest = [xxhash.xxh3_128_digest(c) for c in cut]
-            doc = ids[at + found.text]
-            if not distinct:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digest, pa.binary()),
-                        pa.array(keys[at + found.text]),
-                        pa.array(doc),
-                        pa.array((found.begin - found.start[found.text]).astype(np.int32)),
-                    ],
-                    ["segment", "row", "doc_id", "place"],
-                )
-                continue
-            held: dict[bytes, list] = {}
-            for key, c, d, h in zip(digest, cut, doc.tolist(), found.hash.tolist(), strict=True):
-                seen = held.get(key)
-                if seen is None:
-                    held[key] = [h % buckets, key, c, d, d]
-                elif d < seen[3]:
-                    seen[3] = d
-                elif d > seen[4]:
-                    seen[4] = d
-            if held:
-                columns = zip(*held.values(), strict=True)
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
-                    ["bucket", "segment", "content", "low", "high"],
-                )
+def _masks(table: pa.Table) -> dict[int, bytes]:
+    return {b: data for b, (data,) in _answers(table, MASK, "data").items()}
 
-    joined = docs.join(places, "row").select("row", "doc_id", "text", "places")
-    if distinct:
-        schema = "bucket int, segment binary, content binary, low long, high long"
-    else:
-        schema = "segment binary, row long, doc_id long, place int"
-    return map_batches(joined, rows, schema)
+
+def _owned(
+    slot: Slot, shared: np.ndarray, buckets: int
+) -> tuple[dict[bytes, list], list[tuple[int, int, bytes]]]:
+    """Distinct segments, each with bucket and smallest doc_id; and all occurrences.
+
+    The order of the segments is fixed, so that answers can name them by number.
+    """
+    held: dict[bytes, list] = {}
+    places = []
+    ids = slot.ids.tolist()
+    for document, place, content, hashed in slot.occurrences(shared):
+        seen = held.get(content)
+        if seen is None:
+            held[content] = [hashed % buckets, ids[document]]
+        elif ids[document] < seen[1]:
+            seen[1] = ids[document]
+        places.append((document, place, content))
+    return held, places
 
 
 class SuffixTree:
-    """Common-prefix intervals of ``LENGTH`` bytes and more over some segments.
+    """Common-prefix intervals of ``LENGTH`` bytes and more over distinct segments.
 
-    A segment that several documents have stands for two of them, the least and
-    the greatest, so that it is a repeat of itself.
+    A segment stands for the documents that hold it: the least of them, and
+    whether there are several.
     """
 
-    def __init__(self, contents: list[bytes], low: np.ndarray, high: np.ndarray):
-        twin = np.flatnonzero(high != low)
-        segment = np.concatenate([np.arange(len(contents)), twin])
-        document = np.concatenate([low, high[twin]])
+    def __init__(self, contents: list[bytes], least: np.ndarray, several: np.ndarray):
         size = np.fromiter(map(len, contents), np.int64, len(contents))
         begin = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(contents) + bytes(WIDTH), np.uint8)
-        count = size[segment] - LENGTH + 1
-        owner = np.repeat(np.arange(len(segment)), count)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        left = size[segment[owner]] - offset
-        rows = data[(begin[segment[owner]] + offset)[:, None] + np.arange(WIDTH)]
-        rows[np.arange(WIDTH) >= left[:, None]] = 0
-        words = rows.view(">u8").astype(np.uint64)
-        order = np.lexsort((left, *words.T[::-1]))
-        rows, left = rows[order], left[order]
-        differs = rows[1:] != rows[:-1]
-        same = np.where(differs.any(axis=1), differs.argmax(axis=1), WIDTH)
+        data = np.frombuffer(b"".join(contents) + bytes(LONGEST), np.uint8)
+        count = size - LENGTH + 1
+        segment = np.repeat(np.arange(len(contents)), count)
+        offset = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
+        left = size[segment] - offset
+        # What follows a segment's end is blank; the length makes suffixes with blanks differ.
+        rows = np.zeros((len(segment), LONGEST + 1), np.uint8)
+        rows[:, :LONGEST] = data[(begin[segment] + offset)[:, None] + np.arange(LONGEST)]
+        rows[:, :LONGEST][np.arange(LONGEST) >= left[:, None]] = 0
+        rows[:, LONGEST] = left
+        order = np.argsort(rows.view(f"S{LONGEST + 1}").ravel(), kind="stable")
+        rows, left = rows[order, :LONGEST], left[order]
+        same = np.full(max(0, len(rows) - 1), LONGEST)
+        for at in range(0, len(same), 1 << 17):
+            differs = rows[at + 1 : at + 1 + (1 << 17)] != rows[at : at + (1 << 17)][: len(same) - at]
+            same[at : at + len(differs)] = np.where(
+                differs.any(axis=1), differs.argmax(axis=1), LONGEST
+            )
         self.common = np.minimum(same, np.minimum(left[1:], left[:-1]))
-        self.segment = segment[owner][order]
-        self.offset = offset[order]
-        self.document = document[owner][order]
+        self.segment, self.offset, self.size = segment[order], offset[order], size
+        self.least, self.several = least, several
         # The byte on the left; at a segment's first byte it is unknown.
-        at = begin[self.segment] + self.offset
-        self.left = np.where(self.offset > 0, data[at - 1].astype(np.int64), -1)
+        before = data[begin[self.segment] + self.offset - 1].astype(np.int64)
+        self.left = np.where(self.offset > 0, before, -1)
 
     def intervals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last suffix and depth of every interval, by a stack scan."""
@@ -376,49 +352,136 @@ class SuffixTree:
         return first, last, depth
 
     def maximal(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The intervals with more than one left neighbour."""
+        """The intervals with more than one left neighbour.
+
+        A segment that several documents hold is one by itself, from its first byte.
+        """
         first, last, depth = self.intervals()
-        changes = np.cumsum(np.append(0, (self.left[1:] != self.left[:-1]) | (self.left[1:] < 0)))
-        diverse = (changes[last] > changes[first]) | (self.left[first] < 0)
-        return first[diverse], last[diverse], depth[diverse]
+        if len(self.left):
+            changes = np.cumsum(
+                np.append(0, (self.left[1:] != self.left[:-1]) | (self.left[1:] < 0))
+            )
+            diverse = (changes[last] > changes[first]) | (self.left[first] < 0)
+            first, last, depth = first[diverse], last[diverse], depth[diverse]
+        whole = np.flatnonzero((self.offset == 0) & self.several[self.segment])
+        return (
+            np.concatenate([first, whole]),
+            np.concatenate([last, whole]),
+            np.concatenate([depth, self.size[self.segment[whole]]]),
+        )
 
-    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Group number, suffix and depth of every member of every maximal repeat."""
+    def members(self) -> tuple[np.ndarray, ...]:
+        """Group, segment, offset, depth and the group's least document, of all members."""
         first, last, depth = self.maximal()
+        if not len(first):
+            return (first,) * 5
         size = last - first + 1
         group = np.repeat(np.arange(len(size)), size)
         member = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + first[group]
-        return group, member, depth[group]
+        held = np.append(self.least[self.segment], np.iinfo(np.int64).max)
+        least = np.minimum.reduceat(held, np.stack([first, last + 1], axis=1).ravel())[::2]
+        return group, self.segment[member], self.offset[member], depth[group], least[group]
+
+
+class Bucket:
+    """The segments that slots have sent to a bucket."""
+
+    def __init__(self, table: pa.Table):
+        self.bucket = table.column("bucket")[0].as_py()
+        self.slots = []  # slot, numbers of its segments here, their least documents
+        held: dict[bytes, int] = {}
+        least: list[int] = []
+        several: list[bool] = []
+        for slot, data, sizes, ids in zip(
+            *(table.column(c).to_pylist() for c in ("slot", "data", "more", "ids")), strict=True
+        ):
+            end, numbers = 0, []
+            for size, doc in zip(
+                np.frombuffer(sizes, np.uint8).tolist(), np.frombuffer(ids, np.int64).tolist(),
+                strict=True,
+            ):
+                content = data[end : end + size]
+                end += size
+                number = held.setdefault(content, len(held))
+                if number == len(least):
+                    least.append(doc)
+                    several.append(False)
+                elif doc != least[number]:
+                    several[number] = True
+                    least[number] = min(doc, least[number])
+                numbers.append(number)
+            self.slots.append((slot, np.array(numbers), np.frombuffer(ids, np.int64)))
+        self.tree = SuffixTree(list(held), np.array(least, np.int64), np.array(several, bool))
+
+
+def _sent_segments(slots: DataFrame, masks: DataFrame, buckets: int, spread: int) -> DataFrame:
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _packed([])
+        slot = Slot(table)
+        held, _ = _owned(slot, slot.shared(_masks(answers), buckets), spread)
+        grouped: dict[int, list[tuple[bytes, int]]] = {}
+        for content, (bucket, doc) in held.items():
+            grouped.setdefault(bucket, []).append((content, doc))
+        number = table.column("slot")[0].as_py()
+        return _packed(
+            [
+                (
+                    number,
+                    bucket,
+                    CONTENT,
+                    b"".join(c for c, _ in some),
+                    bytes(len(c) for c, _ in some),
+                    np.array([d for _, d in some], np.int64).tobytes(),
+                )
+                for bucket, some in grouped.items()
+            ]
+        )
 
-    def least_document(self) -> np.ndarray:
-        first, last, _ = self.maximal()
-        if not len(first):
-            return first
-        ends = np.stack([first, last + 1], axis=1).ravel()
-        held = np.append(self.document, np.iinfo(np.int64).max)
-        return np.minimum.reduceat(held, ends)[::2]
+    return slots.groupBy("slot").cogroup(masks.groupBy("slot")).applyInArrow(send, PACKED)
 
 
-def _merged(table: pa.Table) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
-    """The distinct segments of a bucket, each with its least and greatest document."""
-    held: dict[bytes, list] = {}
-    columns = (table.column(n).to_pylist() for n in ("segment", "content", "low", "high"))
-    for key, content, low, high in zip(*columns, strict=True):
-        seen = held.setdefault(key, [content, low, high])
-        seen[1], seen[2] = min(seen[1], low), max(seen[2], high)
-    values = held.values()
-    return (
-        list(held),
-        [v[0] for v in values],
-        np.array([v[1] for v in values], np.int64),
-        np.array([v[2] for v in values], np.int64),
-    )
+def _own_spans(table: pa.Table) -> pa.Table:
+    """For every slot, spans of its own segments that a smaller doc_id has, too."""
+    bucket = Bucket(table)
+    _, segment, begin, depth, least = bucket.tree.members()
+    order = np.lexsort((least, segment))
+    segment, begin, least = segment[order], begin[order], least[order]
+    end = begin + depth[order]
+    if len(segment):
+        # Spans of over half a segment overlap, so those of one least document are one span.
+        at = np.flatnonzero(
+            np.append(True, (segment[1:] != segment[:-1]) | (least[1:] != least[:-1]))
+        )
+        begin, end = np.minimum.reduceat(begin, at), np.maximum.reduceat(end, at)
+        segment, least = segment[at], least[at]
+    rows = []
+    for slot, numbers, docs in bucket.slots:
+        low = np.searchsorted(segment, numbers, "left")
+        count = np.searchsorted(segment, numbers, "right") - low
+        own = np.repeat(np.arange(len(numbers)), count)
+        span = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + low[own]
+        useful = least[span] < docs[own]
+        own, span = own[useful], span[useful]
+        if len(own):
+            ends = np.stack([begin[span], end[span]], axis=1).astype(np.uint8)
+            rows.append(
+                (slot, bucket.bucket, SPANS, own.astype(np.uint32).tobytes(), ends.tobytes(), b"")
+            )
+    return _packed(rows)
 
 
-def _setting(documents: DataFrame) -> tuple[DataFrame, int]:
-    docs = _keyed(documents)
+def _setting(documents: DataFrame, *others: str) -> tuple[DataFrame, int, int]:
+    """Documents in slots, and the numbers of buckets of anchors and of segments."""
+    docs = texts_of(documents, *others)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return docs, max(8, -(-size // BUCKET_BYTES))
+    slots = max(8, -(-size // SLOT_BYTES))
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int")
+    return (
+        docs.withColumn("slot", slot),
+        max(8, -(-size // ANCHOR_BYTES)),
+        max(8, -(-size // SEGMENT_BYTES)),
+    )
 
 
 def maximal_repeats(documents: DataFrame) -> DataFrame:
@@ -430,114 +493,82 @@ def maximal_repeats(documents: DataFrame) -> DataFrame:
     all its occurrences. Texts are UTF-8, null ones empty; rows with a null id
     take no part.
     """
-    docs, buckets = _setting(documents.where(F.col("doc_id").isNotNull()))
-    places = _shared_places(docs, buckets)
+    slots, buckets, spread = _setting(documents.where(F.col("doc_id").isNotNull()))
+    masks = _shared_anchors(slots, buckets)
 
     def grouped(table: pa.Table) -> pa.Table:
-        keys, contents, low, high = _merged(table)
-        tree = SuffixTree(contents, low, high)
-        group, member, depth = tree.groups()
-        bucket = table.column("bucket")[0].as_py()
-        pairs = sorted(
-            set(
-                zip(
-                    group.tolist(),
-                    tree.segment[member].tolist(),
-                    tree.offset[member].tolist(),
-                    depth.tolist(),
-                    strict=True,
+        bucket = Bucket(table)
+        group, segment, offset, depth, _ = bucket.tree.members()
+        order = np.argsort(segment, kind="stable")
+        group, segment, offset, depth = (x[order] for x in (group, segment, offset, depth))
+        rows = []
+        for slot, numbers, _ in bucket.slots:
+            low = np.searchsorted(segment, numbers, "left")
+            count = np.searchsorted(segment, numbers, "right") - low
+            own = np.repeat(np.arange(len(numbers)), count)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + low[own]
+            if len(own):
+                ends = np.stack([offset[at], depth[at]], axis=1).astype(np.uint8)
+                rows.append(
+                    (
+                        slot,
+                        bucket.bucket,
+                        SPANS,
+                        own.astype(np.uint32).tobytes(),
+                        ends.tobytes(),
+                        group[at].astype(np.int64).tobytes(),
+                    )
                 )
-            )
-        )
-        return pa.table(
-            {
-                "repeat": pa.array([f"{bucket}-{g}" for g, _, _, _ in pairs], pa.string()),
-                "segment": pa.array([keys[s] for _, s, _, _ in pairs], pa.binary()),
-                "offset": pa.array([o for _, _, o, _ in pairs], pa.int32()),
-                "length": pa.array([d for _, _, _, d in pairs], pa.int32()),
-            }
-        )
+        return _packed(rows)
 
     groups = (
-        _segments(docs, places, buckets, distinct=True)
-        .groupBy("bucket")
-        .applyInArrow(grouped, "repeat string, segment binary, offset int, length int")
-    )
-    return (
-        _segments(docs, places, buckets, distinct=False)
-        .join(groups, "segment")
-        .select("repeat", "length", "doc_id", (F.col("place") + F.col("offset")).alias("place"))
+        _sent_segments(slots, masks, buckets, spread).groupBy("bucket").applyInArrow(grouped, PACKED)
     )
 
-
-SPANS = "segment binary, spans array<struct<begin:int,end:int,least:long>>"
-
-
-def repeated_spans(docs: DataFrame, buckets: int) -> DataFrame:
-    """``row`` and ``spans``: bytes of a document that a smaller doc_id has, too.
-
-    ``docs`` comes from ``_keyed``. Spans name the doc_id they belong to; they
-    may overlap.
-    """
-    places = _shared_places(docs, buckets)
-
-    def spanned(table: pa.Table) -> pa.Table:
-        keys, contents, low, high = _merged(table)
-        tree = SuffixTree(contents, low, high)
-        group, member, depth = tree.groups()
-        least = tree.least_document()[group]
-        segment, begin = tree.segment[member], tree.offset[member]
-        useful = least < high[segment]
-        segment, begin, least = segment[useful], begin[useful], least[useful]
-        end = begin + depth[useful]
-        order = np.lexsort((least, segment))
-        segment, begin, end, least = (x[order] for x in (segment, begin, end, least))
-        kinds = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("least", pa.int64())])
-        if not len(segment):
-            return pa.table(
-                {"segment": pa.array([], pa.binary()), "spans": pa.array([], pa.list_(kinds))}
-            )
-        # Spans of over half a segment overlap, so those of one least document are one span.
-        new = np.append(True, (segment[1:] != segment[:-1]) | (least[1:] != least[:-1]))
-        at = np.flatnonzero(new)
-        begin, end = np.minimum.reduceat(begin, at), np.maximum.reduceat(end, at)
-        segment, least = segment[at], least[at]
-        edge = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-        values = pa.StructArray.from_arrays(
-            [pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(least)],
-            fields=list(kinds),
-        )
-        ends = pa.array(np.append(edge, len(segment)).astype(np.int32))
+    def places(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out: set[tuple] = set()
+        if table.num_rows:
+            slot = Slot(table)
+            held, found = _owned(slot, slot.shared(_masks(answers), buckets), spread)
+            members = _answered(held, answers)
+            for document, place, content in found:
+                for group, offset, depth in members.get(content, ()):
+                    out.add((group, depth, int(slot.ids[document]), place + offset))
+        columns = list(zip(*sorted(out), strict=True)) or [()] * 4
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
         return pa.table(
             {
-                "segment": pa.array([keys[s] for s in segment[edge]], pa.binary()),
-                "spans": pa.ListArray.from_arrays(ends, values),
+                name: pa.array(column, kind)
+                for name, column, kind in zip(
+                    ("repeat", "length", "doc_id", "place"), columns, kinds, strict=True
+                )
             }
         )
 
-    spans = (
-        _segments(docs, places, buckets, distinct=True)
-        .groupBy("bucket")
-        .applyInArrow(spanned, SPANS)
-    )
-    here = F.transform(
-        F.filter("spans", lambda s: s["least"] < F.col("doc_id")),
-        lambda s: F.struct(
-            F.col("doc_id"),
-            (F.col("place") + s["begin"]).alias("begin"),
-            (F.col("place") + s["end"]).alias("end"),
-        ),
-    )
     return (
-        _segments(docs, places, buckets, distinct=False)
-        .join(spans, "segment")
-        .select("row", here.alias("spans"))
-        .where(F.size("spans") > 0)
-        .groupBy("row")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        slots.groupBy("slot")
+        .cogroup(masks.unionByName(groups).groupBy("slot"))
+        .applyInArrow(places, "repeat string, length int, doc_id long, place long")
     )
 
 
+def _answered(held: dict[bytes, list], answers: pa.Table) -> dict[bytes, list]:
+    """What the buckets have answered for a slot's segments: name, first and second number."""
+    grouped: dict[int, list[bytes]] = {}
+    for content, (bucket, _) in held.items():
+        grouped.setdefault(bucket, []).append(content)
+    out: dict[bytes, list] = {}
+    for b, (own, ends, names) in _answers(answers, SPANS, "data", "more", "ids").items():
+        own = np.frombuffer(own, np.uint32)
+        named = np.frombuffer(names, np.int64) if names else np.zeros(len(own), np.int64)
+        for k, (x, y), name in zip(
+            own.tolist(), np.frombuffer(ends, np.uint8).reshape(-1, 2).tolist(), named.tolist(),
+            strict=True,
+        ):
+            out.setdefault(grouped[b][k], []).append((f"{b}-{name}", x, y))
+    return out
+
+
 def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the spans' union; spans that touch are one run."""
     out: list[list[int]] = []
@@ -549,9 +580,7 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-KEPT = (
-    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-)
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def without_repeats(documents: DataFrame, *others: str) -> DataFrame:
@@ -560,21 +589,41 @@ def without_repeats(documents: DataFrame, *others: str) -> DataFrame:
     A byte goes if a ``LENGTH``-byte string over it also starts in a document
     with a smaller doc_id, judged on the input. Columns: those of ``KEPT`` and
     the ``others`` as they are; ``kept`` is the text of the bytes that stay,
-    without those of characters that were cut in part. Null texts are empty. Rows with a null id are smaller than none and keep all. Rows with one
-    id never remove from each other. An empty table gives an empty result.
+    without those of characters that were cut in part. Null texts are empty.
+    Rows with a null id are smaller than none and keep all. Rows with one id
+    never remove from each other. An empty table gives an empty result.
     """
-    docs, buckets = _setting(documents)
-    passed = texts_of(documents, *others).schema[2:]
-    full = _keyed(documents, *others)
-    spans = repeated_spans(docs.where(F.col("doc_id").isNotNull()), buckets)
+    slots, buckets, spread = _setting(documents, *others)
+    masks = _shared_anchors(slots, buckets)
+    spans = (
+        _sent_segments(slots, masks, buckets, spread)
+        .groupBy("bucket")
+        .applyInArrow(_own_spans, PACKED)
+    )
 
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+        slot = Slot(table)
+        removed: list[list] = [[] for _ in range(table.num_rows)]
+        if table.num_rows:
+            held, found = _owned(slot, slot.shared(_masks(answers), buckets), spread)
+            own = _answered(held, answers)
+            ids = slot.ids.tolist()
+            for document, place, content in found:
+                if ids[document] > held[content][1]:
+                    removed[document].append((place, place + len(content)))
+                else:
+                    removed[document] += [
+                        (place + a, place + b) for _, a, b in own.get(content, ())
+                    ]
         out = []
-        for doc_id, text, found in zip(
-            *(batch.column(n).to_pylist() for n in ("doc_id", "text", "spans")), strict=True
+        for doc_id, text, spans in zip(
+            slot.table.column("doc_id").to_pylist(),
+            slot.table.column("text").to_pylist(),
+            removed,
+            strict=True,
         ):
             data = text.encode()
-            runs = _runs([(s["begin"], s["end"]) for s in found or () if s["doc_id"] == doc_id])
+            runs = _runs(spans)
             edges = [0, *(x for run in runs for x in run), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             out.append(
@@ -588,17 +637,20 @@ def without_repeats(documents: DataFrame, *others: str) -> DataFrame:
                 )
             )
         kinds = [pa.int64()] * 4 + [pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-            + [batch.column(name) for name in others],
-            [*(name.split()[0] for name in KEPT.split(", ")), *others],
-        )
-
-    joined = full.join(spans, "row", "left").select("doc_id", "text", "spans", *others)
-    schema = KEPT + "".join(f", {f.name} {f.dataType.simpleString()}" for f in passed)
-    return map_batches(joined, rows, schema)
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        made = {
+            name.split()[0]: pa.array(column, kind)
+            for name, column, kind in zip(KEPT.split(", "), columns, kinds, strict=True)
+        }
+        return pa.table(made | {name: slot.table.column(name) for name in others})
+
+    passed = (f", {f.name} {f.dataType.simpleString()}" for f in slots.schema if f.name in others)
+    return (
+        slots.groupBy("slot")
+        .cogroup(masks.unionByName(spans).groupBy("slot"))
+        .applyInArrow(cut, KEPT + "".join(passed))
+    )
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(read_table(spark, sf_dir, "documents"))
-    return found.drop("kept")
+    return without_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
