@@ -17,7 +17,9 @@ token is padding, and only the share of documents that the gaps need is cut.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -38,43 +40,62 @@ SEQUENCE = 2048
 UNIT = 8
 #: The linear program stops here, or sooner when no more than half a sequence can be won.
 MAX_PATTERNS = 3000
-#: Words that a worker remembers; beyond that it starts anew.
-WORDS = 400_000
+#: Parts of words that a worker remembers; beyond that it starts anew.
+KNOWN = 900_000
 #: Left-over documents that may be broadcast, about 100 bytes each; beyond that they are joined.
 BROADCAST_ROWS = 200_000
-PIECE = 1 << 21
+PIECE = 1 << 20
 END_BYTES = np.array([END], "<u4").tobytes()
 FAR = 1 << 40
 
 
-class Encoder:
-    """Ids as little-endian 32-bit bytes.
+# How the tokenizer parts a text of these characters.
+PLAIN_TEXT = re.compile("[\n -~À-ÖØ-öø-ÿ]*")
+PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\n a-z0-9ß-öø-ÿ]+")
+
+
+def parts_of(text: str) -> list[str]:
+    """A text in parts that are encoded one by one.
 
-    The tokenizer never joins what a space or a line feed parts, so the parts
-    between them are encoded once and remembered.
+    The tokenizer never joins what a space or a line feed parts. Words of plain
+    letters and signs are parted as the tokenizer does it; others stay whole.
     """
+    if "<|" not in text and PLAIN_TEXT.fullmatch(text):
+        return PARTS.findall(text.lower())
+    out: list[str] = []
+    for word in text.replace("\n", " ").split(" "):
+        if "<|" not in word and PLAIN_WORD.fullmatch(word):
+            out += PARTS.findall(word.lower())
+        elif word:
+            out.append(word)
+    return out
+
+
+class Encoder:
+    """Ids as little-endian 32-bit bytes; parts that have come before are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a, b in pieces_of(texts, PIECE, len):
-            words = [t.replace("\n", " ").split(" ") for t in texts[a:b]]
-            new = set(chain.from_iterable(words)).difference(self.known)
-            if len(self.known) + len(new) > WORDS:
-                self.known = {"": b""}
-                new = set(chain.from_iterable(words)).difference(self.known)
+            each = [parts_of(t) for t in texts[a:b]]
+            new = set(chain.from_iterable(each)).difference(self.known)
+            if len(self.known) + len(new) > KNOWN:
+                self.known = {}
+                new = set(chain.from_iterable(each))
             new = list(new)
             for at in range(0, len(new), 4096):
                 some = new[at : at + 4096]
                 found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                for word, e in zip(some, found, strict=True):
-                    self.known[word] = np.array(e.ids, "<u4").tobytes()
-            for each in words:
-                yield b"".join(map(self.known.__getitem__, each)) + END_BYTES
+                for part, e in zip(some, found, strict=True):
+                    self.known[part] = array("I", e.ids).tobytes()
+            for parts in each:
+                yield b"".join(map(self.known.__getitem__, parts)) + END_BYTES
 
 
 _ENCODERS: dict[str, Encoder] = {}
