@@ -1,3 +1,4 @@
+import os
 from dataclasses import replace
 
 import numpy as np
@@ -9,14 +10,19 @@ from pyspark.sql import functions as F
 from fixtures import planted_trips
 from tripledger.models import additive, bundle, hybrid
 from tripledger.models.hybrid import evaluate, fit_hybrid, forecast
-from tripledger.models.sequence import scaled_step, window_vector
+from tripledger.models.sequence import (
+    default_regressor,
+    fit_sequence,
+    scaled_step,
+    window_vector,
+)
 from tripledger.operators.ranks import train_size
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import with_history
 from tripledger.plans.trips import rank_trips
 from tripledger.schemas import REQUEST
-from tripledger.session import scratch_path, shared_dir
-from tripledger.streaming.scoring import score_stream
+from tripledger.session import Scratch, scratch_path, shared_dir
+from tripledger.streaming.scoring import reject_stream, score_stream
 
 CODES = ["AA", "BB", "CC", "DD"]
 
@@ -60,26 +66,6 @@ def test_ridge_equals_the_closed_form(spark):
         assert fitted.summary.meanSquaredError == pytest.approx(mse, rel=1e-6)
 
 
-def test_grouped_fit_equals_the_fit_on_single_trips(spark, monkeypatch):
-    """Many trips with equal inputs and different totals, with and without grouping."""
-    rng = np.random.default_rng(2)
-    trips = planted_trips(spark, 150).select("ds", "duration", "home_country", "dest_country", "y")
-    rows = [tuple(r)[:4] + (r.y + float(e),) for r in trips.collect() for e in rng.normal(0, 50, 4)]
-    trips = spark.createDataFrame(rows, trips.schema)
-    grouped = dict(additive.fit_additive(trips, CODES).coefficients())
-    monkeypatch.setattr(
-        additive,
-        "distinct_inputs",
-        lambda df: df.withColumns(
-            {"n": F.lit(1).cast("long"), "y_variance": F.lit(0.0), "y_size": F.abs("y")}
-        ),
-    )
-    single = dict(additive.fit_additive(trips, CODES).coefficients())
-    assert grouped.keys() == single.keys()
-    for name, value in single.items():
-        assert grouped[name] == pytest.approx(value, abs=1e-6)
-
-
 def test_additive_model_recovers_planted_effects(model, ranked):
     effects = dict(model.additive.coefficients())
     scale = model.additive.design.y_scale
@@ -134,7 +120,7 @@ def test_hybrid_beats_the_training_mean(model, ranked):
 
 
 def test_hold_out_predictions_average_both_parts(model, ranked):
-    rows = hybrid.predict_hold_out(model, ranked.rows, ranked.count).collect()
+    rows = hybrid.predict_hold_out(model, ranked).collect()
     assert len(rows) == ranked.count - model.train_rows
     for r in rows:
         assert r.predicted == pytest.approx((r.additive + r.sequence) / 2)
@@ -187,7 +173,7 @@ def test_fallback_reports_zero_and_leaves_the_total_alone(model, requests, ranke
     alone = replace(model, sequence=None)
     for r in forecast(alone, requests).collect():
         assert (r.sequence, r.total) == (0.0, r.additive)
-    rows = hybrid.predict_hold_out(alone, ranked.rows, ranked.count).collect()
+    rows = hybrid.predict_hold_out(alone, ranked).collect()
     assert all(r.predicted == r.additive for r in rows)
 
 
@@ -199,10 +185,67 @@ def test_sequence_part_needs_a_window(spark, rows, fits):
     assert len(model.tail) == min(rows, 60)
 
 
-def test_a_missing_request_input_is_an_error(spark, model):
-    bad = spark.createDataFrame([("AA", "BB", None, 3, 2021)], REQUEST)
+BAD = [("AA", "BB", None, 3, 2021), ("AA", "BB", 2, 13, 2021), ("AA", "BB", 2, None, 2021),
+       ("AA", "BB", 2, 3, 0)]
+
+
+def test_a_bad_request_does_not_disturb_the_others(spark, model, requests):
+    both = requests.unionByName(spark.createDataFrame(BAD, REQUEST))
+    rows = forecast(model, both).collect()
+    assert len(rows) == 7
+    bad = [r for r in rows if r.total is None]
+    assert len(bad) == 4 and all(r.breakdown is None and r.additive is None for r in bad)
+    assert sorted(r.total for r in rows if r.total is not None) == sorted(
+        r.total for r in forecast(model, requests).collect()
+    )
+
+
+def test_a_stream_goes_on_after_a_bad_request(spark, model, requests):
+    base = scratch_path(spark, "stream")
+    requests.unionByName(spark.createDataFrame(BAD, REQUEST)).write.parquet(f"{base}/in")
+
+    def run():
+        stream = spark.readStream.schema(REQUEST).parquet(f"{base}/in")
+        score_stream(model, stream, f"{base}/out", f"{base}/p1", available_now=True).awaitTermination()
+        reject_stream(stream, f"{base}/bad", f"{base}/p2", available_now=True).awaitTermination()
+        return spark.read.parquet(f"{base}/out").count(), spark.read.parquet(f"{base}/bad").count()
+
+    assert run() == (3, 4)
+    requests.limit(1).write.mode("append").parquet(f"{base}/in")
+    assert run() == (4, 4)
+
+
+def test_the_sequence_fit_converges_or_says_so(spark, ranked):
+    rows = train_size(ranked.count)
+    train = ranked.rows.filter(F.col("rn") < rows)
+    scaler = MinMax.fit(train, CODES)
+    fitted = fit_sequence(train, rows, CODES, scaler).pipeline.stages[-1]
+    assert fitted.summary.totalIterations < fitted.getMaxIter()
+    with pytest.raises(RuntimeError, match="did not converge"):
+        fit_sequence(train, rows, CODES, scaler, default_regressor(max_iter=2))
+
+
+def test_no_changepoints_and_no_countries(ranked, requests):
+    rows = train_size(ranked.count)
+    train = ranked.rows.filter(F.col("rn") < rows)
+    plain = additive.Settings(changepoints=0)
+    assert additive.fit_calendar(train, plain).changepoints == ()
+    model = fit_hybrid(train, rows, [], settings=plain)
+    assert forecast(model, requests).filter("total IS NOT NULL").count() == 3
+
+
+def test_too_many_design_columns_are_refused(ranked):
+    with pytest.raises(ValueError, match="design columns"):
+        additive.fit_additive(ranked.rows, [f"C{k}" for k in range(2_100)])
+
+
+def test_a_damaged_bundle_is_an_error(spark, model):
+    path = scratch_path(spark, "bundle")
+    bundle.save(model, path)
+    run = spark.read.parquet(f"{path}/manifest").first().run
+    os.rename(f"{path}/runs/{run}/scaler", f"{path}/runs/{run}/lost")
     with pytest.raises(Exception):
-        forecast(model, bad).collect()
+        bundle.load_or_train(spark, path, lambda: model)
 
 
 def test_another_regressor_can_be_plugged_in(ranked, requests):
@@ -283,3 +326,11 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def test_released_scratch_is_gone(spark):
+    scratch = Scratch(spark, "job")
+    kept = scratch.stage(spark.range(5), "numbers")
+    assert kept.count() == 5 and os.path.isdir(scratch.root)
+    scratch.release()
+    assert not os.path.exists(scratch.root)

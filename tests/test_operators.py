@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fixtures import planted_trips
 from tripledger.functions.trip import month_name
 from tripledger.operators import encode, metrics, ranks, windows
 from tripledger.operators.scaling import MinMax
+from tripledger.plans.trips import rank_trips
 
 LABELS = ["AA", "BB", "CC"]
 
@@ -33,12 +35,11 @@ def test_feature_names():
     assert encode.feature_names(columns, with_target=True)[0] == "y"
 
 
-def test_domain_is_sorted_distinct_and_limited(spark, monkeypatch):
+def test_domain_is_sorted_and_distinct(spark):
     countries = spark.createDataFrame([("B", "b"), ("A", "a"), ("B", "b")], "code string, name string")
     assert encode.domain_of(countries) == ["A", "B"]
-    monkeypatch.setattr(encode, "DOMAIN_LIMIT", 1)
-    with pytest.raises(ValueError):
-        encode.domain_of(countries)
+    many = spark.range(2_001).select(F.concat(F.lit("C"), "id").alias("code"))
+    assert len(encode.domain_of(many)) == 2_001
 
 
 def test_country_names(spark):
@@ -58,6 +59,26 @@ def test_rank_equals_a_global_row_number(spark):
     assert found == {k: i for i, k in enumerate(sorted(keys))}
 
 
+def test_rows_since_a_position_skip_earlier_partitions(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(6)
+    ranked = ranks.rank_rows(df, "k")
+    want = {r.k: r.rn for r in ranked.rows.collect()}
+    for first in (0, 1, 2500, 4990, 5000):
+        found = ranked.since(first)
+        assert {r.k: r.rn for r in found.collect()} == {k: n for k, n in want.items() if n >= first}
+    plan = ranked.since(4990)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(part," in plan
+
+
+def test_ties_do_not_follow_the_order_of_delivery(spark):
+    trips = planted_trips(spark, 300).withColumn("ds", F.lit("2023-01-01").cast("date"))
+    found = [
+        {r.report_key: r.rn for r in rank_trips(t, ["AA"], ("ds",)).rows.collect()}
+        for t in (trips.repartition(5), trips.orderBy(F.desc("report_key")).repartition(3))
+    ]
+    assert found[0] == found[1] and len(found[0]) == 300
+
+
 def test_rank_by_several_columns_and_of_nothing(spark):
     df = spark.createDataFrame([(2, "a"), (1, "b"), (1, "a")], "n long, s string")
     found = {(r.n, r.s): r.rn for r in ranks.rank_rows(df, "n", "s").rows.collect()}

@@ -1,11 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_DIR
 from fixtures import lines
 from tripledger.operators import allowance, rollup
 from tripledger.operators.metrics import category_shares
 from tripledger.plans.trips import build_trips
-from tripledger.sources import files
+from tripledger.sources import adapter, files
 from tripledger.sources.countries import builtin_countries, builtin_rates
 
 # A ten-line expense file and the ten trips it makes.
@@ -221,12 +222,9 @@ def test_two_rates_for_a_country_are_rejected(spark):
         build_trips(lines(spark, (1, "HOTEL", 1.0)), rates)
 
 
-def test_a_large_rate_table_is_joined_without_a_hint(spark, monkeypatch):
+def test_a_rate_table_is_broadcast_by_its_measured_size_only(spark):
     df = lines(spark, *[(k, "HOTEL", 1.0, {"home": "SE" if k % 3 else "US"}) for k in range(30)])
-    hinted = build_trips(df, builtin_rates(spark)).orderBy("report_key")
-    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
-    want = hinted.collect()
-    monkeypatch.setattr("tripledger.session.BROADCAST_ROW_LIMIT", 10)
+    want = build_trips(df, builtin_rates(spark)).orderBy("report_key").collect()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         shuffled = build_trips(df, builtin_rates(spark)).orderBy("report_key")
@@ -236,6 +234,11 @@ def test_a_large_rate_table_is_joined_without_a_hint(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_amounts_that_are_no_numbers_count_as_missing(spark):
+    trip = build_trips(lines(spark, (1, "HOTEL", float("nan")), (1, "HOTEL", 2.0)), builtin_rates(spark))
+    assert trip.first().y_hotel == 2.0
+
+
 def test_a_hot_trip_key_is_reduced_before_the_shuffle(spark):
     """A third of all lines on one key: at most one state per task and key is shuffled."""
     df = spark.range(30_000).select(
@@ -264,3 +267,63 @@ def test_rates_and_requests_files(spark, tmp_path):
     (tmp_path / "q.csv").write_text("home_country,dest_country,num_days,month,year\nSE,PL,3,4,\n")
     row = files.scan_requests(spark, str(tmp_path / "q.csv")).first()
     assert tuple(row) == ("SE", "PL", 3, 4, None)
+
+
+HEADER = "home_country,dest_country,num_days,month,year\n"
+
+
+@pytest.mark.parametrize(
+    "scan, text",
+    [
+        (files.scan_rates, "country,daily_allowance\nSE,abc\n"),
+        (files.scan_rates, "country,daily_allowance\nSE,95 EUR\n"),
+        (files.scan_rates, "country,daily_allowance\nSE,1,2\n"),
+        (files.scan_rates, "daily_allowance,country\n1,SE\n"),
+        (files.scan_requests, "dest_country,home_country,num_days,month,year\nSE,PL,1,2,2025\n"),
+        (files.scan_requests, HEADER + "SE,PL,three,2,2025\n"),
+    ],
+)
+def test_bad_rows_and_headers_are_errors(spark, tmp_path, scan, text):
+    (tmp_path / "f.csv").write_text(text)
+    with pytest.raises(Exception):
+        scan(spark, str(tmp_path / "f.csv")).collect()
+
+
+def test_bad_rows_can_be_set_aside(spark, tmp_path):
+    (tmp_path / "f.csv").write_text(HEADER + "SE,PL,3,2,2025\nSE,PL,x,2,\nSE,PL,1,13.5,\nSE,PL,1\n")
+    rejects = str(tmp_path / "rejects")
+    kept = files.scan_requests(spark, str(tmp_path / "f.csv"), rejects=rejects)
+    assert [tuple(r) for r in kept.collect()] == [("SE", "PL", 3, 2, 2025)]
+    assert files.count_rejects(spark, rejects) == 3
+    # A column that a query does not use still decides.
+    assert files.scan_requests(
+        spark, str(tmp_path / "f.csv"), rejects=rejects
+    ).select("home_country").count() == 1
+
+
+def test_rates_may_have_the_headers_of_a_spreadsheet(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Country,Daily_Allowance\nSE,90\n")
+    assert tuple(files.scan_rates(spark, str(tmp_path / "r.csv")).first()) == ("SE", 90.0)
+
+
+def test_lines_with_text_keys_are_not_lost(spark, tmp_path):
+    files.write_expense_lines(
+        lines(spark, (1, "HOTEL", 1.0), (2, "HOTEL", 2.0)).withColumns(
+            {"report_key": F.concat(F.lit("A"), "report_key"), "currency_key": F.lit("EUR"),
+             "currency_name": F.lit("Euro"), "dom_intl_flag": F.lit("FOREIGN")}
+        ),
+        str(tmp_path / "l"),
+    )
+    with pytest.raises(Exception, match="bad row"):
+        files.scan_expense_lines(spark, str(tmp_path / "l")).select("report_key").collect()
+
+
+def test_lines_without_partners_stay(spark, tmp_path):
+    """An order line whose order and supplier are missing keeps its amount."""
+    for name in ("orders", "customer", "supplier", "nation", "lineitem"):
+        rows = spark.read.parquet(f"{SF_DIR}/{name}.parquet")
+        (rows.limit(0) if name in ("orders", "supplier") else rows.limit(5)).write.parquet(
+            str(tmp_path / f"{name}.parquet")
+        )
+    found = adapter.expense_lines(spark, str(tmp_path)).collect()
+    assert len(found) == 5 and all(r.home_country is None and r.amount_eur > 0 for r in found)

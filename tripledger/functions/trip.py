@@ -30,8 +30,10 @@ def trip_days(start: Column, end: Column) -> Column:
 
 
 def request_day(year: Column, month: Column) -> Column:
-    """First day of the requested month."""
-    return F.make_date(F.coalesce(year, F.lit(DEFAULT_YEAR)), month, F.lit(1))
+    """First day of the requested month, null for a month or year that does not exist."""
+    chosen = F.coalesce(year, F.lit(DEFAULT_YEAR))
+    exists = month.between(1, 12) & chosen.between(1, 9999)
+    return F.when(exists, F.make_date(chosen, month, F.lit(1)))
 
 
 def one_hot_flag(country: Column, code: str) -> Column:

@@ -54,12 +54,14 @@ def save(model: HybridModel, path: str) -> HybridModel:
 
 
 def load(spark: SparkSession, path: str) -> HybridModel:
-    newest = (
-        spark.read.schema(_MANIFEST)
-        .parquet(f"{path}/manifest")
-        .orderBy(F.desc("saved_at"))
-        .first()
-    )
+    """The newest bundle. Without one it is a ``FileNotFoundError``; damage raises as it is."""
+    try:
+        manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no bundle in {path}") from problem
+    newest = manifest.orderBy(F.desc("saved_at")).first()
     if newest is None:
         raise FileNotFoundError(f"no bundle in {path}")
     parts = f"{path}/runs/{newest['run']}"
@@ -85,10 +87,13 @@ def load(spark: SparkSession, path: str) -> HybridModel:
 def load_or_train(
     spark: SparkSession, path: str, train: Callable[[], HybridModel], retrain: bool = False
 ) -> HybridModel:
-    """The saved bundle, or a new one where none is saved or ``retrain`` is set."""
+    """The saved bundle, or a new one where none is saved or ``retrain`` is set.
+
+    Only a missing manifest means that none is saved; a damaged bundle is an error.
+    """
     if not retrain:
         try:
             return load(spark, path)
-        except (AnalysisException, FileNotFoundError):
+        except FileNotFoundError:
             pass
     return save(train(), path)

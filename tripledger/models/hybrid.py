@@ -59,9 +59,12 @@ def fit_hybrid(
     regressor: Estimator | None = None,
     settings: Settings = Settings(),
     with_sequence: bool = True,
+    recent: DataFrame | None = None,
 ) -> HybridModel:
     """Fit both forecasters on ranked, encoded training trips with a known total.
 
+    ``recent``: the last of these trips, where the caller can read them alone.
+
     With too few trips for one window, or on request, the hybrid has the
     additive part only.
     """
@@ -74,14 +77,14 @@ def fit_hybrid(
         scaler=scaler,
         labels=tuple(labels),
         shares=category_shares(train).first().asDict(),
-        tail=tail_steps(train, scaler),
+        tail=tail_steps(train if recent is None else recent, scaler),
         train=train,
         train_rows=rows,
     )
 
 
-def predict_hold_out(model: HybridModel, ranked: DataFrame, count: int) -> DataFrame:
-    """Predictions for the trips after the training rows of ``count`` ranked ones.
+def predict_hold_out(model: HybridModel, ranked: Ranked) -> DataFrame:
+    """Predictions for the trips after the training rows.
 
     Windows are one step ahead: later ones hold the true totals of earlier
     hold-out trips. A row carries the inputs of both forecasters, so their
@@ -89,11 +92,11 @@ def predict_hold_out(model: HybridModel, ranked: DataFrame, count: int) -> DataF
     """
     first = model.train_rows
     if model.sequence is None:
-        rows = model.additive.transform(ranked.filter(F.col("rn") >= first))
+        rows = model.additive.transform(ranked.since(first))
         return rows.withColumn("sequence", F.lit(0.0)).withColumn("predicted", F.col("additive"))
-    context = ranked.filter(F.col("rn") >= first - SEQUENCE_LENGTH)
+    context = ranked.since(first - SEQUENCE_LENGTH)
     windows = with_history(
-        context, scaled_step(model.scaler), count - first + SEQUENCE_LENGTH
+        context, scaled_step(model.scaler), ranked.count - first + SEQUENCE_LENGTH
     ).filter(F.col("rn") >= first)
     return (
         model.sequence.transform(model.additive.transform(windows))
@@ -104,7 +107,12 @@ def predict_hold_out(model: HybridModel, ranked: DataFrame, count: int) -> DataF
 
 def evaluate(model: HybridModel, ranked: Ranked) -> DataFrame:
     """One row ``rmse, mse`` over the hold-out."""
-    return error_metrics(predict_hold_out(model, ranked.rows, ranked.count), "y", "predicted")
+    return error_metrics(predict_hold_out(model, ranked), "y", "predicted")
+
+
+def is_complete() -> Column:
+    """Whether a request names a month that exists and a number of days."""
+    return request_day(F.col("year"), F.col("month")).isNotNull() & F.col("num_days").isNotNull()
 
 
 def future_rows(requests: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -141,19 +149,21 @@ def forecast(model: HybridModel, requests: DataFrame) -> DataFrame:
     """Total, both component values and the cost breakdown for every request.
 
     Projections and model transforms only: no shuffle, no join, no state, so
-    the same plan serves a table and a stream.
+    the same plan serves a table and a stream. A request without a usable day or
+    number of days comes back with nulls and does not disturb the others.
     """
-    rows = model.additive.transform(future_rows(requests, model.labels))
+    usable = is_complete()
+    given = future_rows(requests.withColumn("usable", usable), model.labels)
+    whole = given.withColumn(
+        "ds", F.coalesce("ds", F.date_from_unix_date(F.lit(model.additive.design.calendar.first_day)))
+    ).withColumn("duration", F.coalesce("duration", F.lit(1)))
+    rows = model.additive.transform(whole)
     if model.sequence is None:
         rows = rows.withColumn("sequence", F.lit(0.0)).withColumn("total", F.col("additive"))
     else:
         rows = model.sequence.transform(
             with_request_window(rows, model.tail, model.scaler)
         ).withColumn("total", hybrid_average(F.col("additive"), F.col("sequence")))
-    return rows.select(
-        *requests.columns,
-        "total",
-        "additive",
-        "sequence",
-        breakdown(F.col("total"), model.shares).alias("breakdown"),
-    )
+    kept = [F.when(F.col("usable"), F.col(c)).alias(c) for c in ("total", "additive", "sequence")]
+    split = F.when(F.col("usable"), breakdown(F.col("total"), model.shares))
+    return rows.select(*requests.columns, *kept, split.alias("breakdown"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -23,8 +23,21 @@ from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import SEQUENCE_LENGTH, step, with_history
 
 
-def default_regressor() -> LinearRegression:
-    return LinearRegression(solver="l-bfgs", regParam=0.01, maxIter=20)
+#: A fit that needs more iterations than this is an error; the tolerance ends it before.
+MAX_ITERATIONS = 1_000
+
+
+def default_regressor(max_iter: int = MAX_ITERATIONS, tol: float = 1e-6) -> LinearRegression:
+    """A linear learner that iterates until its relative change is below ``tol``."""
+    return LinearRegression(solver="l-bfgs", regParam=0.01, maxIter=max_iter, tol=tol)
+
+
+def check_converged(model) -> None:
+    """A linear fit that its iteration limit has ended is not a result."""
+    if isinstance(model, LinearRegressionModel) and model.hasSummary:
+        used, most = model.summary.totalIterations, model.getOrDefault(model.maxIter)
+        if used >= most:
+            raise RuntimeError(f"the sequence fit did not converge in {most} iterations")
 
 
 def scaled_step(scaler: MinMax) -> Column:
@@ -71,11 +84,13 @@ def window_vector(labels: Sequence[str], scaler: MinMax, length: int = SEQUENCE_
         numbers = np.hstack([matrix("y"), matrix("duration")])
         slots, used = [np.tile(np.arange(2 * length), (rows, 1))], [np.ones_like(numbers, bool)]
         for side in ("home", "dest"):
+            if not width:  # an empty domain has no slots
+                break
             position = matrix(f"{side}_idx")
             slots.append(first[side] + position)
             used.append(live[side][position])
         keep = np.hstack(used)
-        values = np.hstack([numbers, np.ones((rows, 2 * length))])[keep]
+        values = np.hstack([numbers, np.ones((rows, keep.shape[1] - 2 * length))])[keep]
         ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
         return pa.StructArray.from_arrays(
             [
@@ -129,4 +144,6 @@ def fit_sequence(
         scaler.scale("y", F.col("y")).alias("w_target"),
     )
     sized = declared_size("w_features", vector_size(labels, length)).transform(windows)
-    return SequenceModel(PipelineModel([learner.fit(sized)]), tuple(labels), scaler)
+    fitted = learner.fit(sized)
+    check_converged(fitted)
+    return SequenceModel(PipelineModel([fitted]), tuple(labels), scaler)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.schemas import TRIP_COLUMNS
-from tripledger.session import broadcast_if_small
 
 
 def check_rates(rates: DataFrame) -> int:
@@ -26,11 +25,14 @@ def check_rates(rates: DataFrame) -> int:
 
 
 def join_rates(trips: DataFrame, rates: DataFrame) -> DataFrame:
-    """Rate of the home country, null where there is none. Null matches null."""
-    rows = check_rates(rates)
+    """Rate of the home country, null where there is none. Null matches null.
+
+    Measured sizes decide at run time between a broadcast and a shuffled join.
+    """
+    check_rates(rates)
     dim = rates.select(F.col("country").alias("rate_country"), "daily_allowance")
     return trips.join(
-        broadcast_if_small(dim, rows),
+        dim,
         F.col("home_country").eqNullSafe(F.col("rate_country")),
         "left",
     ).drop("rate_country")

@@ -10,21 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.functions.trip import one_hot_flag
-from tripledger.session import broadcast_if_small
-
-# Two one-hot groups of this size still fit the 4,096 columns of the normal-equation solver.
-DOMAIN_LIMIT = 2_000
 
 
 def domain_of(countries: DataFrame) -> list[str]:
-    """Sorted codes. They become feature columns, so their number is limited."""
-    codes = [
-        row["code"]
-        for row in countries.select("code").distinct().orderBy("code").take(DOMAIN_LIMIT + 1)
-    ]
-    if len(codes) > DOMAIN_LIMIT:
-        raise ValueError(f"more than {DOMAIN_LIMIT} country codes cannot be one-hot encoded")
-    return codes
+    """Sorted codes of the country dimension."""
+    return [row["code"] for row in countries.select("code").distinct().orderBy("code").collect()]
 
 
 def indexer(labels: Sequence[str]) -> StringIndexerModel:
@@ -88,6 +78,4 @@ def declared_size(column: str, size: int) -> VectorSizeHint:
 def with_country_names(df: DataFrame, column: str, countries: DataFrame, out: str) -> DataFrame:
     """Display name of a code, null for codes outside the dimension."""
     dim = countries.select(F.col("code").alias("dim_code"), F.col("name").alias(out))
-    return df.join(
-        broadcast_if_small(dim, countries.count()), F.col(column) == F.col("dim_code"), "left"
-    ).drop("dim_code")
+    return df.join(dim, F.col(column) == F.col("dim_code"), "left").drop("dim_code")

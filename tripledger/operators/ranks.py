@@ -3,24 +3,48 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.session import broadcast_if_small, stage
+from tripledger.session import stage
 
 
 @dataclass(frozen=True)
 class Ranked:
-    """Rows with their 0-based position ``rn`` and the number of rows."""
+    """Rows with their 0-based position ``rn`` and the number of rows.
 
-    rows: DataFrame
+    ``placed`` are the written rows by partition, ``starts`` the first position
+    of each partition.
+    """
+
+    placed: DataFrame
     count: int
+    starts: list[tuple[int, int]] = field(default_factory=list)
+
+    def _numbered(self, placed: DataFrame) -> DataFrame:
+        starts = placed.sparkSession.createDataFrame(self.starts, "part int, start long")
+        return (
+            placed.join(starts, "part")
+            .withColumn("rn", F.col("start") + F.col("pos"))
+            .drop("part", "pos", "start")
+        )
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._numbered(self.placed)
+
+    def since(self, first: int) -> DataFrame:
+        """Rows from a position on; files of earlier partitions are skipped by ``part``."""
+        part = max((p for p, start in self.starts if start <= first), default=0)
+        return self._numbered(self.placed.filter(F.col("part") >= part)).filter(
+            F.col("rn") >= first
+        )
 
 
 def rank_rows(df: DataFrame, *order_by: str, name: str = "ranked") -> Ranked:
-    """Position of every row in the order of ``order_by``, which must be unique.
+    """Position of every row in the order of ``order_by``, which must be a total order.
 
     A range partitioning and a sort within partitions give each row its place
     in its partition; partition sizes give the offsets. The sorted rows are
@@ -43,13 +67,7 @@ def rank_rows(df: DataFrame, *order_by: str, name: str = "ranked") -> Ranked:
     for number, size in sizes:
         offsets.append((number, total))
         total += size
-    starts = df.sparkSession.createDataFrame(offsets, "part int, start long")
-    rows = (
-        placed.join(broadcast_if_small(starts, len(offsets)), "part")
-        .withColumn("rn", F.col("start") + F.col("pos"))
-        .drop("part", "pos", "start")
-    )
-    return Ranked(rows, total)
+    return Ranked(placed, total, offsets)
 
 
 def train_size(n: int, test_fraction: float = 0.2) -> int:

@@ -30,8 +30,13 @@ def keyed_lines(lines: DataFrame) -> DataFrame:
 
 
 def category_sum(category: str) -> Column:
-    """Sum of one category in the amount's own type; 0 where there is none."""
-    hit = expense_category(F.col("expense_type")) == category
+    """Sum of one category in the amount's own type; 0 where there is none.
+
+    An amount that is not a number counts as missing, whatever its source.
+    """
+    hit = (expense_category(F.col("expense_type")) == category) & ~F.isnan(
+        F.col("amount_eur").cast("double")
+    )
     return F.coalesce(F.sum(F.when(hit, F.col("amount_eur"))).cast("double"), F.lit(0.0))
 
 

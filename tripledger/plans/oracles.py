@@ -5,9 +5,15 @@ from __future__ import annotations
 import math
 import re
 
-from tripledger.models.additive import WEEKLY, YEARLY
-from tripledger.operators.metrics import COST_ITEMS
-
+# Fixed values, written out here so that they do not follow the code they check.
+YEARLY = ("yearly", 365.25, 10)
+WEEKLY = ("weekly", 7.0, 3)
+COST_ITEMS = {
+    "Air Ticket": "y_air_ticket",
+    "Accommodation": "y_hotel",
+    "Daily Allowance": "y_daily_allowance",
+    "Others": "y_others",
+}
 _CODES = sorted(f"NATION_{i}" for i in range(24))
 
 STEPS: dict[str, str] = {
@@ -24,11 +30,11 @@ STEPS: dict[str, str] = {
                CAST(l_extendedprice AS DECIMAL(18,2)) AS amount_eur,
                (l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS ord
         FROM lineitem
-        JOIN orders ON l_orderkey = o_orderkey
-        JOIN customer ON o_custkey = c_custkey
-        JOIN nation hn ON c_nationkey = hn.n_nationkey
-        JOIN supplier ON l_suppkey = s_suppkey
-        JOIN nation dn ON s_nationkey = dn.n_nationkey""",
+        LEFT JOIN orders ON l_orderkey = o_orderkey
+        LEFT JOIN customer ON o_custkey = c_custkey
+        LEFT JOIN nation hn ON c_nationkey = hn.n_nationkey
+        LEFT JOIN supplier ON l_suppkey = s_suppkey
+        LEFT JOIN nation dn ON s_nationkey = dn.n_nationkey""",
     "rates": """
         SELECT n_name AS country, CAST(40 + 5 * n_nationkey AS DOUBLE) AS daily_allowance
         FROM nation WHERE n_nationkey < 23""",
@@ -225,6 +231,25 @@ FINAL: dict[str, str] = {
                COUNT(*) FILTER (WHERE is_train AND rn >= 60) > 0 AS fits_sequence
         FROM split""",
     "union_train_test": "SELECT report_key, y, duration, home_idx, dest_idx, is_train FROM split",
+    "scan_rejects": """
+        SELECT COUNT(*) FILTER (WHERE report_key % 50 > 1) AS n_kept,
+               ROUND(CAST(SUM(amount_eur) FILTER (WHERE report_key % 50 > 1) AS DOUBLE), 0)
+                 AS amount_eur,
+               COUNT(*) FILTER (WHERE report_key % 50 <= 1) AS n_rejected
+        FROM lines""",
+    "scan_requests": "SELECT home_country, dest_country, num_days, month, year FROM requests",
+    "additive_closed_form": """
+        SELECT report_key,
+               ROUND(y0 + ((ds - DATE '1970-01-01') - t0) * (yt * dd - yd * td) / (tt * dd - td * td)
+                        + (duration - d0) * (yd * tt - yt * td) / (tt * dd - td * td), 0) AS additive
+        FROM test, (
+          SELECT AVG(y) AS y0, AVG(ds - DATE '1970-01-01') AS t0, AVG(duration) AS d0,
+                 covar_pop(y, ds - DATE '1970-01-01') AS yt, covar_pop(y, duration) AS yd,
+                 var_pop(ds - DATE '1970-01-01') AS tt, var_pop(duration) AS dd,
+                 covar_pop(ds - DATE '1970-01-01', duration) AS td
+          FROM train) m""",
+    "bundle_equals_fit": "SELECT request_id, TRUE AS same FROM requests",
+    "stream_equals_batch": "SELECT request_id, TRUE AS same FROM requests",
     "history_tail": "SELECT rn, report_key, y, duration FROM train ORDER BY rn DESC LIMIT 60",
     "category_shares": "SELECT "
     + ", ".join(

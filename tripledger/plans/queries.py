@@ -47,6 +47,10 @@ class Tables:
     def lines(self) -> DataFrame:
         return adapter.expense_lines(self.spark, self.sf_dir)
 
+    @cached_property
+    def amounts(self) -> DataFrame:
+        return adapter.amount_lines(self.spark, self.sf_dir)
+
     @cached_property
     def rates(self) -> DataFrame:
         return adapter.rates(self.spark, self.sf_dir)
@@ -89,7 +93,13 @@ class Tables:
 
     @cached_property
     def test(self) -> DataFrame:
-        return self.ranked.rows.filter(F.col("rn") >= self.train_rows)
+        return self.ranked.since(self.train_rows)
+
+    @cached_property
+    def recent(self) -> DataFrame:
+        """The last training rows; only their files are read."""
+        first = max(self.train_rows - windows.SEQUENCE_LENGTH, 0)
+        return self.ranked.since(first).filter(F.col("rn") < self.train_rows)
 
     @cached_property
     def scaler(self) -> MinMax:
@@ -106,6 +116,34 @@ def scan_expense_lines(t: Tables) -> DataFrame:
     return files.scan_expense_lines(t.spark, path).drop("row_ord")
 
 
+def scan_rejects(t: Tables) -> DataFrame:
+    """Lines of every 50th trip written with a bad key or amount: kept and rejected ones."""
+    path, rejects = scratch_path(t.spark, "lines"), scratch_path(t.spark, "rejects")
+    turn = F.col("report_key") % 50
+    bad = t.lines.withColumns(
+        {
+            "report_key": F.when(turn == 0, F.concat(F.lit("A"), "report_key")).otherwise(
+                F.col("report_key").cast("string")
+            ),
+            "amount_eur": F.when(turn == 1, "1,234.5").otherwise(
+                F.col("amount_eur").cast("string")
+            ),
+        }
+    )
+    files.write_expense_lines(bad, path)
+    kept = files.scan_expense_lines(t.spark, path, rejects)
+    return kept.agg(
+        F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("amount_eur"), 0).alias("amount_eur")
+    ).withColumn("n_rejected", F.lit(files.count_rejects(t.spark, rejects)).cast("long"))
+
+
+def scan_requests(t: Tables) -> DataFrame:
+    """Requests written as CSV and scanned back."""
+    path = scratch_path(t.spark, "requests")
+    t.requests.drop("request_id").write.csv(path, header=True)
+    return files.scan_requests(t.spark, path)
+
+
 def _customer_homes(t: Tables) -> DataFrame:
     return (
         t.table("customer")
@@ -169,7 +207,7 @@ def month_dim(t: Tables) -> DataFrame:
 
 
 def expense_category_query(t: Tables) -> DataFrame:
-    return t.lines.select(
+    return t.amounts.select(
         "report_key",
         "expense_type",
         F.col("amount_eur").cast("double").alias("amount_eur"),
@@ -180,7 +218,7 @@ def expense_category_query(t: Tables) -> DataFrame:
 def drop_null_key(t: Tables) -> DataFrame:
     """Every tenth trip key is blanked, then the key filter is applied."""
     key = F.when(F.col("report_key") % 10 != 0, F.col("report_key"))
-    return rollup.keyed_lines(t.lines.withColumn("report_key", key)).select(
+    return rollup.keyed_lines(t.amounts.withColumn("report_key", key)).select(
         "report_key", F.col("amount_eur").cast("double").alias("amount_eur")
     )
 
@@ -270,9 +308,7 @@ def union_train_test(t: Tables) -> DataFrame:
 
 
 def history_tail(t: Tables) -> DataFrame:
-    return ranks.history_tail(t.train, windows.SEQUENCE_LENGTH).select(
-        "rn", "report_key", "y", "duration"
-    )
+    return t.recent.select("rn", "report_key", "y", "duration")
 
 
 def category_shares(t: Tables) -> DataFrame:
@@ -338,7 +374,7 @@ def sequence_windows(t: Tables) -> DataFrame:
 def eval_windows(t: Tables) -> DataFrame:
     """Windows of the hold-out over training and hold-out rows together."""
     first, length = t.train_rows, windows.SEQUENCE_LENGTH
-    context = t.train.unionByName(t.test).filter(F.col("rn") >= first - length)
+    context = t.ranked.since(first - length)
     rows = t.ranked.count - first + length
     found = windows.with_history(context, _raw_step(), rows).filter(F.col("rn") >= first)
     return _window_summary(found, "rn", 2)
@@ -352,7 +388,7 @@ def future_rows_query(t: Tables) -> DataFrame:
 
 def future_window(t: Tables) -> DataFrame:
     found = with_request_window(
-        future_rows(t.requests, t.labels), tail_steps(t.train, t.scaler), t.scaler
+        future_rows(t.requests, t.labels), tail_steps(t.recent, t.scaler), t.scaler
     )
     return _window_summary(found, "request_id", 6)
 
@@ -434,14 +470,14 @@ def sequence_fit(t: Tables) -> DataFrame:
 def sequence_predict(t: Tables) -> DataFrame:
     model = fit_sequence(t.train, t.train_rows, t.labels, t.scaler)
     first, length = t.train_rows, windows.SEQUENCE_LENGTH
-    context = t.ranked.rows.filter(F.col("rn") >= first - length)
+    context = t.ranked.since(first - length)
     found = windows.with_history(context, scaled_step(t.scaler), t.ranked.count - first + length)
     return model.transform(found.filter(F.col("rn") >= first)).select("report_key", "y", "sequence")
 
 
 def hybrid_fit(t: Tables) -> DataFrame:
     done = t.training()
-    return predict_hold_out(done.model, done.ranked.rows, done.ranked.count).select(
+    return predict_hold_out(done.model, done.ranked).select(
         "report_key", "y", "additive", "sequence", "predicted"
     )
 
@@ -472,8 +508,17 @@ def fallback_forecast(t: Tables) -> DataFrame:
     return _flat(forecast(t.training(with_sequence=False).model, t.requests))
 
 
-def model_roundtrip(t: Tables) -> DataFrame:
-    """Forecasts of the fitted model and of the one loaded from its bundle."""
+def additive_closed_form(t: Tables) -> DataFrame:
+    """Hold-out predictions of a fit that is plain least squares.
+
+    Without changepoints, seasons and countries, and with wide priors, the model is a linear function of the day and the duration.
+    """
+    plain = additive_model.Settings(changepoints=0, trend_prior=1e6, regressor_prior=1e6, seasons=())
+    model = additive_model.fit_additive(t.train, [], plain)
+    return model.transform(t.test).select("report_key", F.round("additive", 0).alias("additive"))
+
+
+def _saved_and_loaded(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "bundle")
     fitted = t.training().model
     save(fitted, path)
@@ -486,25 +531,56 @@ def model_roundtrip(t: Tables) -> DataFrame:
     )
 
 
-def stream_forecast(t: Tables) -> DataFrame:
-    """Customers arrive as a stream; their forecasts are appended to a table."""
-    model = t.training().model
-    customers = (
-        t.spark.readStream.schema(t.table("customer").schema)
-        .option("pathGlobFilter", "customer.parquet")
-        .parquet(t.sf_dir)
+def model_roundtrip(t: Tables) -> DataFrame:
+    """Forecasts of the fitted model and of the one loaded from its bundle."""
+    return _saved_and_loaded(t)
+
+
+def bundle_equals_fit(t: Tables) -> DataFrame:
+    """Every request has one forecast, the same before and after saving."""
+    same = F.col("total_fitted") == F.col("total_loaded")
+    return _saved_and_loaded(t).select("request_id", same.alias("same"))
+
+
+def _streamed(t: Tables, model) -> DataFrame:
+    """Customers arrive as a stream; their forecasts are appended to a table.
+
+    The table may be one file or a folder of files.
+    """
+    source = t.spark.readStream.schema(t.table("customer").schema)
+    customers = source.option("pathGlobFilter", "*.parquet").parquet(
+        adapter.stream_folder(t.spark, t.sf_dir, "customer")
     )
     out = scratch_path(t.spark, "stream")
     requests = adapter.requests(t.spark, t.sf_dir, customers)
     score_stream(
         model, requests, f"{out}/forecasts", f"{out}/progress", available_now=True
     ).awaitTermination()
-    return _flat(t.spark.read.parquet(f"{out}/forecasts"))
+    return t.spark.read.parquet(f"{out}/forecasts")
+
+
+def stream_forecast(t: Tables) -> DataFrame:
+    return _flat(_streamed(t, t.training().model))
+
+
+def stream_equals_batch(t: Tables) -> DataFrame:
+    """Every request is scored once by the stream, as a batch would score it."""
+    model = t.training(with_sequence=False).model
+    path = scratch_path(t.spark, "forecasts")
+    files.write_forecasts(forecast(model, t.requests), path)
+    batch = t.spark.read.parquet(path).select("request_id", F.col("total").alias("batch_total"))
+    return (
+        _streamed(t, model)
+        .join(batch, "request_id", "full")
+        .select("request_id", F.col("total").eqNullSafe(F.col("batch_total")).alias("same"))
+    )
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "trip_totals": lambda t: t.trips,
     "scan_expense_lines": scan_expense_lines,
+    "scan_rejects": scan_rejects,
+    "scan_requests": scan_requests,
     "scan_rates": scan_rates,
     "rates_roundtrip": rates_roundtrip,
     "country_dim": country_dim,
@@ -514,7 +590,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "drop_null_key": drop_null_key,
     "trip_dates": _line_dates,
     "trip_duration": trip_duration,
-    "pivot_expenses": lambda t: rollup.pivot_expenses(t.lines),
+    "pivot_expenses": lambda t: rollup.pivot_expenses(t.amounts),
     "trip_meta_first": lambda t: rollup.trip_meta(t.lines),
     "trip_rollup": trip_rollup,
     "allowance_left_join": allowance_left_join,
@@ -546,6 +622,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "trend_hinges": trend_hinges,
     "additive_fit": additive_fit,
     "additive_predict": additive_predict,
+    "additive_closed_form": additive_closed_form,
     "sequence_fit": sequence_fit,
     "sequence_predict": sequence_predict,
     "hybrid_fit": hybrid_fit,
@@ -553,7 +630,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "forecast": forecast_query,
     "fallback_forecast": fallback_forecast,
     "model_roundtrip": model_roundtrip,
+    "bundle_equals_fit": bundle_equals_fit,
     "stream_forecast": stream_forecast,
+    "stream_equals_batch": stream_equals_batch,
 }
 
 

@@ -14,6 +14,7 @@ from tripledger.models.bundle import save
 from tripledger.models.hybrid import HybridModel, evaluate, fit_hybrid
 from tripledger.operators.encode import domain_of
 from tripledger.operators.ranks import Ranked, train_size
+from tripledger.operators.windows import SEQUENCE_LENGTH
 from tripledger.plans.trips import build_trips, rank_trips
 
 
@@ -40,7 +41,8 @@ def run_training(
     ranked = rank_trips(build_trips(lines, rates), labels, order_by)
     rows = train_size(ranked.count, test_fraction)
     train = ranked.rows.filter(F.col("rn") < rows)
-    model = fit_hybrid(train, rows, labels, regressor, settings, with_sequence)
+    recent = ranked.since(max(rows - SEQUENCE_LENGTH, 0)).filter(F.col("rn") < rows)
+    model = fit_hybrid(train, rows, labels, regressor, settings, with_sequence, recent)
     if bundle_path is not None:
         model = save(model, bundle_path)
     return Training(model, evaluate(model, ranked), ranked)

@@ -33,9 +33,12 @@ def build_trips(
 def rank_trips(
     trips: DataFrame, labels: Sequence[str], order_by: Sequence[str] = ("report_key",)
 ) -> Ranked:
-    """Encoded trips with a known total, in key order; this writes them once.
+    """Encoded trips with a known total, in order; this writes them once.
 
-    A trip without dates has no total and can train neither model.
+    A trip without dates has no total and can train neither model. The trip key
+    always ends the order, so ties do not depend on how rows arrive, and a day
+    with very many trips is spread over several ranges.
     """
     known = trips.filter(F.col("y").isNotNull())
-    return rank_rows(with_category_index(known, labels), *order_by, name="trips")
+    order = [c for c in order_by if c != "report_key"] + ["report_key"]
+    return rank_rows(with_category_index(known, labels), *order, name="trips")

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Options set on a session only where its owner has not set them.
 RUNTIME_DEFAULTS = {
@@ -16,9 +15,6 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# Rows a dimension may have to be broadcast; larger ones use a shuffled join.
-BROADCAST_ROW_LIMIT = 100_000
-
 
 def build_session(
     app_name: str = "tripledger", cores: int | None = None, shared: str | None = None
@@ -102,11 +98,3 @@ class Scratch:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.root)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
-
-def broadcast_if_small(dim: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a dimension whose counted ``rows`` stay within the limit.
-
-    Beyond it the hint is left off and the join shuffles; adaptive skew
-    handling then splits a hot key.
-    """
-    return F.broadcast(dim) if rows <= BROADCAST_ROW_LIMIT else dim

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from tripledger.session import scratch_path
 
 OUTSIDE_DOMAIN = "NATION_24"
 RATED_NATIONS = 23
 
 
-# Schema of each table path: reading a footer costs a job, and a query reads some
-# tables several times.
-_SCHEMAS: dict[str, StructType] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
+def stream_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder to stream a table from: its own, or a copy of its only file.
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    A stream reads folders. A table that is a single file is copied below the
+    shared folder, so that its neighbours are not read with it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        return f"{sf_dir}/{name}.parquet"
+    copied = scratch_path(spark, name)
+    table(spark, sf_dir, name).write.parquet(copied)
+    return copied
 
 
 def _expense_type(flag: Column, status: Column) -> Column:
@@ -32,9 +40,19 @@ def _expense_type(flag: Column, status: Column) -> Column:
     )
 
 
+def amount_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lines say without any join: trip, expense type and amount."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("report_key"),
+        _expense_type(F.col("l_returnflag"), F.col("l_linestatus")).alias("expense_type"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("amount_eur"),
+    )
+
+
 def expense_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One expense line per order line: the order is the trip.
 
+    A line whose order, customer, supplier or nation is missing stays, with nulls.
     Joins carry no hints: sizes at run time decide between broadcast and
     shuffle, and adaptive skew handling splits a hot customer or supplier. They
     are left-deep, so each right side is a base table with a known size.
@@ -46,8 +64,8 @@ def expense_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.to_date("o_orderdate")
     trips = (
         table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(
             "o_orderkey",
             F.col("n_name").alias("home_country"),
@@ -59,9 +77,9 @@ def expense_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(dest_nation, F.col("s_nationkey") == F.col("dest_key"))
-        .join(trips, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        .join(dest_nation, F.col("s_nationkey") == F.col("dest_key"), "left")
+        .join(trips, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .select(
             F.lit("EUR").alias("currency_key"),
             F.lit("Euro").alias("currency_name"),

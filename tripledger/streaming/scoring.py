@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tripledger.models.hybrid import HybridModel, forecast
+from tripledger.models.hybrid import HybridModel, forecast, is_complete
+
+
+def _append(rows: DataFrame, output: str, progress: str, available_now: bool) -> StreamingQuery:
+    writer = (
+        rows.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", output)
+        .option("checkpointLocation", progress)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def score_stream(
@@ -18,13 +28,16 @@ def score_stream(
     """Append forecasts for a stream of requests to a Parquet folder.
 
     Scoring is stateless, so no watermark is needed. Offsets and output commits
-    live in shared folders: a restarted query neither loses nor repeats rows.
+    live in shared folders: a restarted query neither loses nor repeats rows. A
+    request without a usable day or number of days is left out, so it cannot
+    stop the others; ``reject_stream`` keeps such requests.
     """
-    writer = (
-        forecast(model, requests)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", output_path)
-        .option("checkpointLocation", checkpoint_path)
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    scored = forecast(model, requests.filter(is_complete()))
+    return _append(scored, output_path, checkpoint_path, available_now)
+
+
+def reject_stream(
+    requests: DataFrame, output_path: str, checkpoint_path: str, available_now: bool = False
+) -> StreamingQuery:
+    """Append the requests that ``score_stream`` leaves out to a Parquet folder."""
+    return _append(requests.filter(~is_complete()), output_path, checkpoint_path, available_now)
