@@ -47,6 +47,15 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+#: Rows of two or three numbers that may be broadcast, some 20 MB; beyond that a join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_within(side: DataFrame, rows: int) -> DataFrame:
+    """Hint a narrow side whose counted ``rows`` are few; the result is the same without."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
 def pieces_of(items: list, limit: int, weight: Callable) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose summed weight stays near ``limit``.
 

@@ -30,7 +30,7 @@ SHAPES = 8
 FEATURES = (1 << BITS) + SHAPES
 BLOCK = 1 << 20
 #: Rated rows of each grade that the model is fitted on, about.
-ROWS_PER_GRADE = 2000
+ROWS_PER_GRADE = 1500
 STEPS = 200
 RATE = 0.05
 RIDGE = 1e-5

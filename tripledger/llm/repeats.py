@@ -38,11 +38,12 @@ ANCHOR = 20
 WINDOW = LENGTH - ANCHOR + 1
 LONGEST = LENGTH + WINDOW - 1  # of a segment
 #: Bytes of text for each slot, bucket of anchors and bucket of segments, about.
-SLOT_BYTES = 8 << 20
-ANCHOR_BYTES = 32 << 20
-SEGMENT_BYTES = 8 << 20
+SLOT_BYTES = 4 << 20
+ANCHOR_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
 BLOCK = 1 << 20
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
+ROWS = 1 << 15
 INDEX = np.uint64((1 << 24) - 1)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,15 +150,13 @@ class Slot:
         self.ids = ids.drop_null().to_numpy()
         self.texts = self.table.column("text").slice(0, len(self.ids)).to_pylist()
 
-    def segments(self) -> Iterator[tuple[int, Segments]]:
-        """Number of the first document, and the segments, of pieces of the slot."""
-        for at, texts in _pieces(self.texts):
-            yield at, Segments(texts)
+        # Number of the first document, and the segments, of each piece of the slot.
+        self.pieces = [(at, Segments(texts)) for at, texts in _pieces(self.texts)]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes, in order, that one document has; and those that several have."""
         hashes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, found in self.segments():
+        for at, found in self.pieces:
             hashes.append(found.hash)
             docs.append(self.ids[at + found.text])
         hashed, doc = np.concatenate(hashes), np.concatenate(docs)
@@ -181,8 +180,8 @@ class Slot:
 
     def occurrences(self, shared: np.ndarray) -> Iterator[tuple[int, int, bytes, int]]:
         """Document number, place, bytes and anchor of every segment with a shared anchor."""
-        for at, found in self.segments():
-            found.keep(np.isin(found.hash, shared))
+        for at, found in self.pieces:
+            found.keep(_among(found.hash, shared))
             data = found.data.tobytes()
             place = found.begin - found.start[found.text]
             yield from zip(
@@ -209,6 +208,13 @@ def _packed(rows: list[tuple]) -> pa.Table:
     )
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _by_bucket(hashed: np.ndarray, buckets: int) -> dict[int, bytes]:
     bucket = hashed % buckets
     order = np.argsort(bucket, kind="stable")
@@ -240,7 +246,7 @@ def _shared_anchors(slots: DataFrame, buckets: int) -> DataFrame:
         everyone = np.sort(np.concatenate(mine))
         twice = everyone[1:][everyone[1:] == everyone[:-1]]
         known = np.unique(np.concatenate([twice, *several]))
-        masks = [np.isin(hashes, known) for hashes in mine]
+        masks = [_among(hashes, known) for hashes in mine]
         return _packed(
             [
                 (s, bucket, MASK, np.packbits(mask).tobytes(), b"", b"")
@@ -309,14 +315,19 @@ class SuffixTree:
         left = size[segment] - offset
         # What follows a segment's end is blank; the length makes suffixes with blanks differ.
         rows = np.zeros((len(segment), LONGEST + 1), np.uint8)
-        rows[:, :LONGEST] = data[(begin[segment] + offset)[:, None] + np.arange(LONGEST)]
-        rows[:, :LONGEST][np.arange(LONGEST) >= left[:, None]] = 0
+        views = np.lib.stride_tricks.sliding_window_view(data, LONGEST)
+        places = begin[segment] + offset
+        for at in range(0, len(rows), ROWS):
+            some = slice(at, at + ROWS)
+            inside = np.arange(LONGEST) < left[some, None]
+            rows[some, :LONGEST] = views[places[some]] * inside
         rows[:, LONGEST] = left
         order = np.argsort(rows.view(f"S{LONGEST + 1}").ravel(), kind="stable")
-        rows, left = rows[order, :LONGEST], left[order]
+        left = left[order]
         same = np.full(max(0, len(rows) - 1), LONGEST)
-        for at in range(0, len(same), 1 << 17):
-            differs = rows[at + 1 : at + 1 + (1 << 17)] != rows[at : at + (1 << 17)][: len(same) - at]
+        for at in range(0, len(same), ROWS):
+            some = rows[order[at : at + ROWS + 1], :LONGEST]
+            differs = some[1:] != some[:-1]
             same[at : at + len(differs)] = np.where(
                 differs.any(axis=1), differs.argmax(axis=1), LONGEST
             )
