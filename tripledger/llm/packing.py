@@ -413,7 +413,6 @@ def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
         .withColumnRenamed("doc_id", "id")
         .join(parts, F.col("id").eqNullSafe(F.col("doc_id")))
         .select("doc_id", "text", "items")
-        .dropDuplicates(["doc_id", "text"])
     )
 
     def cut_rows(batch: pa.RecordBatch):
@@ -444,7 +443,9 @@ def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 columns, [name.split()[0] for name in RESULT.split(", ")]
             )
 
-    return whole.unionByName(map_batches(again, cut_rows, RESULT))
+    # Rows of one id and equal ids of tokens each cut all their items: a place counts once.
+    parted = map_batches(again, cut_rows, RESULT).dropDuplicates(["sequence_id", "offset"])
+    return whole.unionByName(parted)
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

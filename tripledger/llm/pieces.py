@@ -35,7 +35,6 @@ INFINITE = float("inf")
 WORDS = 400_000
 NEIGHBOURS = 400_000
 LONG_WORD = 64
-BYTE_WEIGHT = 1e10
 PIECE = 1 << 20
 
 
@@ -58,6 +57,7 @@ class Transducer:
                 self.ids[piece], self.weight[piece] = k, -model.get_score(k)
                 self.spelled[k] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids))
+        self.beginnings = {piece[:k] for piece in self.ids for k in range(1, len(piece))}
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             self.words = re.compile(r".+", re.DOTALL)
         else:
@@ -70,16 +70,20 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """Merge neighbours, best score first, leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = INFINITE, -1
-            for k in range(len(parts) - 1):
-                weight = self.weight.get(parts[k] + parts[k + 1], INFINITE)
-                if weight < best:
-                    best, at = weight, k
-            if at < 0:
-                return parts
+        parts, weight = list(text), self.weight.get
+        pairs = [weight(a + b, INFINITE) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == INFINITE:
+                break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = weight(parts[at - 1] + parts[at], INFINITE)
+            if at < len(pairs):
+                pairs[at] = weight(parts[at] + parts[at + 1], INFINITE)
+        return parts
 
     def neighbours(self, left: str, right: str) -> bool:
         """Whether the merge-order machine lets one piece follow another."""
@@ -91,35 +95,53 @@ class Transducer:
             found = self.meets[pair] = self.merged(left + right) == [left, right]
         return found
 
+    def arcs(self, word: str, start: int) -> list[int]:
+        """Ends of the pieces that begin there, the longest last; else of a byte path."""
+        out = []
+        for end in range(start + 1, min(len(word), start + self.longest) + 1):
+            text = word[start:end]
+            if text in self.weight:
+                out.append(end)
+            if text not in self.beginnings:
+                break
+        return out if word[start] in self.weight else [start + 1]
+
     def shortest_path(self, word: str) -> bytes:
-        """Ids of a normalised word as native 32-bit integers."""
-        n = len(word)
-        cost, back, last = [INFINITE] * (n + 1), [0] * (n + 1), [""] * (n + 1)
-        cost[0] = 0.0
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if cost[start] == INFINITE:
-                    continue
-                piece = word[start:end]
-                weight = self.weight.get(piece)
-                if weight is None:
-                    if end - start > 1:
-                        continue
-                    weight, piece = BYTE_WEIGHT * len(piece.encode()), ""
-                elif last[start] and not self.neighbours(last[start], piece):
-                    continue
-                if cost[start] + weight < cost[end]:
-                    cost[end], back[end], last[end] = cost[start] + weight, start, piece
+        """Ids of a normalised word as native 32-bit integers.
+
+        What merges make of a word's beginning is one sequence of pieces, so
+        one state at most is reached at each place at finite weight, and the
+        first path to the end, which the composition is searched for depth
+        first, is the shortest.
+        """
+        n, at, before = len(word), 0, ""
+        path: list[tuple[int, str]] = []
+        dead = [False] * (n + 1)
+        open_arcs = [self.arcs(word, 0)] if n else []
+        while at < n:
+            arcs = open_arcs[-1]
+            while arcs:
+                end = arcs.pop()
+                piece = word[at:end]
+                if piece not in self.weight:
+                    piece = ""
+                if not dead[end] and (not before or not piece or self.neighbours(before, piece)):
+                    path.append((at, piece))
+                    at, before = end, piece
+                    open_arcs.append(self.arcs(word, at) if at < n else [])
+                    break
+            else:
+                dead[at] = True
+                open_arcs.pop()
+                at, _ = path.pop()
+                before = path[-1][1] if path else ""
         out: list[int] = []
-        end = n
-        while end:
-            start = back[end]
-            if last[end]:
-                out.append(self.ids[last[end]])
+        for start, piece in path:
+            if piece:
+                out.append(self.ids[piece])
             else:
-                out += [self.byte_ids[b] for b in reversed(word[start:end].encode())]
-            end = start
-        return array("i", reversed(out)).tobytes()
+                out += [self.byte_ids[b] for b in word[start].encode()]
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         out = []
