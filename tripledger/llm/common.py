@@ -29,6 +29,14 @@ def texts_of(documents: DataFrame, *others: str) -> DataFrame:
     )
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)

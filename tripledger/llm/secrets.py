@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import map_batches, read_table, texts_of
+from tripledger.llm.common import fresh, map_batches, read_table, texts_of
 from tripledger.session import scratch_path
 
 #: Findings that may be broadcast, under 100 bytes each; beyond that they are joined.
@@ -219,23 +219,24 @@ def redact(documents: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> Da
     Findings that overlap an earlier one go with it. Null texts stay null.
     """
     ledger = update_ledger(documents.select("doc_id", "text"), path, rules)
-    hits = _hits(ledger, rules).withColumnRenamed("blob", "found_blob")
+    found, hit, held = (fresh(documents, name) for name in ("found", "hit_blob", "redacted"))
+    hits = _hits(ledger, rules).select(F.col("blob").alias(hit), F.col("found").alias(found))
     spans = ledger.agg(F.sum(F.size("spans"))).first()[0] or 0
     if spans <= BROADCAST_SPANS:
         hits = F.broadcast(hits)
     done = F.aggregate(
-        "found",
+        found,
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda held, s: F.when(
-            s["start"] >= held["at"],
+        lambda done, s: F.when(
+            s["start"] >= done["at"],
             F.struct(
                 s["end"].alias("at"),
                 F.concat(
-                    held["out"],
+                    done["out"],
                     F.substring(
                         F.col("text"),
-                        (held["at"] + 1).cast("int"),
-                        (s["start"] - held["at"]).cast("int"),
+                        (done["at"] + 1).cast("int"),
+                        (s["start"] - done["at"]).cast("int"),
                     ),
                     F.lit("["),
                     s["kind"],
@@ -243,20 +244,20 @@ def redact(documents: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> Da
                 ).alias("out"),
             ),
         ).otherwise(
-            F.struct(F.greatest(held["at"], s["end"]).alias("at"), held["out"].alias("out"))
+            F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
         ),
     )
     clean = F.when(
-        F.col("found").isNotNull(),
+        F.col(found).isNotNull(),
         F.concat(
-            F.col("done.out"),
-            F.substring(F.col("text"), (F.col("done.at") + 1).cast("int"), F.length("text")),
+            F.col(f"{held}.out"),
+            F.substring(F.col("text"), (F.col(f"{held}.at") + 1).cast("int"), F.length("text")),
         ),
     ).otherwise(F.col("text"))
     blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     return (
-        documents.join(hits, blob == F.col("found_blob"), "left")
-        .withColumn("done", done)
+        documents.join(hits, blob == F.col(hit), "left")
+        .withColumn(held, done)
         .select(*(clean.alias(c) if c == "text" else F.col(c) for c in documents.columns))
     )
 
