@@ -47,7 +47,7 @@ def whole_vectors(table: DataFrame) -> DataFrame:
     )
     return table.where(F.col("vec_id").isNotNull() & x.isNotNull() & good).select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("int")).alias("v"),
+        F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).try_cast("int")).alias("v"),
     )
 
 
@@ -170,7 +170,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 shared = spark.sparkContext.broadcast(
                     (
                         np.array([r["vec_id"] for r in rows], np.int64),
-                        np.array([r["v"] for r in rows], np.int64).reshape(-1, width),
+                        np.array([r["v"] for r in rows], np.int64).reshape(len(rows), width),
                         cells,
                     )
                 )
