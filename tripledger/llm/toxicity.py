@@ -32,11 +32,11 @@ from tripledger.llm.common import (
 SIZES = (3, 4)
 BITS = 15
 DIMENSIONS = 12
-WINDOW = 6  # words
+WINDOW = 3  # words
 #: Labelled rows of each class that the model is fitted on, about.
 ROWS_PER_CLASS = 1500
-STEPS = 80
-DECAY = 0.003
+STEPS = 100
+DECAY = 0.03
 #: Windows of fewer n-grams are averaged as if they had this many.
 LEAST = 40
 PIECE = 1 << 20
