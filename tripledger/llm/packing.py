@@ -41,7 +41,7 @@ UNIT = 8
 #: The linear program stops here, or sooner when no more than half a sequence can be won.
 MAX_PATTERNS = 3000
 #: Parts of words that a worker remembers; beyond that it starts anew.
-KNOWN = 900_000
+KNOWN = 400_000
 #: Left-over documents that may be broadcast, about 100 bytes each; beyond that they are joined.
 BROADCAST_ROWS = 200_000
 PIECE = 1 << 20

@@ -40,9 +40,9 @@ LONGEST = LENGTH + WINDOW - 1  # of a segment
 #: Bytes of text for each slot, bucket of anchors and bucket of segments, about.
 SLOT_BYTES = 4 << 20
 ANCHOR_BYTES = 16 << 20
-SEGMENT_BYTES = 4 << 20
-BLOCK = 1 << 20
-PIECE_BYTES = 1 << 20
+SEGMENT_BYTES = 2 << 20
+BLOCK = 1 << 18
+PIECE_BYTES = 1 << 19
 ROWS = 1 << 15
 INDEX = np.uint64((1 << 24) - 1)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
