@@ -52,6 +52,34 @@ def test_removed_bytes(spark, monkeypatch):
         assert Counter(tuple(r)[:5] for r in rows) == Counter(brute(made))
 
 
+def test_removed_bytes_at_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SLOT_BYTES", 1 << 12)
+    monkeypatch.setattr(repeats, "SEGMENT_BYTES", 1 << 14)
+    for hot in (0, 3):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        made = shared(1)
+        rows = repeats.without_repeats(cases.table(spark, made), "lang").drop("kept").collect()
+        assert Counter(tuple(r)[:5] for r in rows) == Counter(brute(made))
+
+
+def test_segments_of_a_hot_anchor_part(spark, monkeypatch):
+    """One phrase between varying words: its distinct segments do not meet in one bucket."""
+    monkeypatch.setattr(repeats, "SLOT_BYTES", 1 << 14)
+    monkeypatch.setattr(repeats, "HOT", 100)
+    rng = random.Random(5)
+    phrases = [cases.prose(rng, 12)[: repeats.ANCHOR] for _ in range(3000)]
+    phrase = min(phrases, key=lambda p: repeats._gram_hashes(np.frombuffer(p.encode(), np.uint8))[0])
+    made = [(k, f"{cases.prose(rng, 8)} {phrase} {cases.prose(rng, 8)}") for k in range(1500)]
+    made += [(5000, made[7][1]), (5001, made[9][1][3:])]
+    slots, buckets, spread = repeats._setting(cases.table(spark, made))
+    masks = repeats._shared_anchors(slots, buckets)
+    sent = repeats._sent_segments(slots, masks, buckets, spread, part=True)
+    rows = sent.selectExpr("bucket", "length(data) n").groupBy("bucket").sum("n").collect()
+    assert max(r[1] for r in rows) < 2 * sum(r[1] for r in rows) / spread
+    got = repeats.without_repeats(cases.table(spark, made)).drop("kept").collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(brute(made))
+
+
 def test_blocks_of_anchors_join_up(monkeypatch):
     data = np.frombuffer(cases.prose(random.Random(1), 3000).encode(), np.uint8)
     whole = repeats.anchors(data)

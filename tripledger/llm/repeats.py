@@ -19,6 +19,11 @@ and buckets.
 3. Answers. Buckets send each slot the repeats of its own segments.
 
 So a passage that very many documents share reaches a bucket once for each slot.
+An anchor that stands more than ``HOT`` times may have as many different segments.
+What ``without_repeats`` asks of these is only which ``LENGTH``-byte windows a
+smaller doc_id has, so a slot sends the hashes of their distinct windows instead,
+each with its least doc_id, to buckets by the window's hash: equal windows meet,
+and the windows of one anchor are spread.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ LONGEST = LENGTH + WINDOW - 1  # of a segment
 SLOT_BYTES = 4 << 20
 ANCHOR_BYTES = 16 << 20
 SEGMENT_BYTES = 2 << 20
+#: Occurrences of an anchor beyond which its windows are dealt out one by one.
+HOT = 20_000
 BLOCK = 1 << 18
 PIECE_BYTES = 1 << 19
 ROWS = 1 << 15
@@ -48,9 +55,9 @@ INDEX = np.uint64((1 << 24) - 1)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all strings of ``ANCHOR`` bytes, by doubling."""
-    hashes, width = (data.astype(np.uint64) + np.uint64(1)) * _MULTIPLY, 1
+def _gram_hashes(data: np.ndarray, size: int = ANCHOR, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of all strings of ``size`` bytes, by doubling."""
+    hashes, width = (data.astype(np.uint64) + np.uint64(seed)) * _MULTIPLY, 1
 
     def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         out = left * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,13 +68,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
         return out
 
     powers = {1: hashes}
-    while 2 * width <= ANCHOR:
+    while 2 * width <= size:
         hashes = joined(hashes[:-width], hashes[width:])
         width *= 2
         powers[width] = hashes
     done, out = width, hashes
     for width in sorted(powers, reverse=True):
-        if done + width <= ANCHOR:
+        if done + width <= size:
             n = len(data) - done - width + 1
             out = joined(out[:n], powers[width][done : done + n])
             done += width
@@ -153,8 +160,11 @@ class Slot:
         # Number of the first document, and the segments, of each piece of the slot.
         self.pieces = [(at, Segments(texts)) for at, texts in _pieces(self.texts)]
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes, in order, that one document has; and those that several have."""
+    def anchors(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Distinct hashes, in order, that one document has; and those that several have.
+
+        Each with its numbers of occurrences.
+        """
         hashes, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at, found in self.pieces:
             hashes.append(found.hash)
@@ -163,20 +173,22 @@ class Slot:
         order = np.argsort(hashed, kind="stable")
         hashed, doc = hashed[order], doc[order]
         if not len(hashed):
-            return hashed, hashed
+            return (hashed, hashed), (hashed, hashed)
         first = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1]))
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        return hashed[first[~several]], hashed[first[several]]
-
-    def shared(self, masks: dict[int, bytes], buckets: int) -> np.ndarray:
-        """Hashes that several documents have, by the buckets' answers."""
-        alone, several = self.anchors()
-        kept = [several]
-        bucket = alone % buckets
-        for b, mask in masks.items():
-            mine = alone[bucket == b]
-            kept.append(mine[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(mine)) > 0])
-        return np.unique(np.concatenate(kept))
+        hashed, count = hashed[first], np.diff(np.append(first, len(hashed)))
+        return (hashed[~several], count[~several]), (hashed[several], count[several])
+
+    def shared(self, masks: dict[int, tuple], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes that several documents have, by the buckets' answers; and the hot among them."""
+        (alone, _), (several, _) = self.anchors()
+        kept, hot = [several], [several[:0]]
+        for b, (mask, hot_alone, hot_several) in masks.items():
+            mine, others = alone[alone % buckets == b], several[several % buckets == b]
+            for chosen, of, bits in ((kept, mine, mask), (hot, mine, hot_alone), (hot, others, hot_several)):
+                chosen.append(of[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(of)) > 0])
+        shared, hot = np.unique(np.concatenate(kept)), np.unique(np.concatenate(hot))
+        return shared, hot[_among(hot, shared)]
 
     def occurrences(self, shared: np.ndarray) -> Iterator[tuple[int, int, bytes, int]]:
         """Document number, place, bytes and anchor of every segment with a shared anchor."""
@@ -193,8 +205,88 @@ class Slot:
             )
 
 
+class Windows:
+    """The distinct windows at the hot anchors of a slot, in a fixed order by bucket."""
+
+    def __init__(self, slot: Slot, hot: np.ndarray, buckets: int):
+        keys, documents, places = [], [], []
+        for at, found in slot.pieces if len(hot) else ():
+            chosen = np.flatnonzero(_among(found.hash, hot))
+            if not len(chosen):
+                continue
+            count = found.end[chosen] - found.begin[chosen] - LENGTH + 1
+            text = np.repeat(found.text[chosen], count)
+            start = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            start += np.repeat(found.begin[chosen], count)
+            keys.append(
+                np.stack([_gram_hashes(found.data, LENGTH, seed)[start] for seed in (3, 977)], axis=1)
+            )
+            documents.append(at + text)
+            places.append(start - found.start[text])
+        #: Document number and place of every occurrence, and the number of its window.
+        self.document = np.concatenate([*documents, np.zeros(0, np.int64)])
+        self.place = np.concatenate([*places, np.zeros(0, np.int64)])
+        every = np.concatenate([*keys, np.zeros((0, 2), np.uint64)])
+        bucket = (every[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((every[:, 1], every[:, 0], bucket))
+        every, bucket = every[order], bucket[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        self.window = np.zeros(len(every), np.int64)
+        self.window[order] = np.cumsum(new) - 1
+        self.keys, self.bucket = every[first], bucket[first]
+        ids = slot.ids[self.document[order]]
+        self.least = np.minimum.reduceat(ids, first) if len(first) else ids
+
+    def sent(self, slot: int) -> list[tuple]:
+        """Rows of the windows' hashes and least documents, one for each bucket."""
+        if not len(self.bucket):
+            return []
+        first = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1]))
+        return [
+            (slot, int(self.bucket[a]), WINDOWS, self.keys[a:b].tobytes(), b"", self.least[a:b].tobytes())
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(self.bucket)], strict=True)
+        ]
+
+    def removed(self, ids: np.ndarray, answers: pa.Table) -> Iterator[tuple[int, int]]:
+        """Document number and place of every window that a smaller doc_id has, too."""
+        smaller = np.zeros(len(self.keys), bool)
+        for b, (mask,) in _answers(answers, SMALLER, "data").items():
+            low, high = np.searchsorted(self.bucket, [b, b + 1])
+            smaller[low:high] = np.unpackbits(np.frombuffer(mask, np.uint8), count=high - low) > 0
+        gone = smaller[self.window] | (ids[self.document] > self.least[self.window])
+        yield from zip(self.document[gone].tolist(), self.place[gone].tolist(), strict=True)
+
+
+def _smaller(table: pa.Table) -> list[tuple]:
+    """For every slot that sent windows to a bucket, which of them a smaller doc_id has."""
+    sent = [
+        (slot, bucket, np.frombuffer(data, np.uint64).reshape(-1, 2), np.frombuffer(ids, np.int64))
+        for slot, bucket, data, ids in zip(
+            *(table.column(c).to_pylist() for c in ("slot", "bucket", "data", "ids")), strict=True
+        )
+    ]
+    if not sent:
+        return []
+    keys, ids = (np.concatenate([x[k] for x in sent]) for k in (2, 3))
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
+    smaller = np.zeros(len(ids), bool)
+    smaller[order] = least[np.cumsum(new) - 1] < ids[order]
+    parts = np.split(smaller, np.cumsum([len(x[3]) for x in sent])[:-1])
+    return [
+        (slot, bucket, SMALLER, np.packbits(mask).tobytes(), b"", b"")
+        for (slot, bucket, _, _), mask in zip(sent, parts, strict=True)
+        if mask.any()
+    ]
+
+
 PACKED = "slot int, bucket int, kind int, data binary, more binary, ids binary"
-ALONE, MASK, CONTENT, SPANS = range(4)
+ALONE, MASK, CONTENT, SPANS, WINDOWS, SMALLER = range(6)
 
 
 def _packed(rows: list[tuple]) -> pa.Table:
@@ -215,27 +307,34 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _by_bucket(hashed: np.ndarray, buckets: int) -> dict[int, bytes]:
+def _by_bucket(hashed: np.ndarray, count: np.ndarray, buckets: int) -> dict[int, tuple]:
     bucket = hashed % buckets
     order = np.argsort(bucket, kind="stable")
     within = (hashed[order] // buckets).astype(np.uint32)
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    count = count[order].astype(np.uint32)
     return {
-        b: within[edges[b] : edges[b + 1]].tobytes()
+        b: (within[edges[b] : edges[b + 1]].tobytes(), count[edges[b] : edges[b + 1]].tobytes())
         for b in np.flatnonzero(np.diff(edges)).tolist()
     }
 
 
 def _shared_anchors(slots: DataFrame, buckets: int) -> DataFrame:
-    """For every slot and bucket, a mask of the slot's own hashes that others have."""
+    """For every slot and bucket, masks of the slot's own hashes: that others have, and hot ones.
+
+    The second mask is of the hashes that one document of the slot has, the third
+    of those that several have.
+    """
 
     def send(table: pa.Table) -> pa.Table:
         slot = table.column("slot")[0].as_py()
-        alone, several = (_by_bucket(h, buckets) for h in Slot(table).anchors())
+        alone, several = (_by_bucket(*h, buckets) for h in Slot(table).anchors())
+        none = (b"", b"")
         return _packed(
             [
-                (slot, b, ALONE, alone.get(b, b""), several.get(b, b""), b"")
+                (slot, b, ALONE, one[0], more[0], one[1] + more[1])
                 for b in sorted(alone.keys() | several.keys())
+                for one, more in [(alone.get(b, none), several.get(b, none))]
             ]
         )
 
@@ -246,14 +345,18 @@ def _shared_anchors(slots: DataFrame, buckets: int) -> DataFrame:
         everyone = np.sort(np.concatenate(mine))
         twice = everyone[1:][everyone[1:] == everyone[:-1]]
         known = np.unique(np.concatenate([twice, *several]))
-        masks = [_among(hashes, known) for hashes in mine]
-        return _packed(
-            [
-                (s, bucket, MASK, np.packbits(mask).tobytes(), b"", b"")
-                for s, mask in zip(slot, masks, strict=True)
-                if mask.any()
-            ]
-        )
+        counts = [np.frombuffer(x, np.uint32) for x in table.column("ids").to_pylist()]
+        every = np.concatenate([x for pair in zip(mine, several, strict=True) for x in pair])
+        order = np.argsort(every, kind="stable")
+        every, count = every[order], np.concatenate(counts)[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        hot = every[first[np.add.reduceat(count, first) > HOT]]
+        rows = []
+        for s, alone, more in zip(slot, mine, several, strict=True):
+            masks = (_among(alone, known), _among(alone, hot), _among(more, hot))
+            if any(mask.any() for mask in masks):
+                rows.append((s, bucket, MASK, *(np.packbits(mask).tobytes() for mask in masks)))
+        return _packed(rows)
 
     return (
         slots.groupBy("slot")
@@ -274,8 +377,8 @@ def _answers(table: pa.Table, kind: int, *columns: str) -> dict[int, tuple]:
     }
 
 
-def _masks(table: pa.Table) -> dict[int, bytes]:
-    return {b: data for b, (data,) in _answers(table, MASK, "data").items()}
+def _masks(table: pa.Table) -> dict[int, tuple]:
+    return _answers(table, MASK, "data", "more", "ids")
 
 
 def _owned(
@@ -425,16 +528,25 @@ class Bucket:
         self.tree = SuffixTree(list(held), np.array(least, np.int64), np.array(several, bool))
 
 
-def _sent_segments(slots: DataFrame, masks: DataFrame, buckets: int, spread: int) -> DataFrame:
+def _sent_segments(
+    slots: DataFrame, masks: DataFrame, buckets: int, spread: int, part: bool = False
+) -> DataFrame:
+    """Distinct segments, to their anchors' buckets; if ``part``, windows at hot anchors."""
+
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _packed([])
         slot = Slot(table)
-        held, _ = _owned(slot, slot.shared(_masks(answers), buckets), spread)
+        shared, hot = slot.shared(_masks(answers), buckets)
+        windows = []
+        number = table.column("slot")[0].as_py()
+        if part:
+            shared = shared[~_among(shared, hot)]
+            windows = Windows(slot, hot, spread).sent(number)
+        held, _ = _owned(slot, shared, spread)
         grouped: dict[int, list[tuple[bytes, int]]] = {}
         for content, (bucket, doc) in held.items():
             grouped.setdefault(bucket, []).append((content, doc))
-        number = table.column("slot")[0].as_py()
         return _packed(
             [
                 (
@@ -447,6 +559,7 @@ def _sent_segments(slots: DataFrame, masks: DataFrame, buckets: int, spread: int
                 )
                 for bucket, some in grouped.items()
             ]
+            + windows
         )
 
     return slots.groupBy("slot").cogroup(masks.groupBy("slot")).applyInArrow(send, PACKED)
@@ -454,6 +567,11 @@ def _sent_segments(slots: DataFrame, masks: DataFrame, buckets: int, spread: int
 
 def _own_spans(table: pa.Table) -> pa.Table:
     """For every slot, spans of its own segments that a smaller doc_id has, too."""
+    kind = table.column("kind").to_numpy()
+    rows = _smaller(table.filter(pa.array(kind == WINDOWS)))
+    table = table.filter(pa.array(kind == CONTENT))
+    if not table.num_rows:
+        return _packed(rows)
     bucket = Bucket(table)
     _, segment, begin, depth, least = bucket.tree.members()
     order = np.lexsort((least, segment))
@@ -466,7 +584,6 @@ def _own_spans(table: pa.Table) -> pa.Table:
         )
         begin, end = np.minimum.reduceat(begin, at), np.maximum.reduceat(end, at)
         segment, least = segment[at], least[at]
-    rows = []
     for slot, numbers, docs in bucket.slots:
         low = np.searchsorted(segment, numbers, "left")
         count = np.searchsorted(segment, numbers, "right") - low
@@ -501,7 +618,7 @@ def maximal_repeats(documents: DataFrame) -> DataFrame:
     ``repeat`` (a group's name), ``length``, ``doc_id`` and ``place`` (in bytes)
     of every occurrence. Repeats are maximal within the windows of one anchor: a
     longer common passage comes as overlapping groups that cover it, each with
-    all its occurrences. Texts are UTF-8, null ones empty; rows with a null id
+    all its occurrences. All segments of an anchor meet in one bucket here, hot or not. Texts are UTF-8, null ones empty; rows with a null id
     take no part.
     """
     slots, buckets, spread = _setting(documents.where(F.col("doc_id").isNotNull()))
@@ -540,7 +657,7 @@ def maximal_repeats(documents: DataFrame) -> DataFrame:
         out: set[tuple] = set()
         if table.num_rows:
             slot = Slot(table)
-            held, found = _owned(slot, slot.shared(_masks(answers), buckets), spread)
+            held, found = _owned(slot, slot.shared(_masks(answers), buckets)[0], spread)
             members = _answered(held, answers)
             for document, place, content in found:
                 for group, offset, depth in members.get(content, ()):
@@ -607,7 +724,7 @@ def without_repeats(documents: DataFrame, *others: str) -> DataFrame:
     slots, buckets, spread = _setting(documents, *others)
     masks = _shared_anchors(slots, buckets)
     spans = (
-        _sent_segments(slots, masks, buckets, spread)
+        _sent_segments(slots, masks, buckets, spread, part=True)
         .groupBy("bucket")
         .applyInArrow(_own_spans, PACKED)
     )
@@ -616,7 +733,14 @@ def without_repeats(documents: DataFrame, *others: str) -> DataFrame:
         slot = Slot(table)
         removed: list[list] = [[] for _ in range(table.num_rows)]
         if table.num_rows:
-            held, found = _owned(slot, slot.shared(_masks(answers), buckets), spread)
+            shared, hot = slot.shared(_masks(answers), buckets)
+            windows = Windows(slot, hot, spread)
+            for document, place in windows.removed(slot.ids, answers):
+                if removed[document] and removed[document][-1][1] == place + LENGTH - 1:
+                    removed[document][-1] = (removed[document][-1][0], place + LENGTH)
+                else:
+                    removed[document].append((place, place + LENGTH))
+            held, found = _owned(slot, shared[~_among(shared, hot)], spread)
             own = _answered(held, answers)
             ids = slot.ids.tolist()
             for document, place, content in found:
