@@ -15,8 +15,10 @@ from tripledger.llm.quality import op10_quality
 from tripledger.llm.repeats import op8_repeats
 from tripledger.llm.secrets import op5_secret_spans
 from tripledger.llm.simhash import op3_simhash_groups
+from tripledger.llm.tokenids import op12_token_ids
 from tripledger.llm.toxicity import op7_toxicity
 from tripledger.llm.vectors import op6_top_k
+from tripledger.llm.whitening import op13_whitening
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +33,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_pieces": op9_pieces,
         "op10_quality": op10_quality,
+        "op12_token_ids": op12_token_ids,
+        "op13_whitening": op13_whitening,
     }
 
 
