@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import vectors
+from tripledger.llm import collocations, vectors
+from tripledger.llm.collocations import op11_collocations
 from tripledger.llm.fingerprint import op1_fingerprints
 from tripledger.llm.language import op4_language_codes
 from tripledger.llm.packing import op2_pack
@@ -33,6 +34,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_pieces": op9_pieces,
         "op10_quality": op10_quality,
+        "op11_collocations": op11_collocations,
         "op12_token_ids": op12_token_ids,
         "op13_whitening": op13_whitening,
     }
@@ -42,4 +44,5 @@ def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries whose result SQL can state."""
     return {
         "op6_top_k": vectors.ORACLE,
+        "op11_collocations": collocations.ORACLE,
     }
