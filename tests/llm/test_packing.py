@@ -19,16 +19,6 @@ def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-def test_parts_encode_like_the_whole(tokenizer):
-    rng = random.Random(4)
-    letters = "abcdEFGH  \n\tthe er é①ñßΣ中😀.,!'\"0123'sÄÖÜIİſK\x1c\x85\xa0<|>×÷ªµ"
-    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
-    texts += ["<|endoftext|> a<|endoftext|>b", "it's we'll I'M DON'T 's", ""]
-    made = packing.encoder(public_tokenizers.path(packing.TOKENIZER)).encode(texts)
-    for text, ids in zip(texts, made, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text), repr(text)
-
-
 def check(rows, made, tokenizer):
     """Every id lies in one piece; sequences have no gap; returns their lengths."""
     texts = {}
@@ -104,3 +94,20 @@ def test_knapsack_and_linear_program():
 
 def test_empty_table(spark):
     assert packing.pack(cases.empty(spark)).count() == 0
+
+
+def test_hot_row_and_null_ids(spark, tokenizer):
+    rng = random.Random(7)
+    copy = cases.prose(rng, 90)
+    made = [(5, copy)] * 600 + [(None, cases.prose(rng, rng.randint(1, 300))) for _ in range(300)]
+    made += [(k, cases.prose(rng, 40)) for k in range(10, 300)]
+    rows = packing.pack(cases.table(spark, made).repartition(4)).collect()
+    lengths = check(rows, made, tokenizer)
+    assert all(n & (n - 1) == 0 for n in lengths)
+
+
+def test_very_long_text(spark, tokenizer):
+    rng = random.Random(8)
+    made = [(1, cases.prose(rng, 60_000)), (2, "é" * 300_000), (3, "one"), (4, "x " * 100_000)]
+    rows = packing.pack(cases.table(spark, made)).collect()
+    assert all(n & (n - 1) == 0 for n in check(rows, made, tokenizer))

@@ -16,13 +16,9 @@ token is padding, and only the share of documents that the gaps need is cut.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import map_batches, pieces_of, read_table, texts_of
+from tripledger.llm.common import map_batches, read_table, texts_of
+from tripledger.llm.encoding import encoder
 from tripledger.session import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,74 +37,11 @@ SEQUENCE = 2048
 UNIT = 8
 #: The linear program stops here, or sooner when no more than half a sequence can be won.
 MAX_PATTERNS = 3000
-#: Parts of words that a worker remembers; beyond that it starts anew.
-KNOWN = 400_000
 #: Left-over documents that may be broadcast, about 100 bytes each; beyond that they are joined.
 BROADCAST_ROWS = 200_000
-PIECE = 1 << 20
-END_BYTES = np.array([END], "<u4").tobytes()
 FAR = 1 << 40
 
 
-# How the tokenizer parts a text of these characters.
-PLAIN_TEXT = re.compile("[\n -~À-ÖØ-öø-ÿ]*")
-PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\n a-z0-9ß-öø-ÿ]+")
-
-
-def parts_of(text: str) -> list[str]:
-    """A text in parts that are encoded one by one.
-
-    The tokenizer never joins what a space or a line feed parts. Words of plain
-    letters and signs are parted as the tokenizer does it; others stay whole.
-    """
-    if "<|" not in text and PLAIN_TEXT.fullmatch(text):
-        return PARTS.findall(text.lower())
-    out: list[str] = []
-    for word in text.replace("\n", " ").split(" "):
-        if "<|" not in word and PLAIN_WORD.fullmatch(word):
-            out += PARTS.findall(word.lower())
-        elif word:
-            out.append(word)
-    return out
-
-
-class Encoder:
-    """Ids as little-endian 32-bit bytes; parts that have come before are remembered."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for a, b in pieces_of(texts, PIECE, len):
-            each = [parts_of(t) for t in texts[a:b]]
-            new = set(chain.from_iterable(each)).difference(self.known)
-            if len(self.known) + len(new) > KNOWN:
-                self.known = {}
-                new = set(chain.from_iterable(each))
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                for part, e in zip(some, found, strict=True):
-                    self.known[part] = array("I", e.ids).tobytes()
-            for parts in each:
-                yield b"".join(map(self.known.__getitem__, parts)) + END_BYTES
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Most valuable multiset of items that fits, by dynamic programming."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -321,7 +255,21 @@ def _gaps(made, length_key: np.ndarray, lengths: np.ndarray, sequence: int):
                 yield start + int(k), int(upto - k), int(sequence - full)
 
 
-PIECES = "part int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = (
+    "part int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    "text_hash long"
+)
+
+
+def _ids_of(batch: pa.RecordBatch, tokenizer: str) -> Iterator[bytes]:
+    for ids, starts in encoder(tokenizer).encode(batch.column("text"), END):
+        raw = ids.tobytes()
+        for a, b in zip((4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist(), strict=True):
+            yield raw[a:b]
+
+
+def _hashed(documents: DataFrame) -> DataFrame:
+    return texts_of(documents).withColumn("text_hash", F.xxhash64("text"))
 
 
 def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
@@ -332,13 +280,16 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
         seen = np.zeros(SEQUENCE + 1, np.int64)
         for batch in batches:
             out = []
-            ids_of = encoder(tokenizer).encode(batch.column("text").to_pylist())
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
+            ids_of = _ids_of(batch, tokenizer)
+            keys = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash"))
+            for doc_id, text_hash, ids in zip(*keys, ids_of, strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, SEQUENCE):
                     piece = ids[4 * start : 4 * (start + SEQUENCE)]
                     n = len(piece) // 4
-                    out.append((part, int(seen[n]), doc_id, start, n, zlib.crc32(piece), total))
+                    out.append(
+                        (part, int(seen[n]), doc_id, start, n, zlib.crc32(piece), total, text_hash)
+                    )
                     seen[n] += 1
             if out:
                 columns = [pa.array(c) for c in zip(*out, strict=True)]
@@ -348,13 +299,16 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
                     columns, [name.split()[0] for name in PIECES.split(", ")]
                 )
 
-    return texts_of(documents).mapInArrow(run, PIECES)
+    return _hashed(documents).mapInArrow(run, PIECES)
 
 
 RESULT = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long"
 )
+PLACED = f"{RESULT}, text_hash long"
+#: Left-over items of one text that are cut together lie within so many left-over tokens.
+LEFT_TOGETHER = 1 << 20
 
 
 def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -379,7 +333,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
         (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("prior"),
     )
     ranked = cut.join(prior, ["length", "part"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash",
         (F.col("prior") + F.col("nth")).alias("rank"),
     )
 
@@ -394,31 +348,38 @@ def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
         # A left-over item keeps its place in the offset's column for now.
         offset = np.where(sequence < 0, place, offset)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], pa.array(sequence), pa.array(offset)],
-            [name.split()[0] for name in RESULT.split(", ")],
+            [*batch.columns[:5], pa.array(sequence), pa.array(offset), batch.column("text_hash")],
+            [name.split()[0] for name in PLACED.split(", ")],
         )
 
-    placed = map_batches(ranked, rows, RESULT)
-    whole = placed.where("sequence_id >= 0")
+    placed = map_batches(ranked, rows, PLACED)
+    whole = placed.where("sequence_id >= 0").drop("text_hash")
     if not plan.left_over:
         return whole
-    parts = placed.where("sequence_id < 0").groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "length", "ids_crc32", "offset")).alias("items")
+    # Items of one text stay apart where there are many; an id alone brings none together.
+    parts = (
+        placed.where("sequence_id < 0")
+        .groupBy("doc_id", "text_hash", F.shiftright("offset", LEFT_TOGETHER.bit_length() - 1))
+        .agg(F.collect_list(F.struct("start", "length", "ids_crc32", "offset")).alias("items"))
+        .select("doc_id", "text_hash", "items")
     )
+    keys = parts.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
     if plan.left_over <= BROADCAST_ROWS:
-        parts = F.broadcast(parts)
-    # Only the documents that are cut once more are tokenized once more.
+        parts, keys = F.broadcast(parts), F.broadcast(keys)
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    # Only the texts that are cut once more are tokenized once more, repeated rows as one.
     again = (
-        texts_of(documents)
-        .withColumnRenamed("doc_id", "id")
-        .join(parts, F.col("id").eqNullSafe(F.col("doc_id")))
+        _hashed(documents)
+        .join(keys, same, "left_semi")
+        .dropDuplicates(["doc_id", "text"])
+        .select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "text")
+        .join(parts, same)
         .select("doc_id", "text", "items")
     )
 
     def cut_rows(batch: pa.RecordBatch):
         plan, out = shared.value, []
-        texts = batch.column("text").to_pylist()
-        ids_of = encoder(tokenizer).encode(texts)
+        ids_of = _ids_of(batch, tokenizer)
         for doc_id, items, ids in zip(
             batch.column("doc_id").to_pylist(), batch.column("items").to_pylist(), ids_of,
             strict=True,
@@ -427,7 +388,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
             start = total // SEQUENCE * SEQUENCE
             rest = ids[4 * start :]
             for item in items:
-                # Rows may share an id: the items of another text are not this row's.
+                # Should two texts of an id share a hash, items of the other are not this one's.
                 if (item["start"], 4 * item["length"], item["ids_crc32"]) != (
                     start, len(rest), zlib.crc32(rest),
                 ):
@@ -443,7 +404,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 columns, [name.split()[0] for name in RESULT.split(", ")]
             )
 
-    # Rows of one id and equal ids of tokens each cut all their items: a place counts once.
+    # Texts of one id with equal tokens and hashes each cut all their items: a place counts once.
     parted = map_batches(again, cut_rows, RESULT).dropDuplicates(["sequence_id", "offset"])
     return whole.unionByName(parted)
 
