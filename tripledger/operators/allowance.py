@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tripledger.schemas import TRIP_COLUMNS
 
 
+#: Rates that may be broadcast, a few MB; a longer table is joined by measured sizes.
+BROADCAST_RATES = 100_000
+
+
 def check_rates(rates: DataFrame) -> int:
     """Row count of the rate table; a country with two rates is an error.
 
@@ -27,10 +31,13 @@ def check_rates(rates: DataFrame) -> int:
 def join_rates(trips: DataFrame, rates: DataFrame) -> DataFrame:
     """Rate of the home country, null where there is none. Null matches null.
 
-    Measured sizes decide at run time between a broadcast and a shuffled join.
+    The check counts the rates, so their size is known: a table within
+    ``BROADCAST_RATES`` is broadcast and the trips, whose home countries are few
+    and hot, are not shuffled. Beyond it measured sizes decide at run time.
     """
-    check_rates(rates)
     dim = rates.select(F.col("country").alias("rate_country"), "daily_allowance")
+    if check_rates(rates) <= BROADCAST_RATES:
+        dim = F.broadcast(dim)
     return trips.join(
         dim,
         F.col("home_country").eqNullSafe(F.col("rate_country")),

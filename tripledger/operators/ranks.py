@@ -24,11 +24,11 @@ class Ranked:
     starts: list[tuple[int, int]] = field(default_factory=list)
 
     def _numbered(self, placed: DataFrame) -> DataFrame:
-        starts = placed.sparkSession.createDataFrame(self.starts, "part int, start long")
-        return (
-            placed.join(starts, "part")
-            .withColumn("rn", F.col("start") + F.col("pos"))
-            .drop("part", "pos", "start")
+        """The first positions are a constant of the plan, one number per partition: no join."""
+        first = dict(self.starts)
+        numbers = ", ".join(f"{first.get(p, 0)}L" for p in range(max(first, default=0) + 1))
+        return placed.withColumn("rn", F.expr(f"get(array({numbers}), part) + pos")).drop(
+            "part", "pos"
         )
 
     @property
@@ -42,6 +42,11 @@ class Ranked:
             F.col("rn") >= first
         )
 
+    def before(self, end: int) -> DataFrame:
+        """Rows up to a position; files of later partitions are skipped by ``part``."""
+        part = max((p for p, start in self.starts if start < end), default=0)
+        return self._numbered(self.placed.filter(F.col("part") <= part)).filter(F.col("rn") < end)
+
 
 def rank_rows(df: DataFrame, *order_by: str, name: str = "ranked") -> Ranked:
     """Position of every row in the order of ``order_by``, which must be a total order.

@@ -89,7 +89,7 @@ class Tables:
 
     @cached_property
     def train(self) -> DataFrame:
-        return self.ranked.rows.filter(F.col("rn") < self.train_rows)
+        return self.ranked.before(self.train_rows)
 
     @cached_property
     def test(self) -> DataFrame:

@@ -40,7 +40,7 @@ def run_training(
     labels = domain_of(countries)
     ranked = rank_trips(build_trips(lines, rates), labels, order_by)
     rows = train_size(ranked.count, test_fraction)
-    train = ranked.rows.filter(F.col("rn") < rows)
+    train = ranked.before(rows)
     recent = ranked.since(max(rows - SEQUENCE_LENGTH, 0)).filter(F.col("rn") < rows)
     model = fit_hybrid(train, rows, labels, regressor, settings, with_sequence, recent)
     if bundle_path is not None:
