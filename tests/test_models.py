@@ -3,7 +3,6 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
@@ -45,25 +44,94 @@ def requests(spark):
     )
 
 
-def test_ridge_equals_the_closed_form(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(80, 4))
-    w = rng.integers(1, 9, size=80)
-    y = x @ [1.0, -2.0, 0.5, 0.0] + 3.0 + rng.normal(size=80)
-    df = spark.createDataFrame(
-        [(Vectors.dense(row), float(v), float(k)) for row, v, k in zip(x, y, w)],
-        ["f_design", "f_target", "f_weight"],
-    )
-    # Written out row by row, as often as its weight says.
-    x, y = np.repeat(x, w, axis=0), np.repeat(y, w)
+def design_of(train, labels, settings):
+    """The design matrix and target of a fit, written out here."""
+    model = additive.fit_additive(train, labels, settings)
+    design = model.design
+    numbers = [F.expr(v).alias(n) for n, v, _ in design.numeric()]
+    flags = [F.coalesce((F.col(f"{s}_country") == c).cast("double"), F.lit(0.0)).alias(f"{s}_{c}")
+             for s in ("home", "dest") for c in labels]
+    rows = train.select(*numbers, *flags, F.col("y") / design.y_scale).collect()
+    matrix = np.array([tuple(r) for r in rows], float)
+    return model, matrix[:, :-1], matrix[:, -1]
+
+
+def test_gram_pass_and_ridge_equal_the_written_design(ranked):
+    model, x, y = design_of(ranked.rows, CODES, additive.Settings(sparse_trend=False))
+    gram = model.design.gram(ranked.rows)
+    whole = np.column_stack([np.ones(len(y)), x, y])
+    assert gram == pytest.approx(whole.T @ whole, rel=1e-9, abs=1e-9)
     xc, yc = x - x.mean(0), y - y.mean()
-    for penalty in (0.0, 1.0, 50.0):
-        fitted = additive.ridge(df, penalty, float(y.std()), len(y))
-        want = np.linalg.solve(xc.T @ xc + penalty * np.eye(4), xc.T @ yc)
-        assert fitted.coefficients.toArray() == pytest.approx(want, abs=1e-6)
-        assert fitted.intercept == pytest.approx(y.mean() - x.mean(0) @ want, abs=1e-6)
-        mse = float(np.mean((y - (y.mean() + xc @ want)) ** 2))
-        assert fitted.summary.meanSquaredError == pytest.approx(mse, rel=1e-6)
+    priors = np.array(model.design.priors())
+    first = np.linalg.solve(xc.T @ xc + np.diag(additive.SLIGHT / priors**2), xc.T @ yc)
+    noise = np.mean((yc - xc @ first) ** 2)
+    want = np.linalg.solve(xc.T @ xc + np.diag(noise / priors**2), xc.T @ yc)
+    # All codes of a side shifted against the intercept differ in the tiny penalty alone.
+    assert np.array(model.weights) == pytest.approx(want, abs=1e-3)
+    assert xc @ np.array(model.weights) == pytest.approx(xc @ want, abs=1e-8)
+    assert model.intercept + x.mean(0) @ np.array(model.weights) == pytest.approx(y.mean(), abs=1e-9)
+    fitted = model.transform(ranked.rows).orderBy("rn").select("additive").collect()
+    order = ranked.rows.select("rn").collect()
+    direct = (x @ np.array(model.weights) + model.intercept) * model.design.y_scale
+    assert [r.additive for r in fitted] == pytest.approx(direct[np.argsort([r.rn for r in order])])
+
+
+def test_trend_changes_meet_the_conditions_of_their_laplace_prior(ranked):
+    model, x, y = design_of(ranked.rows, CODES, additive.Settings())
+    xc, yc = x - x.mean(0), y - y.mean()
+    priors, beta = np.array(model.design.priors()), np.array(model.weights)
+    first = np.linalg.solve(xc.T @ xc + np.diag(additive.SLIGHT / priors**2), xc.T @ yc)
+    noise = np.mean((yc - xc @ first) ** 2)
+    slope = xc.T @ (yc - xc @ beta)
+    hinge = np.array([n.startswith("hinge") for n in model.design.column_names()])
+    room = 1e-5 * noise / additive.CHANGEPOINT_PRIOR + 1e-9
+    assert slope[~hinge] == pytest.approx((noise / priors**2 * beta)[~hinge], abs=1e-7)
+    zero = hinge & (beta == 0)
+    assert zero.any()
+    assert (np.abs(slope[zero]) <= noise / additive.CHANGEPOINT_PRIOR + room).all()
+    there = hinge & (beta != 0)
+    assert slope[there] == pytest.approx(np.sign(beta[there]) * noise / additive.CHANGEPOINT_PRIOR, abs=room)
+
+
+def test_lasso_at_its_limits_and_against_a_grid():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 6))
+    x[:, 3] = x[:, 2] + 0.01 * rng.normal(size=200)  # nearly the same column twice
+    y = x @ [2.0, 0.0, 1.0, 0.0, -0.5, 0.0] + 0.1 * rng.normal(size=200)
+    p, r = x.T @ x, x.T @ y
+    none, much = np.zeros(6), np.full(6, 1e9)
+    assert additive.lasso(p, r, none) == pytest.approx(np.linalg.solve(p, r), abs=1e-6)
+    assert not additive.lasso(p, r, much).any()
+    for t in (0.5, 5.0, 40.0):
+        found = additive.lasso(p, r, np.full(6, t))
+        assert additive.meets_conditions(p, r, np.full(6, t), found)
+
+        def cost(b):
+            return b @ p @ b / 2 - r @ b + t * np.abs(b).sum()
+
+        nearby = found + rng.normal(size=(2000, 6)) * np.geomspace(1e-6, 1, 2000)[:, None]
+        assert cost(found) <= min(map(cost, nearby)) + 1e-9
+
+
+def test_a_sharp_change_is_found_among_changepoints_that_do_not_matter(spark):
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))
+    rows = spark.range(1000).select(
+        F.col("id").alias("report_key"), day.alias("ds"), F.lit("AA").alias("home_country"),
+        F.lit("BB").alias("dest_country"), F.lit(1).alias("duration"),
+        (F.col("id") + 9.0 * F.greatest(F.col("id") - 480, F.lit(0)) + F.sin("id") * 20).alias("y"),
+    )
+    settings = additive.Settings(seasons=())
+    sparse = dict(additive.fit_additive(rows, [], settings).coefficients())
+    dense = dict(additive.fit_additive(rows, [], additive.Settings(seasons=(), sparse_trend=False)).coefficients())
+    hinges = [f"hinge_{j}" for j in range(1, 26)]
+    assert sum(sparse[h] != 0 for h in hinges) < 12 < sum(dense[h] != 0 for h in hinges)
+    # Changepoints lie 32 days apart; the 15th is day 480.
+    assert max(hinges, key=lambda h: abs(sparse[h])) == "hinge_15"
+
+
+def test_forecast_and_stream_need_no_python(model, requests):
+    plan = forecast(model, requests)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_additive_model_recovers_planted_effects(model, ranked):

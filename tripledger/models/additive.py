@@ -1,26 +1,25 @@
 """Additive forecaster: trend with changepoints, seasonality and regressors.
 
-After Taylor and Letham, "Forecasting at Scale" (2018), as a ridge regression
-on a design matrix. Differences: the Laplace prior of the trend changes is
-Gaussian here, and the noise is estimated by a first fit.
+After Taylor and Letham, "Forecasting at Scale" (2018), as a penalized regression
+on a design matrix: Gaussian priors, and a Laplace prior on the trend changes, so
+most of them are exactly 0. The noise is estimated by a first fit. One pass adds up
+the design's Gram matrix, which serves both fits.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.operators.encode import declared_size, one_hot
+from tripledger.operators.encode import indexer
+from tripledger.operators.gram import summed_matrix
 
 # Default settings and prior scales; all of them are parameters of the fit.
 TREND_PRIOR = 5.0
@@ -29,8 +28,15 @@ SEASONALITY_PRIOR = 10.0
 REGRESSOR_PRIOR = 10.0
 CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
-#: Columns that Spark's normal-equation solver takes.
+#: Design columns of a fit: its Gram matrix then takes 128 MB.
 SOLVER_COLUMNS = 4096
+#: Rows of the design matrix that a task writes out at once.
+DESIGN_ROWS = 4096
+#: Penalty of the first fit, which only estimates the noise.
+SLIGHT = 1e-6
+#: Sweeps of the coordinate descent between two tries to finish it exactly.
+SWEEPS = 50
+MAX_ROUNDS = 2_000
 YEARLY = ("yearly", 365.25, 10)
 WEEKLY = ("weekly", 7.0, 3)
 
@@ -58,6 +64,8 @@ class Settings:
     seasonality_prior: float = SEASONALITY_PRIOR
     regressor_prior: float = REGRESSOR_PRIOR
     seasons: tuple[tuple[str, float, int], ...] = (YEARLY, WEEKLY)
+    #: Laplace prior on the trend changes; Gaussian like the others without it.
+    sparse_trend: bool = True
 
 
 def smallest_gap(days: Column) -> Column:
@@ -71,12 +79,22 @@ def smallest_gap(days: Column) -> Column:
     )
 
 
+def _by_day(train: DataFrame, *more: Column) -> DataFrame:
+    """Trips per day; everything else of a calendar comes from this small table."""
+    return train.groupBy(F.unix_date("ds").alias("day")).agg(F.count(F.lit(1)).alias("n"), *more)
+
+
 def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
     """Day range, changepoints and seasons of the training trips.
 
     Trips are counted per day first; everything else is derived from that
     table, which has at most one row per day of the calendar.
     """
+    return _calendar(_by_day(train), settings)[0]
+
+
+def _calendar(days: DataFrame, settings: Settings, *more: Column) -> tuple[Calendar, dict]:
+    """The calendar of a table of days, and ``more`` aggregates of that table."""
 
     def fractions(number: int) -> list[float]:
         return [settings.changepoint_range * j / number for j in range(1, number + 1)]
@@ -84,13 +102,13 @@ def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
     def points(number: int) -> Column:
         return F.percentile("day", fractions(number), F.col("n")).alias("points")
 
-    days = train.groupBy(F.unix_date("ds").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     facts = days.agg(
         F.sum("n").alias("n"),
         F.min("day").alias("first"),
         F.max("day").alias("last"),
         smallest_gap(F.sort_array(F.collect_list("day"))).alias("gap"),
         points(max(settings.changepoints, 1)),
+        *more,
     ).first()
     if (facts["n"] or 0) < 2:
         raise ValueError("the additive model needs at least two trips")
@@ -103,12 +121,13 @@ def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
     found = facts["points"]
     if number != max(settings.changepoints, 1):
         found = days.agg(points(number)).first()["points"] if number else []
-    return Calendar(
+    calendar = Calendar(
         facts["first"],
         facts["last"],
         tuple(found),
         tuple(s for s in settings.seasons if wanted.get(s[0], True)),
     )
+    return calendar, facts.asDict()
 
 
 # The design columns are SQL text: a model has about a hundred of them, and one
@@ -170,30 +189,42 @@ class Design:
         slots = [self.settings.regressor_prior] * (2 * len(self.labels))
         return [scale for _, _, scale in self.numeric()] + slots
 
-    def with_numbers(self, df: DataFrame) -> DataFrame:
-        """Adds the numeric columns as one vector."""
-        values = ", ".join(f"{value}" for _, value, _ in self.numeric())
-        return df.withColumn("f_numbers", array_to_vector(F.expr(f"array({values})")))
+    def with_inputs(self, df: DataFrame) -> DataFrame:
+        """Adds ``home_pos`` and ``dest_pos``, positions of the codes; unknown ones come last."""
+        return indexer(self.labels).transform(df) if self.labels else df
 
-    def stages(self, spark: SparkSession) -> list[Transformer]:
-        """From numbers and country codes to ``f_design``.
+    def gram(self, rows: DataFrame) -> np.ndarray:
+        """Products of all design columns, a leading one and the target, summed over the rows.
 
-        Multiplying a column by its prior scale makes one uniform penalty equal
-        to a prior per column.
+        Tasks write the design matrix out a few thousand rows at a time.
         """
-        sample = spark.createDataFrame([], "home_country string, dest_country string")
-        return [
-            declared_size("f_numbers", len(self.numeric())),
-            *(one_hot(self.labels, sample).stages if self.labels else []),
-            VectorAssembler(
-                inputCols=["f_numbers", *(["home_vec", "dest_vec"] if self.labels else [])],
-                outputCol="f_raw",
-            ),
-            ElementwiseProduct(
-                scalingVec=Vectors.dense(self.priors()), inputCol="f_raw", outputCol="f_design"
-            ),
-            declared_size("f_design", len(self.priors())),
-        ]
+        codes = len(self.labels)
+        numbers = len(self.numeric())
+        values = ", ".join(value for _, value, _ in self.numeric())
+        size = 2 + numbers + 2 * codes
+        inputs = self.with_inputs(rows).select(
+            F.expr(f"array({values})").alias("numbers"),
+            (F.col("y") / F.lit(self.y_scale)).alias("target"),
+            *(F.col(f"{side}_pos").cast("int") for side in ("home", "dest") if codes),
+        )
+
+        def add(total: np.ndarray, batches: Iterable[pa.RecordBatch]) -> None:
+            for batch in batches:
+                for at in range(0, batch.num_rows, DESIGN_ROWS):
+                    part = batch.slice(at, DESIGN_ROWS)
+                    n = part.num_rows
+                    design = np.zeros((n, size))
+                    design[:, 0] = 1.0
+                    flat = part.column(0).flatten().to_numpy(zero_copy_only=False)
+                    design[:, 1 : 1 + numbers] = flat.reshape(n, numbers)
+                    for k in range(2 if codes else 0):
+                        position = part.column(2 + k).to_numpy(zero_copy_only=False)
+                        known = np.flatnonzero(position < codes)
+                        design[known, 1 + numbers + k * codes + position[known]] = 1.0
+                    design[:, -1] = part.column(1).to_numpy(zero_copy_only=False)
+                    total += design.T @ design
+
+        return summed_matrix(inputs, (size, size), add)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -209,83 +240,177 @@ class Design:
         return cls(calendar=Calendar(**calendar), settings=Settings(**settings), **raw)
 
 
+@dataclass(frozen=True)
+class Normal:
+    """Centred normal equations of a design: what every fit of it needs."""
+
+    n: float
+    mean: np.ndarray
+    target_mean: float
+    products: np.ndarray
+    right: np.ndarray
+    square: float  # of the centred target
+
+    @classmethod
+    def of(cls, gram: np.ndarray) -> Normal:
+        n = gram[0, 0]
+        mean, total = gram[0, 1:-1] / n, gram[0, -1] / n
+        return cls(
+            n,
+            mean,
+            total,
+            gram[1:-1, 1:-1] - n * np.outer(mean, mean),
+            gram[1:-1, -1] - n * mean * total,
+            max(gram[-1, -1] - n * total**2, 0.0),
+        )
+
+    def mean_squared_error(self, beta: np.ndarray) -> float:
+        error = self.square - 2 * beta @ self.right + beta @ self.products @ beta
+        return max(float(error), 0.0) / self.n
+
+    def intercept(self, beta: np.ndarray) -> float:
+        return float(self.target_mean - self.mean @ beta)
+
+    def ridge(self, penalty: np.ndarray) -> np.ndarray:
+        """Least squares plus ``penalty`` times the squared coefficients, column by column."""
+        return np.linalg.solve(self.products + np.diag(penalty), self.right)
+
+    def fit(self, penalty: np.ndarray, sparse: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+        """Half the squared error plus half of ``penalty`` times the squares; for the columns
+        where ``sparse``, ``threshold`` times the absolute value instead of the squares.
+
+        The other columns are eliminated, as they follow from the sparse ones
+        by linear equations; coordinate descent finds these.
+        """
+        rest = ~sparse
+        own = self.products[np.ix_(rest, rest)] + np.diag(penalty[rest])
+        cross = self.products[np.ix_(rest, sparse)]
+        solved = np.linalg.solve(own, np.column_stack([cross, self.right[rest]]))
+        products = self.products[np.ix_(sparse, sparse)] - cross.T @ solved[:, :-1]
+        right = self.right[sparse] - cross.T @ solved[:, -1]
+        beta = np.zeros(len(penalty))
+        beta[sparse] = lasso((products + products.T) / 2, right, threshold[sparse])
+        beta[rest] = solved[:, -1] - solved[:, :-1] @ beta[sparse]
+        return beta
+
+
+def lasso(products: np.ndarray, right: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+    """Minimum of b'Pb / 2 - r'b + sum(t |b|) by coordinate descent.
+
+    Every few sweeps the columns that are not 0 are solved for exactly; the
+    search ends when that solution meets the conditions of the minimum.
+    """
+    size = len(right)
+    beta = np.zeros(size)
+    live = np.flatnonzero(np.diag(products) > 0)
+    for _ in range(MAX_ROUNDS):
+        for _ in range(SWEEPS):
+            for j in live:
+                rest = right[j] - products[j] @ beta + products[j, j] * beta[j]
+                beta[j] = np.sign(rest) * max(abs(rest) - threshold[j], 0.0) / products[j, j]
+        exact = _solved(products, right, threshold, beta)
+        if meets_conditions(products, right, threshold, exact):
+            return exact
+        if meets_conditions(products, right, threshold, beta):
+            return beta
+    raise RuntimeError(f"the trend's fit did not converge in {MAX_ROUNDS * SWEEPS} sweeps")
+
+
+def _solved(products, right, threshold, beta: np.ndarray) -> np.ndarray:
+    """The same columns and signs as ``beta``, with the values that balance exactly."""
+    out = np.zeros(len(beta))
+    kept = np.flatnonzero(beta)
+    if len(kept):
+        signs = np.sign(beta[kept])
+        some = products[np.ix_(kept, kept)]
+        found = np.linalg.lstsq(some, right[kept] - threshold[kept] * signs, rcond=None)[0]
+        out[kept] = np.where(np.sign(found) == signs, found, 0.0)
+    return out
+
+
+def meets_conditions(products, right, threshold, beta: np.ndarray, tol: float = 1e-7) -> bool:
+    """Whether the error's slope equals the threshold where ``beta`` is not 0, and is less elsewhere."""
+    slope = right - products @ beta
+    room = tol * (threshold + np.abs(right).max(initial=0.0) * 1e-6) + 1e-300
+    apart = np.abs(slope - np.sign(beta) * threshold)
+    return bool(np.all(np.where(beta != 0, apart <= room, np.abs(slope) <= threshold + room)))
+
+
 @dataclass(frozen=True)
 class AdditiveModel:
+    """A design with the effect of each of its columns, in units of the scaled target."""
+
     design: Design
-    pipeline: PipelineModel
+    intercept: float
+    weights: tuple[float, ...]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``additive``, the point forecast in EUR."""
-        scored = self.pipeline.transform(self.design.with_numbers(df))
-        additive = F.col("f_prediction") * F.lit(self.design.y_scale)
-        return scored.select(*df.columns, additive.alias("additive"))
+        """Adds ``additive``, the point forecast in EUR: arithmetic and two lookups by country."""
+        numeric = self.design.numeric()
+        parts = [sql_double(self.intercept)]
+        parts += [f"({v}) * {sql_double(w)}" for (_, v, _), w in zip(numeric, self.weights) if w]
+        codes = len(self.design.labels)
+        for k, side in enumerate(("home", "dest") if codes else ()):
+            start = len(numeric) + k * codes
+            slots = ", ".join(map(sql_double, (*self.weights[start : start + codes], 0.0)))
+            parts.append(f"get(array({slots}), CAST({side}_pos AS INT))")
+        additive = F.expr(" + ".join(parts)) * F.lit(self.design.y_scale)
+        return self.design.with_inputs(df).select(*df.columns, additive.alias("additive"))
 
     def coefficients(self) -> list[tuple[str, float]]:
         """Effect of each design column, in units of the scaled target."""
-        linear = self.pipeline.stages[-1]
-        weights = [p * w for p, w in zip(self.design.priors(), linear.coefficients.toArray())]
         return [
-            ("intercept", float(linear.intercept)),
-            *zip(self.design.column_names(), map(float, weights)),
+            ("intercept", self.intercept),
+            *zip(self.design.column_names(), self.weights, strict=True),
         ]
 
 
-def ridge(design: DataFrame, penalty: float, spread: float, rows: int) -> LinearRegressionModel:
-    """Least squares plus ``penalty`` times the squared coefficients.
-
-    The solver divides its penalty by the target's spread and multiplies it by
-    the sum of weights, which is undone here. It makes one pass for the Gram
-    matrix and one for its own summary.
-    """
-    return LinearRegression(
-        featuresCol="f_design",
-        labelCol="f_target",
-        weightCol="f_weight",
-        predictionCol="f_prediction",
-        solver="normal",
-        elasticNetParam=0.0,
-        standardization=False,
-        regParam=penalty * spread / rows,
-    ).fit(design)
-
-
 def fit_additive(
     train: DataFrame, labels: Sequence[str], settings: Settings = Settings()
 ) -> AdditiveModel:
     """Fit on trips with a known total.
 
-    The penalty is the residual variance of a nearly unpenalized first fit. Trips
-    are used one by one: days, durations and countries combine so freely that
-    grouping equal inputs would shuffle and write the trips to save nothing
-    (146,716 of 147,236 rows are distinct on the test tables).
+    The noise is the residual variance of a nearly unpenalized first fit. Two
+    passes: one over days and totals for the design, one for its Gram matrix,
+    from which both fits follow on the driver.
     """
     rows = train.filter(F.col("y").isNotNull())
-    calendar = fit_calendar(rows, settings)
-    facts = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.abs("y")).alias("y_scale"),
-        F.stddev_pop("y").alias("y_spread"),
-        F.avg("duration").alias("mean"),
-        F.stddev_samp("duration").alias("spread"),
-    ).first()
-    n, y_scale = facts["n"], float(facts["y_scale"] or 1.0)
+    days = _by_day(
+        rows,
+        F.max(F.abs("y")).alias("largest"),
+        F.sum(F.col("duration").cast("double")).alias("d"),
+        F.sum(F.col("duration").cast("double") ** 2).alias("dd"),
+        F.count("duration").alias("known"),
+    )
+    calendar, facts = _calendar(
+        days,
+        settings,
+        F.max("largest").alias("y_scale"),
+        F.sum("d").alias("d"),
+        F.sum("dd").alias("dd"),
+        F.sum("known").alias("known"),
+    )
+    y_scale, known = float(facts["y_scale"] or 1.0), facts["known"]
+    mean = (facts["d"] or 0.0) / known if known else 0.0
+    squares = (facts["dd"] or 0.0) - known * mean**2
+    spread = math.sqrt(max(squares, 0.0) / (known - 1)) if known > 1 else 0.0
     # A constant duration is used as it is.
-    mean, spread = (facts["mean"], facts["spread"]) if facts["spread"] else (0.0, 1.0)
+    if spread <= 1e-9 * max(abs(mean), 1.0):
+        mean, spread = 0.0, 1.0
     design = Design(calendar, mean, spread, y_scale, tuple(labels), settings)
-    columns = len(design.priors())
-    if columns > SOLVER_COLUMNS:
+    priors = np.array(design.priors())
+    if len(priors) > SOLVER_COLUMNS:
         raise ValueError(
-            f"{columns} design columns; the normal equations take {SOLVER_COLUMNS} at most"
+            f"{len(priors)} design columns; the normal equations take {SOLVER_COLUMNS} at most"
         )
-    features = PipelineModel(design.stages(train.sparkSession))
-    matrix = features.transform(design.with_numbers(rows)).select(
-        "f_design",
-        (F.col("y") / F.lit(y_scale)).alias("f_target"),
-        F.lit(1.0).alias("f_weight"),
-    )
-    y_spread = facts["y_spread"] / y_scale
-    model = ridge(matrix, 1e-6, y_spread or 1.0, n)
-    noise = model.summary.meanSquaredError
-    if noise > 0 and y_spread > 0:
-        model = ridge(matrix, noise, y_spread, n)
-    return AdditiveModel(design, PipelineModel([*features.stages, model]))
+    normal = Normal.of(design.gram(rows))
+    beta = normal.ridge(SLIGHT / priors**2)
+    noise = normal.mean_squared_error(beta)
+    if noise > 0 and normal.square > 0:
+        sparse = np.array([n.startswith("hinge_") for n in design.column_names()])
+        sparse &= settings.sparse_trend
+        if sparse.any():
+            beta = normal.fit(noise / priors**2, sparse, noise / priors)
+        else:
+            beta = normal.ridge(noise / priors**2)
+    return AdditiveModel(design, normal.intercept(beta), tuple(beta.tolist()))

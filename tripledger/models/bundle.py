@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from tripledger.models.additive import AdditiveModel, Design
 from tripledger.models.hybrid import HybridModel
+from tripledger.models.lagged import LaggedModel
 from tripledger.models.sequence import SequenceModel
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import STEP_FIELDS
 
 _MANIFEST = (
-    "run string, saved_at timestamp, train_rows long, has_sequence boolean, "
-    "labels array<string>, design string, shares map<string,double>, "
+    "run string, saved_at timestamp, train_rows long, sequence string, length int, "
+    "labels array<string>, design string, intercept double, weights array<double>, "
+    "shares map<string,double>, "
     "tail array<struct<y:double,duration:double,home_idx:int,dest_idx:int>>"
 )
+# What the manifest calls the sequence part.
+_KINDS = {LaggedModel: "lagged", SequenceModel: "pipeline", type(None): "none"}
 
 
 def save(model: HybridModel, path: str) -> HybridModel:
@@ -32,17 +36,21 @@ def save(model: HybridModel, path: str) -> HybridModel:
     spark = model.train.sparkSession
     run = uuid.uuid4().hex
     parts = f"{path}/runs/{run}"
-    model.additive.pipeline.write().save(f"{parts}/additive")
-    if model.sequence is not None:
+    if isinstance(model.sequence, LaggedModel):
+        model.sequence.table(spark).coalesce(1).write.parquet(f"{parts}/sequence")
+    elif model.sequence is not None:
         model.sequence.pipeline.write().save(f"{parts}/sequence")
     model.scaler.table(spark).coalesce(1).write.parquet(f"{parts}/scaler")
     model.train.write.parquet(f"{parts}/train")
     row = (
         run,
         model.train_rows,
-        model.sequence is not None,
+        _KINDS[type(model.sequence)],
+        model.length,
         list(model.labels),
         model.additive.design.to_json(),
+        model.additive.intercept,
+        list(model.additive.weights),
         model.shares,
         [dict(zip(STEP_FIELDS, values)) for values in model.tail],
     )
@@ -68,11 +76,13 @@ def load(spark: SparkSession, path: str) -> HybridModel:
     labels = tuple(newest["labels"])
     scaler = MinMax.from_table(spark.read.parquet(f"{parts}/scaler"))
     sequence = None
-    if newest["has_sequence"]:
+    if newest["sequence"] == _KINDS[LaggedModel]:
+        sequence = LaggedModel.from_table(spark.read.parquet(f"{parts}/sequence"), labels, scaler)
+    elif newest["sequence"] == _KINDS[SequenceModel]:
         sequence = SequenceModel(PipelineModel.load(f"{parts}/sequence"), labels, scaler)
     return HybridModel(
         additive=AdditiveModel(
-            Design.from_json(newest["design"]), PipelineModel.load(f"{parts}/additive")
+            Design.from_json(newest["design"]), newest["intercept"], tuple(newest["weights"])
         ),
         sequence=sequence,
         scaler=scaler,
@@ -81,6 +91,7 @@ def load(spark: SparkSession, path: str) -> HybridModel:
         tail=tuple(tuple(s[f] for f in STEP_FIELDS) for s in newest["tail"]),
         train=spark.read.parquet(f"{parts}/train"),
         train_rows=newest["train_rows"],
+        length=newest["length"],
     )
 
 

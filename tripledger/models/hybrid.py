@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.functions.trip import request_day
-from tripledger.models.additive import AdditiveModel, Settings, fit_additive, sql_double
-from tripledger.models.sequence import SequenceModel, fit_sequence, scaled_step
+from tripledger.models.additive import AdditiveModel, Settings, fit_additive
+from tripledger.models.lagged import PENALTY, LaggedModel, fit_lagged
+from tripledger.models.sequence import (
+    SequenceModel,
+    fit_sequence,
+    scaled_step,
+    with_request_window,
+)
 from tripledger.operators.encode import with_category_index
 from tripledger.operators.metrics import (
     breakdown,
@@ -21,13 +27,12 @@ from tripledger.operators.metrics import (
 )
 from tripledger.operators.ranks import Ranked, history_tail
 from tripledger.operators.scaling import MinMax
-from tripledger.operators.windows import (
-    SEQUENCE_LENGTH,
-    STEP_FIELDS,
-    request_window,
-    step,
-    with_history,
-)
+from tripledger.operators.windows import SEQUENCE_LENGTH, STEP_FIELDS, with_history
+
+__all__ = [
+    "HybridModel", "evaluate", "fit_hybrid", "forecast", "future_rows", "is_complete",
+    "predict_hold_out", "tail_steps", "with_request_window",
+]
 
 
 @dataclass(frozen=True)
@@ -35,13 +40,14 @@ class HybridModel:
     """Everything a forecast needs; ``train`` is the snapshot it was fitted on."""
 
     additive: AdditiveModel
-    sequence: SequenceModel | None
+    sequence: SequenceModel | LaggedModel | None
     scaler: MinMax
     labels: tuple[str, ...]
     shares: dict[str, float | None]
     tail: tuple[tuple, ...]
     train: DataFrame
     train_rows: int
+    length: int = SEQUENCE_LENGTH
 
 
 def tail_steps(train: DataFrame, scaler: MinMax, length: int = SEQUENCE_LENGTH) -> tuple[tuple, ...]:
@@ -60,26 +66,35 @@ def fit_hybrid(
     settings: Settings = Settings(),
     with_sequence: bool = True,
     recent: DataFrame | None = None,
+    length: int = SEQUENCE_LENGTH,
+    penalty: float = PENALTY,
 ) -> HybridModel:
     """Fit both forecasters on ranked, encoded training trips with a known total.
 
-    ``recent``: the last of these trips, where the caller can read them alone.
+    ``regressor`` learns from written windows; without one the linear learner
+    with this ``penalty`` is fitted, which needs none. ``length`` is the number
+    of steps of a window. ``recent``: the last of these trips, where the caller
+    can read them alone.
 
     With too few trips for one window, or on request, the hybrid has the
     additive part only.
     """
     scaler = MinMax.fit(train, labels)
+    sequence = None
+    if with_sequence and regressor is None:
+        sequence = fit_lagged(train, rows, labels, scaler, length, penalty)
+    elif with_sequence:
+        sequence = fit_sequence(train, rows, labels, scaler, regressor, length)
     return HybridModel(
         additive=fit_additive(train, labels, settings),
-        sequence=(
-            fit_sequence(train, rows, labels, scaler, regressor) if with_sequence else None
-        ),
+        sequence=sequence,
         scaler=scaler,
         labels=tuple(labels),
         shares=category_shares(train).first().asDict(),
-        tail=tail_steps(train if recent is None else recent, scaler),
+        tail=tail_steps(train if recent is None else recent, scaler, length),
         train=train,
         train_rows=rows,
+        length=length,
     )
 
 
@@ -94,9 +109,9 @@ def predict_hold_out(model: HybridModel, ranked: Ranked) -> DataFrame:
     if model.sequence is None:
         rows = model.additive.transform(ranked.since(first))
         return rows.withColumn("sequence", F.lit(0.0)).withColumn("predicted", F.col("additive"))
-    context = ranked.since(first - SEQUENCE_LENGTH)
+    context = ranked.since(first - model.length)
     windows = with_history(
-        context, scaled_step(model.scaler), ranked.count - first + SEQUENCE_LENGTH
+        context, scaled_step(model.scaler), ranked.count - first + model.length, model.length
     ).filter(F.col("rn") >= first)
     return (
         model.sequence.transform(model.additive.transform(windows))
@@ -123,33 +138,11 @@ def future_rows(requests: DataFrame, labels: Sequence[str]) -> DataFrame:
     return with_category_index(dated, labels)
 
 
-def _tail_literal(tail: Sequence[tuple]) -> Column:
-    """The steps as one constant array, written as SQL text to keep planning short."""
-    steps = (
-        f"struct({sql_double(y)} AS y, {sql_double(duration)} AS duration, "
-        f"CAST({'NULL' if home is None else home} AS INT) AS home_idx, "
-        f"CAST({'NULL' if dest is None else dest} AS INT) AS dest_idx)"
-        for y, duration, home, dest in tail
-    )
-    return F.expr(f"array({', '.join(steps)})")
-
-
-def with_request_window(future: DataFrame, tail: Sequence[tuple], scaler: MinMax) -> DataFrame:
-    """All but the oldest of the last training steps, then the request with a total of 0."""
-    newest = step(
-        scaler.scale("y", F.lit(0.0)),
-        scaler.scale("duration", F.col("duration")),
-        F.col("home_idx"),
-        F.col("dest_idx"),
-    )
-    return future.withColumn("history", request_window(_tail_literal(tail[1:]), newest))
-
-
 def forecast(model: HybridModel, requests: DataFrame) -> DataFrame:
     """Total, both component values and the cost breakdown for every request.
 
-    Projections and model transforms only: no shuffle, no join, no state, so
-    the same plan serves a table and a stream. A request without a usable day or
+    Projections only: no shuffle, no join, no state and, with the default
+    learners, no Python, so the same plan serves a table and a stream. A request without a usable day or
     number of days comes back with nulls and does not disturb the others.
     """
     usable = is_complete()
@@ -161,9 +154,9 @@ def forecast(model: HybridModel, requests: DataFrame) -> DataFrame:
     if model.sequence is None:
         rows = rows.withColumn("sequence", F.lit(0.0)).withColumn("total", F.col("additive"))
     else:
-        rows = model.sequence.transform(
-            with_request_window(rows, model.tail, model.scaler)
-        ).withColumn("total", hybrid_average(F.col("additive"), F.col("sequence")))
+        rows = model.sequence.forecast(rows, model.tail).withColumn(
+            "total", hybrid_average(F.col("additive"), F.col("sequence"))
+        )
     kept = [F.when(F.col("usable"), F.col(c)).alias(c) for c in ("total", "additive", "sequence")]
     split = F.when(F.col("usable"), breakdown(F.col("total"), model.shares))
     return rows.select(*requests.columns, *kept, split.alias("breakdown"))

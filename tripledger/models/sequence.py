@@ -1,7 +1,8 @@
-"""Sequence forecaster: 60 scaled steps in, the next scaled total out.
+"""Sequence forecaster on written windows: 60 scaled steps in, the next scaled total out.
 
-The learner is any ``pyspark.ml`` regressor; a linear one is the default. It
-stands in for a recurrent network, for which Spark has no distributed learner.
+The learner is any ``pyspark.ml`` regressor. The default of a hybrid, a linear
+learner, needs no windows and lies in ``models.lagged``; a linear regressor on
+the windows of this module gives the same weights.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tripledger.models.additive import sql_double
 from tripledger.operators.encode import declared_size
 from tripledger.operators.scaling import MinMax
-from tripledger.operators.windows import SEQUENCE_LENGTH, step, with_history
+from tripledger.operators.windows import SEQUENCE_LENGTH, request_window, step, with_history
 
 
 #: A fit that needs more iterations than this is an error; the tolerance ends it before.
@@ -49,6 +51,28 @@ def scaled_step(scaler: MinMax) -> Column:
     )
 
 
+def _tail_literal(tail: Sequence[tuple]) -> Column:
+    """The steps as one constant array, written as SQL text to keep planning short."""
+    steps = (
+        f"struct({sql_double(y)} AS y, {sql_double(duration)} AS duration, "
+        f"CAST({'NULL' if home is None else home} AS INT) AS home_idx, "
+        f"CAST({'NULL' if dest is None else dest} AS INT) AS dest_idx)"
+        for y, duration, home, dest in tail
+    )
+    return F.expr(f"array({', '.join(steps)})")
+
+
+def with_request_window(future: DataFrame, tail: Sequence[tuple], scaler: MinMax) -> DataFrame:
+    """All but the oldest of the last training steps, then the request with a total of 0."""
+    newest = step(
+        scaler.scale("y", F.lit(0.0)),
+        scaler.scale("duration", F.col("duration")),
+        F.col("home_idx"),
+        F.col("dest_idx"),
+    )
+    return future.withColumn("history", request_window(_tail_literal(tail[1:]), newest))
+
+
 def vector_size(labels: Sequence[str], length: int = SEQUENCE_LENGTH) -> int:
     return 2 * length * (1 + len(labels))
 
@@ -119,6 +143,11 @@ class SequenceModel:
         sequence = self.scaler.restore("y", F.col("w_prediction"))
         return self.pipeline.transform(features).select(*df.columns, sequence.alias("sequence"))
 
+    def forecast(self, future: DataFrame, tail: Sequence[tuple]) -> DataFrame:
+        """Adds ``sequence`` to requests; each gets the window it ends."""
+        windows = with_request_window(future, tail, self.scaler)
+        return self.transform(windows).drop("history")
+
 
 def fit_sequence(
     train: DataFrame,

@@ -14,6 +14,18 @@ COST_ITEMS = {
     "Daily Allowance": "y_daily_allowance",
     "Others": "y_others",
 }
+# Codes of the built-in rate table in order, and the rate of each.
+BUILTIN_CODES = (
+    "AE AR AT AU BA BD BE BG BH BR BY CA CH CL CN CO CR CZ DE DK DO DZ EC EG ES FI FR GB GR "
+    "GT HR HU ID IE IN IT JP KE KR KZ LK LT LU LV MA MC MM MX MY NG NL NO NZ OM PA PE PH PK "
+    "PL PT PY RO RS RU SA SE SG SI SK TH TN TR TW US UY VN ZA "
+).split()
+BUILTIN_RATES = [
+    120, 75, 95, 115, 65, 40, 95, 70, 120, 70, 60, 105, 125, 80, 80, 70, 75, 80, 95, 110, 85,
+    60, 65, 55, 95, 110, 95, 110, 85, 70, 75, 75, 60, 100, 50, 95, 120, 60, 110, 70, 50, 75, 95,
+    75, 65, 120, 50, 80, 70, 60, 95, 115, 115, 120, 75, 70, 60, 50, 85, 85, 70, 70, 65, 85, 120,
+    90, 120, 80, 80, 70, 60, 75, 110, 100, 80, 60, 70,
+]
 _CODES = sorted(f"NATION_{i}" for i in range(24))
 
 STEPS: dict[str, str] = {
@@ -104,6 +116,34 @@ STEPS: dict[str, str] = {
         for item, column in COST_ITEMS.items()
     )
     + " FROM train",
+    "line_fit": """
+        SELECT y0, t0, d0, (yt * dd - yd * td) / (tt * dd - td * td) AS bt,
+               (yd * tt - yt * td) / (tt * dd - td * td) AS bd
+        FROM (SELECT AVG(y) AS y0, AVG(ds - DATE '1970-01-01') AS t0, AVG(duration) AS d0,
+                     covar_pop(y, ds - DATE '1970-01-01') AS yt, covar_pop(y, duration) AS yd,
+                     var_pop(ds - DATE '1970-01-01') AS tt, var_pop(duration) AS dd,
+                     covar_pop(ds - DATE '1970-01-01', duration) AS td
+              FROM train)""",
+    "lagged": """
+        SELECT *, lag(y) OVER (ORDER BY rn) AS py, lag(duration) OVER (ORDER BY rn) AS pd
+        FROM split""",
+    "step_fit": """
+        SELECT z0, p0, q0, (zp * qq - zq * pq) / (pp * qq - pq * pq) AS bp,
+               (zq * pp - zp * pq) / (pp * qq - pq * pq) AS bq
+        FROM (SELECT AVG(y) AS z0, AVG(py) AS p0, AVG(pd) AS q0, covar_pop(y, py) AS zp,
+                     covar_pop(y, pd) AS zq, var_pop(py) AS pp, var_pop(pd) AS qq,
+                     covar_pop(py, pd) AS pq
+              FROM lagged WHERE is_train AND rn >= 1)""",
+    "one_step": """
+        SELECT report_key, y, y0 + (ds - DATE '1970-01-01' - t0) * bt + (duration - d0) * bd AS additive,
+               z0 + (py - p0) * bp + (pd - q0) * bq AS sequence
+        FROM lagged CROSS JOIN line_fit CROSS JOIN step_fit WHERE NOT is_train""",
+    "asked": """
+        SELECT request_id,
+               y0 + (make_date(COALESCE(year, 2025), month, 1) - DATE '1970-01-01' - t0) * bt
+                 + (num_days - d0) * bd AS additive,
+               z0 + (0 - p0) * bp + (num_days - q0) * bq AS sequence
+        FROM requests CROSS JOIN line_fit CROSS JOIN step_fit""",
     "steps": """
         SELECT rn, is_train, y, CAST(duration AS DOUBLE) AS duration,
                COALESCE(home_idx, -1) * 100 + COALESCE(dest_idx, -1) AS positions FROM split""",
@@ -157,6 +197,16 @@ def _min_max() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _closed_forecast(sequence: str, total: str) -> str:
+    parts = ", ".join(
+        f"ROUND({total} * {c}, 0) AS {c}" for c in (i.lower().replace(" ", "_") for i in COST_ITEMS)
+    )
+    return f"""
+        SELECT request_id, ROUND({total}, 0) AS total, ROUND(additive, 0) AS additive,
+               ROUND({sequence}, 0) AS sequence, {parts}
+        FROM asked CROSS JOIN shares"""
+
+
 _HINGES = ", ".join(
     f"ROUND(greatest(0.0, (day - p.at[{j}]) / p.span), 6) AS hinge_{j}" for j in range(1, 26)
 )
@@ -170,6 +220,10 @@ FINAL: dict[str, str] = {
     "scan_rates": """
         SELECT c_custkey, home_country, daily_allowance
         FROM homes LEFT JOIN rates ON home_country = country""",
+    "builtin_rates": f"""
+        SELECT c_custkey, {BUILTIN_CODES!r}[c_custkey % 77 + 1] AS country,
+               CAST({BUILTIN_RATES!r}[c_custkey % 77 + 1] AS DOUBLE) AS daily_allowance
+        FROM customer""",
     "rates_roundtrip": """
         SELECT country, daily_allowance, COUNT(c_custkey) AS n_customers
         FROM rates LEFT JOIN homes ON home_country = country GROUP BY country, daily_allowance""",
@@ -248,6 +302,19 @@ FINAL: dict[str, str] = {
                  var_pop(ds - DATE '1970-01-01') AS tt, var_pop(duration) AS dd,
                  covar_pop(ds - DATE '1970-01-01', duration) AS td
           FROM train) m""",
+    "sequence_closed_form": """
+        SELECT report_key, ROUND(sequence, 0) AS sequence FROM one_step""",
+    "hybrid_closed_form": """
+        SELECT report_key, ROUND(additive, 0) AS additive, ROUND(sequence, 0) AS sequence,
+               ROUND((additive + sequence) / 2, 0) AS predicted FROM one_step""",
+    "evaluate_closed_form": """
+        SELECT ROUND(SQRT(AVG((y - p) * (y - p))), 2) AS rmse,
+               ROUND(AVG((y - p) * (y - p)) / 1000, 1) AS mse_thousands
+        FROM (SELECT y, (additive + sequence) / 2 AS p FROM one_step)""",
+    "forecast_closed_form": _closed_forecast("sequence", "(additive + sequence) / 2"),
+    "fallback_closed_form": _closed_forecast("CAST(0 AS DOUBLE)", "additive"),
+    "stream_closed_form": _closed_forecast("sequence", "(additive + sequence) / 2"),
+    "bundle_closed_form": _closed_forecast("sequence", "(additive + sequence) / 2"),
     "bundle_equals_fit": "SELECT request_id, TRUE AS same FROM requests",
     "stream_equals_batch": "SELECT request_id, TRUE AS same FROM requests",
     "history_tail": "SELECT rn, report_key, y, duration FROM train ORDER BY rn DESC LIMIT 60",

@@ -15,21 +15,26 @@ from tripledger.functions.trip import (
     trip_days,
 )
 from tripledger.models import additive as additive_model
-from tripledger.models.bundle import load_or_train, save
+from tripledger.models.bundle import load, load_or_train, save
 from tripledger.models.hybrid import (
+    HybridModel,
+    evaluate,
+    fit_hybrid,
     forecast,
     future_rows,
     predict_hold_out,
     tail_steps,
     with_request_window,
 )
-from tripledger.models.sequence import fit_sequence, scaled_step
+from tripledger.models.lagged import fit_lagged
+from tripledger.models.sequence import scaled_step
 from tripledger.operators import allowance, encode, metrics, ranks, rollup, windows
 from tripledger.operators.scaling import MinMax
 from tripledger.plans.training import Training, run_training
 from tripledger.plans.trips import build_trips, rank_trips
 from tripledger.session import apply_runtime_defaults, scratch_path, stage
 from tripledger.sources import adapter, files
+from tripledger.sources.countries import COUNTRY_CODES, builtin_rates
 from tripledger.streaming.scoring import score_stream
 
 
@@ -159,6 +164,14 @@ def scan_rates(t: Tables) -> DataFrame:
     return allowance.join_rates(_customer_homes(t), files.scan_rates(t.spark, path))
 
 
+def builtin_rates_query(t: Tables) -> DataFrame:
+    """The built-in rates looked up for every customer, dealt out over the sorted codes."""
+    code = F.get(F.array(*(F.lit(c) for c in sorted(COUNTRY_CODES))), (F.col("c_custkey") % 77).cast("int"))
+    homes = t.table("customer").select("c_custkey", code.alias("home_country"))
+    rated = allowance.join_rates(homes, builtin_rates(t.spark))
+    return rated.withColumnRenamed("home_country", "country")
+
+
 def rates_roundtrip(t: Tables) -> DataFrame:
     """Rates written as Parquet, read back, with the customers of each country."""
     path = scratch_path(t.spark, "rates")
@@ -462,13 +475,13 @@ def additive_predict(t: Tables) -> DataFrame:
 
 def sequence_fit(t: Tables) -> DataFrame:
     """Error of the sequence model on the windows it was fitted on."""
-    model = fit_sequence(t.train, t.train_rows, t.labels, t.scaler)
+    model = fit_lagged(t.train, t.train_rows, t.labels, t.scaler)
     found = windows.with_history(t.train, scaled_step(t.scaler), t.train_rows)
     return metrics.error_metrics(model.transform(found), "y", "sequence")
 
 
 def sequence_predict(t: Tables) -> DataFrame:
-    model = fit_sequence(t.train, t.train_rows, t.labels, t.scaler)
+    model = fit_lagged(t.train, t.train_rows, t.labels, t.scaler)
     first, length = t.train_rows, windows.SEQUENCE_LENGTH
     context = t.ranked.since(first - length)
     found = windows.with_history(context, scaled_step(t.scaler), t.ranked.count - first + length)
@@ -513,11 +526,65 @@ def additive_closed_form(t: Tables) -> DataFrame:
 
     Without changepoints, seasons and countries, and with wide priors, the model is a linear function of the day and the duration.
     """
-    plain = additive_model.Settings(changepoints=0, trend_prior=1e6, regressor_prior=1e6, seasons=())
-    model = additive_model.fit_additive(t.train, [], plain)
+    model = additive_model.fit_additive(t.train, [], PLAIN)
     return model.transform(t.test).select("report_key", F.round("additive", 0).alias("additive"))
 
 
+#: A trend and a duration without penalty, which SQL can fit.
+PLAIN = additive_model.Settings(changepoints=0, trend_prior=1e6, regressor_prior=1e6, seasons=())
+
+
+def _plain_hybrid(t: Tables, with_sequence: bool = True) -> HybridModel:
+    """Plain least squares in both parts: no countries, and windows of one step."""
+    return fit_hybrid(
+        t.train, t.train_rows, [], settings=PLAIN, with_sequence=with_sequence, recent=t.recent,
+        length=1, penalty=0.0,
+    )
+
+
+def _whole_euros(df: DataFrame, *kept: str) -> DataFrame:
+    return df.select(*kept, *(F.round(c, 0).alias(c) for c in df.columns if c not in kept))
+
+
+def sequence_closed_form(t: Tables) -> DataFrame:
+    """Hold-out predictions of the window learner from one step before."""
+    model = fit_lagged(t.train, t.train_rows, [], t.scaler, length=1, penalty=0.0)
+    context = t.ranked.since(t.train_rows - 1)
+    found = windows.with_history(context, scaled_step(t.scaler), t.ranked.count - t.train_rows + 1, 1)
+    return _whole_euros(model.transform(found).select("report_key", "sequence"), "report_key")
+
+
+def hybrid_closed_form(t: Tables) -> DataFrame:
+    found = predict_hold_out(_plain_hybrid(t), t.ranked)
+    return _whole_euros(found.select("report_key", "additive", "sequence", "predicted"), "report_key")
+
+
+def evaluate_closed_form(t: Tables) -> DataFrame:
+    return evaluate(_plain_hybrid(t), t.ranked).select(
+        F.round("rmse", 2).alias("rmse"), F.round(F.col("mse") / 1000, 1).alias("mse_thousands")
+    )
+
+
+def forecast_closed_form(t: Tables) -> DataFrame:
+    return _whole_euros(_flat(forecast(_plain_hybrid(t), t.requests)), "request_id")
+
+
+def fallback_closed_form(t: Tables) -> DataFrame:
+    return _whole_euros(_flat(forecast(_plain_hybrid(t, False), t.requests)), "request_id")
+
+
+def stream_closed_form(t: Tables) -> DataFrame:
+    """The closed form's forecasts, made by the stream."""
+    return _whole_euros(_flat(_streamed(t, _plain_hybrid(t))), "request_id")
+
+
+def bundle_closed_form(t: Tables) -> DataFrame:
+    """The closed form's forecasts, made by a bundle that was saved and loaded."""
+    path = scratch_path(t.spark, "bundle")
+    save(_plain_hybrid(t), path)
+    return _whole_euros(_flat(forecast(load(t.spark, path), t.requests)), "request_id")
+
+
 def _saved_and_loaded(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "bundle")
     fitted = t.training().model
@@ -582,6 +649,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_rejects": scan_rejects,
     "scan_requests": scan_requests,
     "scan_rates": scan_rates,
+    "builtin_rates": builtin_rates_query,
     "rates_roundtrip": rates_roundtrip,
     "country_dim": country_dim,
     "country_list": country_list,
@@ -623,6 +691,13 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "additive_fit": additive_fit,
     "additive_predict": additive_predict,
     "additive_closed_form": additive_closed_form,
+    "sequence_closed_form": sequence_closed_form,
+    "hybrid_closed_form": hybrid_closed_form,
+    "evaluate_closed_form": evaluate_closed_form,
+    "forecast_closed_form": forecast_closed_form,
+    "fallback_closed_form": fallback_closed_form,
+    "stream_closed_form": stream_closed_form,
+    "bundle_closed_form": bundle_closed_form,
     "sequence_fit": sequence_fit,
     "sequence_predict": sequence_predict,
     "hybrid_fit": hybrid_fit,
