@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import cases
+import numpy as np
+import pyarrow as pa
 import pytest
 from compare import differences
 from pyspark.sql import functions as F
@@ -90,17 +92,16 @@ def test_counts_of_every_frequent_phrase(spark, monkeypatch):
 
 
 def test_scan_counts_only_phrases_of_frequent_parts():
-    words = ["a", "b", "c"]
-    row = {"lang": "en", "vocabulary": words, "ids": b"".join(k.to_bytes(4, "little", signed=True) for k in (0, 1, 2, -1, 0, 1))}
-    frequent = collocations.Frequent(1 << 16)
-    h = collocations._word_hashes(["a", "b"], "en")
-    for word, bit in frequent.places(h):
+    words = pa.array(["a", "b", "c"])
+    ids = np.array([0, 1, 2, -1, 0, 1], np.int32)
+    own = collocations._word_hashes(words.to_pylist(), "en")
+    frequent, none = collocations.Frequent(1 << 16), collocations.Frequent(1 << 16)
+    for word, bit in frequent.places(own[:2]):
         for w, b in zip(word, bit, strict=True):
-            frequent.words[w] |= 1 << int(b)
-    none = collocations.Frequent(1 << 16)
-    assert list(collocations.counted(row, frequent, none, False, 5)) == []
-    (size, phrases, n), = collocations.counted(row, frequent, frequent, False, 5)
-    assert (size, phrases.to_pylist(), n.tolist()) == (2, ["a b"], [2])
+            frequent.words[w] |= np.uint64(1 << int(b))
+    assert list(collocations.counted(words, own, ids, frequent, none, False, 5)) == []
+    found = list(collocations.counted(words, own, ids, frequent, frequent, False, 5))
+    assert [(s, p.to_pylist(), n.tolist()) for s, p, n in found] == [(2, ["a b"], [2])]
 
 
 def test_wide_products(spark):

@@ -67,3 +67,10 @@ def test_one_document_and_none(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcd abcd").hexdigest()
     assert one["near_next"] == 1.0
     assert fingerprint.compare_with_edits(cases.empty(spark)).count() == 0
+
+
+def test_likeness_of_very_repetitive_texts(spark):
+    made = [(2, "ab " * 40_000), (1, "ab " * 20_000), (0, "cd " * 100_000)]
+    rows = {r["doc_id"]: r for r in fingerprint.compare_with_edits(cases.table(spark, made)).collect()}
+    assert rows[2]["near_next"] > 0.99 and rows[2]["near_edited"] > 0.99
+    assert rows[1]["near_next"] < 0.7

@@ -63,3 +63,22 @@ def test_fewer_rows_than_asked_and_none(spark):
         (0, 1, 1, 1024 * 2048), (0, 2, 2, -1024 * 1024),
     ]
     assert vectors.top_k(few.limit(0), F.col("vec_id") == 0, 10).count() == 0
+
+
+def test_large_components_and_many_dimensions(spark):
+    few = [(0, [1.0, 2.0]), (1, [300_000.0, -1.0]), (2, [300_000.0, 5.0])]
+    got = vectors.top_k(vectors.whole_vectors(frame(spark, few)), F.col("vec_id") == 0, 10)
+    assert sorted(map(tuple, got.collect())) == brute(few, 10, lambda i: i == 0)
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=160) * (1e5 if k % 3 else 1e-2)).tolist()) for k in range(60)]
+    rows += [(100 + k, [(-1.0) ** (j + k) * 1.5e5 for j in range(160)]) for k in range(4)]
+    got = vectors.top_k(vectors.whole_vectors(frame(spark, rows)), F.col("vec_id") % 10 == 0, 10)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10, lambda i: i % 10 == 0)
+
+
+def test_scores_beyond_a_long_are_an_error():
+    one = np.array([[2**40, 1]])
+    assert vectors.products(one, np.array([[2**22, -5]])).tolist() == [2**62 - 5]
+    assert vectors.products(np.array([[2**40, 2**40]]), np.array([[2**30, 1 - 2**30]])).tolist() == [2**40]
+    with np.testing.assert_raises(ValueError):
+        vectors.products(one, one)

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ LEAST = 100
 LONGEST = 5
 TOP = 2_000
 UNKNOWN = "und"
-SHARDS = 4
+#: The state of phrases under way is rewritten in each step, so its cost grows with the shards.
+SHARDS = 2
 #: Bytes of text in one row of a shard; a longer text has a row of its own.
 PIECE = 1 << 21
 #: Bits of the table of frequent phrases: 8 MB.
@@ -51,8 +53,9 @@ SCORE = (
     "(CAST(a AS DECIMAL(17,0)) * CAST(n AS DECIMAL(16,0)) * 1000BD) "
     "DIV (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
 )
-SHARD_ROWS = "shard int, lang string, words long, vocabulary array<string>, ids binary"
+SHARD_ROWS = "shard int, lang string, words long, vocabulary array<string>, hashes binary, ids binary"
 FOUND = "lang string, size int, phrase string, n long"
+KNOWN = "lang string, size int, phrase string, n long, reached int, step int"
 SLOTS = "slot int, mask long"
 
 
@@ -94,9 +97,10 @@ def shards(documents: DataFrame, count: int = SHARDS) -> DataFrame:
                             pa.array([lang]),
                             pa.array([int((ids >= 0).sum())]),
                             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                            pa.array([_word_hashes(words.to_pylist(), lang).tobytes()]),
                             pa.array([ids.tobytes()], pa.binary()),
                         ],
-                        ["shard", "lang", "words", "vocabulary", "ids"],
+                        ["shard", "lang", "words", "vocabulary", "hashes", "ids"],
                     )
 
     held = texts_of(documents, "lang").withColumn("lang", F.coalesce("lang", F.lit(UNKNOWN)))
@@ -127,6 +131,20 @@ class Frequent:
     def __init__(self, bits: int = BITS):
         self.words = np.zeros(bits // 64, np.uint64)
 
+    def __getstate__(self) -> tuple:
+        """Few bits travel as the words that have any, many as the whole table."""
+        there = np.flatnonzero(self.words)
+        if 12 * len(there) < 8 * len(self.words):
+            return len(self.words), there.astype(np.int32), self.words[there]
+        return len(self.words), None, self.words
+
+    def __setstate__(self, state: tuple) -> None:
+        size, there, words = state
+        self.words = words
+        if there is not None:
+            self.words = np.zeros(size, np.uint64)
+            self.words[there] = words
+
     def places(self, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Word and bit of both places of each hash."""
         size = np.uint64(64 * len(self.words))
@@ -170,19 +188,24 @@ def _phrases(words: pa.Array, ids: np.ndarray, at: np.ndarray, size: int) -> pa.
     return parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
-def counted(row: dict, frequent: Frequent, recent: Frequent, words_too: bool, longest: int):
+def counted(
+    words: pa.Array,
+    own: np.ndarray,
+    ids: np.ndarray,
+    frequent: Frequent,
+    recent: Frequent,
+    words_too: bool,
+    longest: int,
+) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """Counts of one row's active phrases by length: size, phrases, numbers.
 
     A phrase is active if both its subphrases are frequent and one of them has
     become so within the last cycle.
     """
-    words = pa.array(row["vocabulary"], pa.string())
-    ids = np.frombuffer(row["ids"], np.int32)
     place = np.flatnonzero(ids >= 0)
     gram = ids[place].astype(np.int64)  # the phrase of the present length that begins there
     if words_too:
         yield 1, words, np.bincount(gram, minlength=len(words))
-    own = _word_hashes(row["vocabulary"], row["lang"])
     h = own
     for size in range(2, longest + 1):
         is_frequent, is_recent = frequent.holds(h), recent.holds(h)
@@ -206,17 +229,19 @@ def counted(row: dict, frequent: Frequent, recent: Frequent, words_too: bool, lo
         gram = number
 
 
-def _scan(rows: DataFrame, frequent: Frequent, recent: Frequent, words_too: bool, longest: int):
-    shared = rows.sparkSession.sparkContext.broadcast((frequent, recent))
+def _scan(rows: DataFrame, shared: Broadcast, words_too: bool, longest: int) -> DataFrame:
+    """Counts of the active phrases of some rows; ``shared`` are both bit tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                for size, phrases, n in counted(row, *shared.value, words_too, longest):
+                lang, own, ids = (batch.column(c)[k].as_py() for c in ("lang", "hashes", "ids"))
+                own, ids = np.frombuffer(own, np.uint64), np.frombuffer(ids, np.int32)
+                words = batch.column("vocabulary").slice(k, 1).flatten()
+                for size, phrases, n in counted(words, own, ids, *shared.value, words_too, longest):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["lang"]] * len(n), pa.string()),
+                            pa.repeat(lang, len(n)),
                             pa.array(np.full(len(n), size, np.int32)),
                             phrases,
                             pa.array(n.astype(np.int64)),
@@ -224,7 +249,7 @@ def _scan(rows: DataFrame, frequent: Frequent, recent: Frequent, words_too: bool
                         ["lang", "size", "phrase", "n"],
                     )
 
-    return rows.select("lang", "vocabulary", "ids").mapInArrow(run, FOUND)
+    return rows.select("lang", "vocabulary", "hashes", "ids").mapInArrow(run, FOUND)
 
 
 def phrase_counts(
@@ -244,9 +269,7 @@ def phrase_counts(
     """
     spark = rows.sparkSession
     held = [f"n_{s}" for s in range(count)]
-    columns = ", ".join(f"{c} long" for c in held)
-    state_kind = f"lang string, size int, phrase string, {columns}, reached int"
-    state, path = spark.createDataFrame([], state_kind), None
+    state, path = None, None
     frequent_path = scratch.path("frequent")
     frequent = Frequent(bits)
     news: list[np.ndarray] = []  # the bits that each step has set
@@ -257,16 +280,16 @@ def phrase_counts(
         recent = Frequent(bits)
         for new in news[-count:]:
             recent.words |= new
-        fresh = _scan(
-            rows.where(F.col("shard") == shard), frequent, recent, step < count, longest
-        )
+        shared = spark.sparkContext.broadcast((frequent, recent))
+        fresh = _scan(rows.where(F.col("shard") == shard), shared, step < count, longest)
         nothing = F.lit(None).cast("long")
-        both = state.withColumn(held[shard], nothing).withColumn("n", nothing).unionByName(
-            fresh.select(
-                "lang", "size", "phrase", "n", *(nothing.alias(c) for c in held),
-                F.lit(None).cast("int").alias("reached"),
-            )
-        )
+        both = fresh.select(
+            "lang", "size", "phrase", "n", *(nothing.alias(c) for c in held),
+            F.lit(None).cast("int").alias("reached"),
+        )
+        if state is not None:
+            former = state.withColumn(held[shard], nothing).withColumn("n", nothing)
+            both = former.unionByName(both)
         sums = both.groupBy("lang", "size", "phrase").agg(
             *(F.max(c).alias(c) for c in held if c != held[shard]),
             F.sum("n").alias(held[shard]),
@@ -278,6 +301,7 @@ def phrase_counts(
         newer = scratch.path("state")
         under_way = under_way.select("lang", "size", "phrase", *held, "reached")
         state = scratch._stage_at(under_way, newer)
+        shared.destroy()
         if path is not None:
             scratch.release(path)
         path = newer
@@ -285,7 +309,7 @@ def phrase_counts(
             "lang", "size", "phrase", total.alias("n"), "reached", F.lit(step).alias("step")
         ).write.mode("append").parquet(frequent_path)
         new = np.zeros(bits // 64, np.uint64)
-        known = spark.read.parquet(frequent_path)
+        known = spark.read.schema(KNOWN).parquet(frequent_path)
         added = known.where((F.col("step") == step) & (F.col("reached") == step))
         for batch in _slots(added, bits).toArrow().to_batches():
             slot, mask = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "mask"))
@@ -295,7 +319,7 @@ def phrase_counts(
         news.append(new)
         frequent.words |= new
         step += 1
-    found = spark.read.parquet(frequent_path).groupBy("lang", "size", "phrase")
+    found = spark.read.schema(KNOWN).parquet(frequent_path).groupBy("lang", "size", "phrase")
     return found.agg(F.max("n").alias("n"))
 
 

@@ -78,12 +78,12 @@ def fingerprints(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     ]
     summed = parts.groupBy(*keys).agg(F.count("_h").alias("_n"), *sums)
     zero = F.lit(0).cast("long")
-    mask32, mask16 = F.lit(0xFFFFFFFF), F.lit(0xFFFF)
+    mask32 = F.lit(0xFFFFFFFF)
     identity = [F.coalesce(f"_e{k}", zero).bitwiseAND(mask32) for k in range(IDENTITY)]
     count = F.col("_n").bitwiseAND(mask32)
-    low = [F.coalesce(f"_s{s}", zero).bitwiseAND(mask16) for s in range(PACKED)]
+    low = [F.coalesce(f"_s{s}", zero).bitwiseAND(mask32) for s in range(PACKED)]
     high = [
-        F.shiftrightunsigned(F.coalesce(f"_s{s}", zero), 32).bitwiseAND(mask16)
+        F.shiftrightunsigned(F.coalesce(f"_s{s}", zero), 32).bitwiseAND(mask32)
         for s in range(PACKED)
     ]
     return summed.select(*keys, F.array(*identity, count, *low, *high).alias("lanes")).select(
@@ -92,13 +92,9 @@ def fingerprints(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def as_text(lanes: str) -> Column:
-    """Eight digits for the identity and count lanes, four for the likeness lanes."""
+    """Eight digits for each lane."""
     return F.array_join(
-        F.transform(
-            F.col(lanes),
-            lambda x, k: F.lower(F.lpad(F.hex(x), F.when(k <= IDENTITY, 8).otherwise(4), "0")),
-        ),
-        "",
+        F.transform(F.col(lanes), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""
     )
 
 
@@ -106,18 +102,19 @@ def combine(one: str, other: str, sign: int = 1) -> Column:
     """Lanes of a document with paragraphs inserted (sign 1) or deleted (sign -1)."""
     return F.transform(
         F.arrays_zip(F.col(one).alias("a"), F.col(other).alias("b")),
-        lambda x, k: F.pmod(
-            x["a"] + sign * x["b"], F.when(k <= IDENTITY, 1 << 32).otherwise(1 << 16)
-        ),
+        lambda x: F.pmod(x["a"] + sign * x["b"], F.lit(1 << 32)),
     )
 
 
 def _signed(lanes: str) -> Column:
-    """Twice each likeness lane minus the count, centred modulo 2**16."""
+    """Twice each likeness lane minus the count, centred modulo 2**32.
+
+    It wraps at 2**31 features of one text, which no text has.
+    """
     count = F.col(lanes)[IDENTITY]
     return F.transform(
         F.slice(lanes, IDENTITY + 2, LANES),
-        lambda c: (F.pmod(2 * c - count + (1 << 15), F.lit(1 << 16)) - (1 << 15)).cast("double"),
+        lambda c: (F.pmod(2 * c - count + (1 << 31), F.lit(1 << 32)) - (1 << 31)).cast("double"),
     )
 
 

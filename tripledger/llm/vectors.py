@@ -12,6 +12,7 @@ reaches it. All others are certain not to be among the k best.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tripledger.llm.common import read_table
 
 SCALE = 1024
-#: Scaled components beyond this do not fit the sums of a long.
-LARGEST = 2**28
+#: Scaled components must be smaller, so that their differences fit a long.
+LARGEST = 2**61
 #: Queries that are sent to the executors at once; more take several passes over the table.
 QUERY_BLOCK = 20_000
 QUERY_CHUNK = 256
@@ -35,19 +36,26 @@ Vectors = tuple[np.ndarray, np.ndarray]  # ids, integer components
 def whole_vectors(table: DataFrame) -> DataFrame:
     """``vec_id`` and ``v``, the scaled integer components, of the rows that take part.
 
-    Rows with a null id, a null vector or a component that is null, not finite
-    or beyond the largest scaled value take no part.
+    Rows with a null id, a null vector or a component that is null or not finite
+    take no part. A component of 2**51 or more, which scaled does not fit, is an
+    error.
     """
     x = F.col("embedding")
-    good = F.forall(
-        x,
-        lambda c: c.isNotNull()
-        & ~F.isnan(c.cast("double"))
-        & (F.abs(c.cast("double")) < LARGEST / SCALE),
-    )
+
+    def finite(c: Column) -> Column:
+        return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+    good = F.forall(x, lambda c: finite(c.cast("double")))
+    too_large = F.raise_error("a component is too large for exact scores").cast("long")
+
+    def scaled(c: Column) -> Column:
+        # Later filters may be evaluated before the one above: what is dropped is no error.
+        small = F.abs(c) < LARGEST / SCALE
+        return F.when(small, F.floor(c * SCALE)).when(finite(c), too_large)
+
     return table.where(F.col("vec_id").isNotNull() & x.isNotNull() & good).select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).try_cast("int")).alias("v"),
+        F.transform(x, lambda c: scaled(c.cast("double"))).alias("v"),
     )
 
 
@@ -122,9 +130,21 @@ def _read(queries, rows, at, q, x, near, best) -> None:
     q, x = q[kept], x[kept]
     for start in range(0, len(q), PAIRS):
         a, b = q[start : start + PAIRS], x[start : start + PAIRS]
-        best.add(
-            at + a, np.einsum("ij,ij->i", queries[1][at + a], rows[1][b]), rows[0][b]
-        )
+        best.add(at + a, products(queries[1][at + a], rows[1][b]), rows[0][b])
+
+
+def products(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows; one that does not fit a long is an error.
+
+    Sums that could pass 64 bits are made of Python's integers.
+    """
+    largest = [int(np.abs(side).max(initial=0)) for side in (one, other)]
+    if largest[0] * largest[1] * one.shape[1] < 2**63:
+        return np.einsum("ij,ij->i", one, other)
+    exact = [sum(map(mul, x, y)) for x, y in zip(one.tolist(), other.tolist(), strict=True)]
+    if max(map(abs, exact), default=0) >= 2**63:
+        raise ValueError("a score does not fit a long")
+    return np.array(exact, np.int64)
 
 
 FOUND = "query_id long, vec_id long, score long"

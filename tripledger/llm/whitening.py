@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import read_table
@@ -41,15 +41,17 @@ def whole_vectors(table: DataFrame) -> DataFrame:
     a null ``vec_id`` stays. An entry too large for a long is an error.
     """
     c = F.col("embedding")
-    good = F.forall(
-        c,
-        lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")),
-    )
+
+    def finite(e: Column) -> Column:
+        return e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))
+
+    good = F.forall(c, lambda e: finite(e.cast("double")))
     fits = F.lit(float(SAFE) / SCALE)
     too_large = F.raise_error("an embedding's entry does not fit a long").cast("long")
 
-    def whole(e):
-        return F.when(F.abs(e) < fits, F.floor(e * SCALE) + SHIFT).otherwise(too_large)
+    def whole(e: Column) -> Column:
+        # Later filters may be evaluated before the one above: what is dropped is no error.
+        return F.when(F.abs(e) < fits, F.floor(e * SCALE) + SHIFT).when(finite(e), too_large)
 
     return table.where(c.isNotNull() & good).select(
         F.col("vec_id").cast("long").alias("vec_id"),
