@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tripledger.models.additive import AdditiveModel, Design
 from tripledger.models.hybrid import HybridModel
 from tripledger.models.lagged import LaggedModel
+from tripledger.models.recurrent import RecurrentModel
 from tripledger.models.sequence import SequenceModel
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import STEP_FIELDS
@@ -24,7 +25,10 @@ _MANIFEST = (
     "tail array<struct<y:double,duration:double,home_idx:int,dest_idx:int>>"
 )
 # What the manifest calls the sequence part.
-_KINDS = {LaggedModel: "lagged", SequenceModel: "pipeline", type(None): "none"}
+_KINDS = {
+    LaggedModel: "lagged", RecurrentModel: "recurrent", SequenceModel: "pipeline", type(None): "none",
+}
+_TABLES = (LaggedModel, RecurrentModel)
 
 
 def save(model: HybridModel, path: str) -> HybridModel:
@@ -36,7 +40,7 @@ def save(model: HybridModel, path: str) -> HybridModel:
     spark = model.train.sparkSession
     run = uuid.uuid4().hex
     parts = f"{path}/runs/{run}"
-    if isinstance(model.sequence, LaggedModel):
+    if isinstance(model.sequence, _TABLES):
         model.sequence.table(spark).coalesce(1).write.parquet(f"{parts}/sequence")
     elif model.sequence is not None:
         model.sequence.pipeline.write().save(f"{parts}/sequence")
@@ -76,9 +80,10 @@ def load(spark: SparkSession, path: str) -> HybridModel:
     labels = tuple(newest["labels"])
     scaler = MinMax.from_table(spark.read.parquet(f"{parts}/scaler"))
     sequence = None
-    if newest["sequence"] == _KINDS[LaggedModel]:
-        sequence = LaggedModel.from_table(spark.read.parquet(f"{parts}/sequence"), labels, scaler)
-    elif newest["sequence"] == _KINDS[SequenceModel]:
+    for kind in _TABLES:
+        if newest["sequence"] == _KINDS[kind]:
+            sequence = kind.from_table(spark.read.parquet(f"{parts}/sequence"), labels, scaler)
+    if newest["sequence"] == _KINDS[SequenceModel]:
         sequence = SequenceModel(PipelineModel.load(f"{parts}/sequence"), labels, scaler)
     return HybridModel(
         additive=AdditiveModel(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tripledger.functions.trip import request_day
 from tripledger.models.additive import AdditiveModel, Settings, fit_additive
 from tripledger.models.lagged import PENALTY, LaggedModel, fit_lagged
+from tripledger.models.recurrent import RecurrentModel, Reservoir, fit_recurrent
 from tripledger.models.sequence import (
     SequenceModel,
     fit_sequence,
@@ -40,7 +41,7 @@ class HybridModel:
     """Everything a forecast needs; ``train`` is the snapshot it was fitted on."""
 
     additive: AdditiveModel
-    sequence: SequenceModel | LaggedModel | None
+    sequence: SequenceModel | LaggedModel | RecurrentModel | None
     scaler: MinMax
     labels: tuple[str, ...]
     shares: dict[str, float | None]
@@ -62,7 +63,7 @@ def fit_hybrid(
     train: DataFrame,
     rows: int,
     labels: Sequence[str],
-    regressor: Estimator | None = None,
+    regressor: Estimator | Reservoir | None = None,
     settings: Settings = Settings(),
     with_sequence: bool = True,
     recent: DataFrame | None = None,
@@ -71,8 +72,9 @@ def fit_hybrid(
 ) -> HybridModel:
     """Fit both forecasters on ranked, encoded training trips with a known total.
 
-    ``regressor`` learns from written windows; without one the linear learner
-    with this ``penalty`` is fitted, which needs none. ``length`` is the number
+    ``regressor`` learns from written windows; a ``Reservoir`` makes it the
+    recurrent learner and without one the linear learner with this ``penalty`` is
+    fitted, both of which need none. ``length`` is the number
     of steps of a window. ``recent``: the last of these trips, where the caller
     can read them alone.
 
@@ -83,6 +85,8 @@ def fit_hybrid(
     sequence = None
     if with_sequence and regressor is None:
         sequence = fit_lagged(train, rows, labels, scaler, length, penalty)
+    elif with_sequence and isinstance(regressor, Reservoir):
+        sequence = fit_recurrent(train, rows, labels, scaler, regressor, length)
     elif with_sequence:
         sequence = fit_sequence(train, rows, labels, scaler, regressor, length)
     return HybridModel(

@@ -27,6 +27,7 @@ from tripledger.models.hybrid import (
     with_request_window,
 )
 from tripledger.models.lagged import fit_lagged
+from tripledger.models.recurrent import fit_recurrent
 from tripledger.models.sequence import scaled_step
 from tripledger.operators import allowance, encode, metrics, ranks, rollup, windows
 from tripledger.operators.scaling import MinMax
@@ -488,6 +489,15 @@ def sequence_predict(t: Tables) -> DataFrame:
     return model.transform(found.filter(F.col("rn") >= first)).select("report_key", "y", "sequence")
 
 
+def recurrent_predict(t: Tables) -> DataFrame:
+    """Hold-out predictions of the recurrent learner."""
+    model = fit_recurrent(t.train, t.train_rows, t.labels, t.scaler)
+    first, length = t.train_rows, windows.SEQUENCE_LENGTH
+    context = t.ranked.since(first - length)
+    found = windows.with_history(context, scaled_step(t.scaler), t.ranked.count - first + length)
+    return model.transform(found.filter(F.col("rn") >= first)).select("report_key", "y", "sequence")
+
+
 def hybrid_fit(t: Tables) -> DataFrame:
     done = t.training()
     return predict_hold_out(done.model, done.ranked).select(
@@ -700,6 +710,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "bundle_closed_form": bundle_closed_form,
     "sequence_fit": sequence_fit,
     "sequence_predict": sequence_predict,
+    "recurrent_predict": recurrent_predict,
     "hybrid_fit": hybrid_fit,
     "evaluate_hybrid": evaluate_hybrid,
     "forecast": forecast_query,

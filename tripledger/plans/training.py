@@ -13,6 +13,7 @@ from tripledger.models.additive import Settings
 from tripledger.models.bundle import save
 from tripledger.models.hybrid import HybridModel, evaluate, fit_hybrid
 from tripledger.models.lagged import PENALTY
+from tripledger.models.recurrent import Reservoir
 from tripledger.operators.encode import domain_of
 from tripledger.operators.ranks import Ranked, train_size
 from tripledger.operators.windows import SEQUENCE_LENGTH
@@ -33,7 +34,7 @@ def run_training(
     bundle_path: str | None = None,
     order_by: Sequence[str] = ("report_key",),
     test_fraction: float = 0.2,
-    regressor: Estimator | None = None,
+    regressor: Estimator | Reservoir | None = None,
     settings: Settings = Settings(),
     with_sequence: bool = True,
     length: int = SEQUENCE_LENGTH,
