@@ -79,18 +79,14 @@ def smallest_gap(days: Column) -> Column:
     )
 
 
-def _by_day(train: DataFrame, *more: Column) -> DataFrame:
-    """Trips per day; everything else of a calendar comes from this small table."""
-    return train.groupBy(F.unix_date("ds").alias("day")).agg(F.count(F.lit(1)).alias("n"), *more)
-
-
 def fit_calendar(train: DataFrame, settings: Settings = Settings()) -> Calendar:
     """Day range, changepoints and seasons of the training trips.
 
     Trips are counted per day first; everything else is derived from that
     table, which has at most one row per day of the calendar.
     """
-    return _calendar(_by_day(train), settings)[0]
+    days = train.groupBy(F.unix_date("ds").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return _calendar(days, settings)[0]
 
 
 def _calendar(days: DataFrame, settings: Settings, *more: Column) -> tuple[Calendar, dict]:
@@ -106,7 +102,7 @@ def _calendar(days: DataFrame, settings: Settings, *more: Column) -> tuple[Calen
         F.sum("n").alias("n"),
         F.min("day").alias("first"),
         F.max("day").alias("last"),
-        smallest_gap(F.sort_array(F.collect_list("day"))).alias("gap"),
+        smallest_gap(F.sort_array(F.collect_set("day"))).alias("gap"),
         points(max(settings.changepoints, 1)),
         *more,
     ).first()
@@ -194,37 +190,8 @@ class Design:
         return indexer(self.labels).transform(df) if self.labels else df
 
     def gram(self, rows: DataFrame) -> np.ndarray:
-        """Products of all design columns, a leading one and the target, summed over the rows.
-
-        Tasks write the design matrix out a few thousand rows at a time.
-        """
-        codes = len(self.labels)
-        numbers = len(self.numeric())
-        values = ", ".join(value for _, value, _ in self.numeric())
-        size = 2 + numbers + 2 * codes
-        inputs = self.with_inputs(rows).select(
-            F.expr(f"array({values})").alias("numbers"),
-            (F.col("y") / F.lit(self.y_scale)).alias("target"),
-            *(F.col(f"{side}_pos").cast("int") for side in ("home", "dest") if codes),
-        )
-
-        def add(total: np.ndarray, batches: Iterable[pa.RecordBatch]) -> None:
-            for batch in batches:
-                for at in range(0, batch.num_rows, DESIGN_ROWS):
-                    part = batch.slice(at, DESIGN_ROWS)
-                    n = part.num_rows
-                    design = np.zeros((n, size))
-                    design[:, 0] = 1.0
-                    flat = part.column(0).flatten().to_numpy(zero_copy_only=False)
-                    design[:, 1 : 1 + numbers] = flat.reshape(n, numbers)
-                    for k in range(2 if codes else 0):
-                        position = part.column(2 + k).to_numpy(zero_copy_only=False)
-                        known = np.flatnonzero(position < codes)
-                        design[known, 1 + numbers + k * codes + position[known]] = 1.0
-                    design[:, -1] = part.column(1).to_numpy(zero_copy_only=False)
-                    total += design.T @ design
-
-        return summed_matrix(inputs, (size, size), add)
+        """Products of all design columns, a leading one and the target, summed over the rows."""
+        return part_of(segment_grams(rows, [self], F.lit(0), 1)[0], [self], 0)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -240,6 +207,59 @@ class Design:
         return cls(calendar=Calendar(**calendar), settings=Settings(**settings), **raw)
 
 
+def segment_grams(
+    rows: DataFrame, designs: Sequence[Design], segment: Column, segments: int
+) -> np.ndarray:
+    """Gram matrices of several designs of one domain, side by side, for each segment of the rows.
+
+    The columns are a one, the numbers of each design, the shared codes and the
+    target in EUR. Tasks write the design matrix out a few thousand rows at a
+    time; rows are read once however many designs and segments there are.
+    """
+    codes = len(designs[0].labels)
+    values = [value for design in designs for _, value, _ in design.numeric()]
+    numbers = len(values)
+    size = 2 + numbers + 2 * codes
+    inputs = designs[0].with_inputs(rows).select(
+        segment.cast("int").alias("segment"),
+        F.expr(f"array({', '.join(values)})").alias("numbers"),
+        F.col("y").cast("double").alias("target"),
+        *(F.col(f"{side}_pos").cast("int") for side in ("home", "dest") if codes),
+    )
+
+    def add(total: np.ndarray, batches: Iterable[pa.RecordBatch]) -> None:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DESIGN_ROWS):
+                part = batch.slice(at, DESIGN_ROWS)
+                n = part.num_rows
+                design = np.zeros((n, size))
+                design[:, 0] = 1.0
+                flat = part.column("numbers").flatten().to_numpy(zero_copy_only=False)
+                design[:, 1 : 1 + numbers] = flat.reshape(n, numbers)
+                for k, side in enumerate(("home", "dest") if codes else ()):
+                    position = part.column(f"{side}_pos").to_numpy(zero_copy_only=False)
+                    known = np.flatnonzero(position < codes)
+                    design[known, 1 + numbers + k * codes + position[known]] = 1.0
+                design[:, -1] = part.column("target").to_numpy(zero_copy_only=False)
+                where = part.column("segment").to_numpy(zero_copy_only=False)
+                for s in np.unique(where).tolist():
+                    some = design[where == s]
+                    total[s * size : (s + 1) * size] += some.T @ some
+
+    return summed_matrix(inputs, (segments * size, size), add).reshape(segments, size, size)
+
+
+def part_of(gram: np.ndarray, designs: Sequence[Design], number: int) -> np.ndarray:
+    """One design's own matrix, its target scaled as the design has it."""
+    counts = [len(design.numeric()) for design in designs]
+    first = 1 + sum(counts[:number])
+    own = [0, *range(first, first + counts[number]), *range(1 + sum(counts), len(gram))]
+    out = gram[np.ix_(own, own)].copy()
+    out[-1, :] /= designs[number].y_scale
+    out[:, -1] /= designs[number].y_scale
+    return out
+
+
 @dataclass(frozen=True)
 class Normal:
     """Centred normal equations of a design: what every fit of it needs."""
@@ -365,23 +385,19 @@ class AdditiveModel:
         ]
 
 
-def fit_additive(
-    train: DataFrame, labels: Sequence[str], settings: Settings = Settings()
-) -> AdditiveModel:
-    """Fit on trips with a known total.
-
-    The noise is the residual variance of a nearly unpenalized first fit. Two
-    passes: one over days and totals for the design, one for its Gram matrix,
-    from which both fits follow on the driver.
-    """
-    rows = train.filter(F.col("y").isNotNull())
-    days = _by_day(
-        rows,
+def day_facts(rows: DataFrame, *keys: Column) -> DataFrame:
+    """What a design needs to know of the trips, for each day and key."""
+    return rows.groupBy(*keys, F.unix_date("ds").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"),
         F.max(F.abs("y")).alias("largest"),
         F.sum(F.col("duration").cast("double")).alias("d"),
         F.sum(F.col("duration").cast("double") ** 2).alias("dd"),
         F.count("duration").alias("known"),
     )
+
+
+def design_of(days: DataFrame, labels: Sequence[str], settings: Settings) -> Design:
+    """The design of the trips that ``day_facts`` describes; a day may have several rows."""
     calendar, facts = _calendar(
         days,
         settings,
@@ -398,19 +414,38 @@ def fit_additive(
     if spread <= 1e-9 * max(abs(mean), 1.0):
         mean, spread = 0.0, 1.0
     design = Design(calendar, mean, spread, y_scale, tuple(labels), settings)
-    priors = np.array(design.priors())
-    if len(priors) > SOLVER_COLUMNS:
+    if len(design.priors()) > SOLVER_COLUMNS:
         raise ValueError(
-            f"{len(priors)} design columns; the normal equations take {SOLVER_COLUMNS} at most"
+            f"{len(design.priors())} design columns; the normal equations take {SOLVER_COLUMNS} at most"
         )
-    normal = Normal.of(design.gram(rows))
+    return design
+
+
+def solved(design: Design, gram: np.ndarray) -> AdditiveModel:
+    """Both fits of a design from its Gram matrix: the noise, then the model."""
+    priors = np.array(design.priors())
+    normal = Normal.of(gram)
     beta = normal.ridge(SLIGHT / priors**2)
     noise = normal.mean_squared_error(beta)
     if noise > 0 and normal.square > 0:
         sparse = np.array([n.startswith("hinge_") for n in design.column_names()])
-        sparse &= settings.sparse_trend
+        sparse &= design.settings.sparse_trend
         if sparse.any():
             beta = normal.fit(noise / priors**2, sparse, noise / priors)
         else:
             beta = normal.ridge(noise / priors**2)
     return AdditiveModel(design, normal.intercept(beta), tuple(beta.tolist()))
+
+
+def fit_additive(
+    train: DataFrame, labels: Sequence[str], settings: Settings = Settings()
+) -> AdditiveModel:
+    """Fit on trips with a known total.
+
+    The noise is the residual variance of a nearly unpenalized first fit. Two
+    passes: one over days and totals for the design, one for its Gram matrix,
+    from which both fits follow on the driver.
+    """
+    rows = train.filter(F.col("y").isNotNull())
+    design = design_of(day_facts(rows), labels, settings)
+    return solved(design, design.gram(rows))

@@ -124,6 +124,17 @@ STEPS: dict[str, str] = {
                      var_pop(ds - DATE '1970-01-01') AS tt, var_pop(duration) AS dd,
                      covar_pop(ds - DATE '1970-01-01', duration) AS td
               FROM train)""",
+    "cuts": """
+        SELECT origin, lead(origin) OVER (ORDER BY origin) AS following
+        FROM (SELECT (SELECT COUNT(*) FROM train) * k // 3 AS origin FROM range(1, 4) r(k))""",
+    "origin_fits": """
+        SELECT *, (yt * dd - yd * td) / (tt * dd - td * td) AS bt,
+               (yd * tt - yt * td) / (tt * dd - td * td) AS bd
+        FROM (SELECT origin, following, AVG(y) AS y0, AVG(ds - DATE '1970-01-01') AS t0,
+                     AVG(duration) AS d0, covar_pop(y, ds - DATE '1970-01-01') AS yt,
+                     covar_pop(y, duration) AS yd, var_pop(ds - DATE '1970-01-01') AS tt,
+                     var_pop(duration) AS dd, covar_pop(ds - DATE '1970-01-01', duration) AS td
+              FROM cuts JOIN split ON rn < origin GROUP BY origin, following)""",
     "lagged": """
         SELECT *, lag(y) OVER (ORDER BY rn) AS py, lag(duration) OVER (ORDER BY rn) AS pd
         FROM split""",
@@ -311,6 +322,13 @@ FINAL: dict[str, str] = {
         SELECT ROUND(SQRT(AVG((y - p) * (y - p))), 2) AS rmse,
                ROUND(AVG((y - p) * (y - p)) / 1000, 1) AS mse_thousands
         FROM (SELECT y, (additive + sequence) / 2 AS p FROM one_step)""",
+    "origins_closed_form": """
+        SELECT f.origin, COUNT(*) AS trips, ROUND(SQRT(AVG((y - p) * (y - p))), 2) AS rmse,
+               ROUND(AVG(y - p), 2) AS bias
+        FROM (SELECT origin, y, y0 + (ds - DATE '1970-01-01' - t0) * bt + (duration - d0) * bd AS p
+              FROM origin_fits f JOIN split s
+                ON s.rn >= f.origin AND s.rn < COALESCE(f.following, s.n)) f
+        GROUP BY f.origin""",
     "forecast_closed_form": _closed_forecast("sequence", "(additive + sequence) / 2"),
     "fallback_closed_form": _closed_forecast("CAST(0 AS DOUBLE)", "additive"),
     "stream_closed_form": _closed_forecast("sequence", "(additive + sequence) / 2"),

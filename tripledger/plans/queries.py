@@ -27,6 +27,7 @@ from tripledger.models.hybrid import (
     with_request_window,
 )
 from tripledger.models.lagged import fit_lagged
+from tripledger.models.origins import evaluate_origins, even_origins
 from tripledger.models.recurrent import fit_recurrent
 from tripledger.models.sequence import scaled_step
 from tripledger.operators import allowance, encode, metrics, ranks, rollup, windows
@@ -595,6 +596,23 @@ def bundle_closed_form(t: Tables) -> DataFrame:
     return _whole_euros(_flat(forecast(load(t.spark, path), t.requests)), "request_id")
 
 
+def origins_closed_form(t: Tables) -> DataFrame:
+    """Errors of the plain design from three origins."""
+    origins = even_origins(t.ranked.count, 3)
+    found = evaluate_origins(t.ranked, origins, [], PLAIN)
+    return found.select(
+        F.col("origin").cast("long").alias("origin"),
+        "trips",
+        F.round("rmse", 2).alias("rmse"),
+        F.round("bias", 2).alias("bias"),
+    )
+
+
+def evaluate_from_origins(t: Tables) -> DataFrame:
+    """Errors of the whole design from five origins."""
+    return evaluate_origins(t.ranked, even_origins(t.ranked.count, 5), t.labels)
+
+
 def _saved_and_loaded(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "bundle")
     fitted = t.training().model
@@ -708,6 +726,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "fallback_closed_form": fallback_closed_form,
     "stream_closed_form": stream_closed_form,
     "bundle_closed_form": bundle_closed_form,
+    "origins_closed_form": origins_closed_form,
+    "evaluate_from_origins": evaluate_from_origins,
     "sequence_fit": sequence_fit,
     "sequence_predict": sequence_predict,
     "recurrent_predict": recurrent_predict,
