@@ -33,10 +33,12 @@ def join_rates(trips: DataFrame, rates: DataFrame) -> DataFrame:
 
     The check counts the rates, so their size is known: a table within
     ``BROADCAST_RATES`` is broadcast and the trips, whose home countries are few
-    and hot, are not shuffled. Beyond it measured sizes decide at run time.
+    and hot, are not shuffled. Beyond it, or in a session that switches
+    broadcasts off, measured sizes decide at run time.
     """
+    threshold = trips.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
     dim = rates.select(F.col("country").alias("rate_country"), "daily_allowance")
-    if check_rates(rates) <= BROADCAST_RATES:
+    if check_rates(rates) <= BROADCAST_RATES and not threshold.startswith("-"):
         dim = F.broadcast(dim)
     return trips.join(
         dim,
