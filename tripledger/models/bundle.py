@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.models.additive import AdditiveModel, Design
@@ -17,6 +17,7 @@ from tripledger.models.recurrent import RecurrentModel
 from tripledger.models.sequence import SequenceModel
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import STEP_FIELDS
+from tripledger.session import delete_path
 
 _MANIFEST = (
     "run string, saved_at timestamp, train_rows long, sequence string, length int, "
@@ -65,17 +66,48 @@ def save(model: HybridModel, path: str) -> HybridModel:
     return load(spark, path)
 
 
-def load(spark: SparkSession, path: str) -> HybridModel:
-    """The newest bundle. Without one it is a ``FileNotFoundError``; damage raises as it is."""
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest rows, newest first."""
     try:
         manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         raise FileNotFoundError(f"no bundle in {path}") from problem
-    newest = manifest.orderBy(F.desc("saved_at")).first()
+    return manifest.orderBy(F.desc("saved_at"), F.desc("run"))
+
+
+def newest_run(spark: SparkSession, path: str) -> str:
+    """Name of the newest bundle; without one it is a ``FileNotFoundError``."""
+    newest = _manifest(spark, path).select("run", "saved_at").first()
     if newest is None:
         raise FileNotFoundError(f"no bundle in {path}")
+    return newest["run"]
+
+
+def retire(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Delete the parts of all but the newest ``keep`` bundles; returns their names.
+
+    Loaded models go on forecasting, their training snapshot can no longer be
+    read. Manifest rows stay, so a retired run cannot be loaded by name.
+    """
+    if keep < 1:
+        raise ValueError("keep at least the newest bundle")
+    runs = [r["run"] for r in _manifest(spark, path).select("run", "saved_at").collect()]
+    for run in runs[keep:]:
+        delete_path(spark, f"{path}/runs/{run}")
+    return runs[keep:]
+
+
+def load(spark: SparkSession, path: str, run: str | None = None) -> HybridModel:
+    """The newest bundle, or the one named ``run``.
+
+    Without one it is a ``FileNotFoundError``; damage raises as it is.
+    """
+    manifest = _manifest(spark, path)
+    newest = (manifest if run is None else manifest.where(F.col("run") == run)).first()
+    if newest is None:
+        raise FileNotFoundError(f"no bundle in {path}" + (f" named {run}" if run else ""))
     parts = f"{path}/runs/{newest['run']}"
     labels = tuple(newest["labels"])
     scaler = MinMax.from_table(spark.read.parquet(f"{parts}/scaler"))

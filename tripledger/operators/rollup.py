@@ -7,6 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripledger.functions.trip import (
     EXPENSE_CATEGORIES,
@@ -29,15 +30,24 @@ def keyed_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("report_key").isNotNull())
 
 
-def category_sum(category: str) -> Column:
-    """Sum of one category in the amount's own type; 0 where there is none.
+def _category_total(category: str) -> Column:
+    """Sum of one category in the amount's own type; null where there is none.
 
     An amount that is not a number counts as missing, whatever its source.
     """
     hit = (expense_category(F.col("expense_type")) == category) & ~F.isnan(
         F.col("amount_eur").cast("double")
     )
-    return F.coalesce(F.sum(F.when(hit, F.col("amount_eur"))).cast("double"), F.lit(0.0))
+    return F.sum(F.when(hit, F.col("amount_eur")))
+
+
+def _as_amount(total: Column) -> Column:
+    return F.coalesce(total.cast("double"), F.lit(0.0))
+
+
+def category_sum(category: str) -> Column:
+    """Sum of one category, added up in the amount's own type; 0 where there is none."""
+    return _as_amount(_category_total(category))
 
 
 def _is_complete() -> Column:
@@ -103,6 +113,37 @@ def roll_up(lines: DataFrame) -> DataFrame:
     )
 
 
+def line_states(lines: DataFrame) -> DataFrame:
+    """One state for each trip of these lines; states of one trip can be merged.
+
+    A state holds the first known facts with their row order and the sums of the
+    categories, null where there is no amount. Decimal sums get all 38 digits,
+    so merging keeps both type and value.
+    """
+    kind = lines.schema["amount_eur"].dataType
+    wide = T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else T.DoubleType()
+    sums = [_category_total(c).cast(wide).alias(CATEGORY_COLUMNS[c]) for c in EXPENSE_CATEGORIES]
+    return keyed_lines(lines).groupBy("report_key").agg(*first_known_states(), *sums)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state for each trip from any number of them, in any order."""
+    kept = [c for c in states.columns if c.startswith("first_")]
+    sums = [
+        F.sum(c).cast(states.schema[c].dataType).alias(c) for c in CATEGORY_COLUMNS.values()
+    ]
+    return states.groupBy("report_key").agg(*[F.min(c).alias(c) for c in kept], *sums)
+
+
+def rolled_states(states: DataFrame) -> DataFrame:
+    """What :func:`roll_up` gives, from one state for each trip."""
+    return states.select(
+        "report_key",
+        *[first_known(c) for c in TRIP_META],
+        *[_as_amount(F.col(c)).alias(c) for c in CATEGORY_COLUMNS.values()],
+    )
+
+
 def with_dates(rolled: DataFrame, quarantine: bool = False) -> DataFrame:
     """Parse the first known dates and derive the duration."""
     return (

@@ -335,6 +335,14 @@ FINAL: dict[str, str] = {
     "bundle_closed_form": _closed_forecast("sequence", "(additive + sequence) / 2"),
     "bundle_equals_fit": "SELECT request_id, TRUE AS same FROM requests",
     "stream_equals_batch": "SELECT request_id, TRUE AS same FROM requests",
+    "stream_new_model": f"""
+        SELECT *, CAST(1 AS INTEGER) AS model FROM (
+          {_closed_forecast("sequence", "(additive + sequence) / 2")}) WHERE request_id % 2 = 0
+        UNION ALL BY NAME
+        SELECT *, CAST(2 AS INTEGER) AS model FROM (
+          {_closed_forecast("CAST(0 AS DOUBLE)", "additive")}) WHERE request_id % 2 = 1""",
+    "rollup_from_batches": "SELECT * FROM rolled",
+    "trips_from_batches": "SELECT * FROM trips",
     "history_tail": "SELECT rn, report_key, y, duration FROM train ORDER BY rn DESC LIMIT 60",
     "category_shares": "SELECT "
     + ", ".join(

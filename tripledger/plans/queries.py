@@ -15,7 +15,7 @@ from tripledger.functions.trip import (
     trip_days,
 )
 from tripledger.models import additive as additive_model
-from tripledger.models.bundle import load, load_or_train, save
+from tripledger.models.bundle import load, load_or_train, newest_run, save
 from tripledger.models.hybrid import (
     HybridModel,
     evaluate,
@@ -33,11 +33,12 @@ from tripledger.models.sequence import scaled_step
 from tripledger.operators import allowance, encode, metrics, ranks, rollup, windows
 from tripledger.operators.scaling import MinMax
 from tripledger.plans.training import Training, run_training
-from tripledger.plans.trips import build_trips, rank_trips
+from tripledger.plans.trips import build_trips, price_trips, rank_trips
 from tripledger.session import apply_runtime_defaults, scratch_path, stage
 from tripledger.sources import adapter, files
 from tripledger.sources.countries import COUNTRY_CODES, builtin_rates
-from tripledger.streaming.scoring import score_stream
+from tripledger.sources.trip_store import TripStore
+from tripledger.streaming.scoring import score_stream, score_stream_with_newest
 
 
 class Tables:
@@ -510,10 +511,11 @@ def evaluate_hybrid(t: Tables) -> DataFrame:
     return t.training().metrics
 
 
-def _flat(forecasts: DataFrame) -> DataFrame:
+def _flat(forecasts: DataFrame, *others: Column) -> DataFrame:
     """The breakdown as columns, which every client can hold."""
     return forecasts.select(
         "request_id",
+        *others,
         "total",
         "additive",
         "sequence",
@@ -671,6 +673,51 @@ def stream_equals_batch(t: Tables) -> DataFrame:
     )
 
 
+def _store_of_batches(t: Tables) -> TripStore:
+    """All lines in seven batches, dealt out by hash and so late or early alike.
+
+    Two batches arrive twice, and levels are merged on the way.
+    """
+    lines = stage(t.lines, "lines")
+    dealt = F.pmod(F.xxhash64("report_key", "row_ord"), F.lit(7))
+    store = TripStore(t.spark, scratch_path(t.spark, "trips"), fan=3)
+    for number in (4, 1, 6, 4, 0, 2, 5, 1, 3):
+        store.append(lines.filter(dealt == number), f"batch {number}")
+    return store
+
+
+def trips_from_batches(t: Tables) -> DataFrame:
+    return price_trips(_store_of_batches(t).rolled(), t.rates)
+
+
+def rollup_from_batches(t: Tables) -> DataFrame:
+    return _store_of_batches(t).rolled()
+
+
+def stream_new_model(t: Tables) -> DataFrame:
+    """Customers arrive in two parts; between them a new model is saved and the stream restarts.
+
+    Even ones are scored by the first bundle, which has both parts, odd ones by
+    the second, which is additive alone. ``model`` is the bundle's number.
+    """
+    base = scratch_path(t.spark, "renewed")
+    customers = t.table("customer")
+    odd = F.col("c_custkey") % 2 == 1
+    runs = []
+    for part, with_sequence in ((~odd, True), (odd, False)):
+        save(_plain_hybrid(t, with_sequence), f"{base}/bundle")
+        runs.append(newest_run(t.spark, f"{base}/bundle"))
+        customers.filter(part).write.mode("append").parquet(f"{base}/customers")
+        arriving = t.spark.readStream.schema(customers.schema).parquet(f"{base}/customers")
+        score_stream_with_newest(
+            t.spark, f"{base}/bundle", adapter.requests(t.spark, t.sf_dir, arriving),
+            f"{base}/forecasts", f"{base}/progress", available_now=True,
+        ).awaitTermination()
+    found = t.spark.read.parquet(f"{base}/forecasts")
+    number = F.when(F.col("model_run") == runs[0], 1).when(F.col("model_run") == runs[1], 2)
+    return _whole_euros(_flat(found, number.alias("model")), "request_id", "model")
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "trip_totals": lambda t: t.trips,
     "scan_expense_lines": scan_expense_lines,
@@ -739,6 +786,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "bundle_equals_fit": bundle_equals_fit,
     "stream_forecast": stream_forecast,
     "stream_equals_batch": stream_equals_batch,
+    "stream_new_model": stream_new_model,
+    "rollup_from_batches": rollup_from_batches,
+    "trips_from_batches": trips_from_batches,
 }
 
 

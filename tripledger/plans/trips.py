@@ -24,7 +24,14 @@ def build_trips(
     both the trips and the median need it; without ``staged`` nothing is written
     and the median takes its own pass over the lines.
     """
-    dated = with_dates(roll_up(lines), quarantine)
+    return price_trips(roll_up(lines), rates, quarantine, staged)
+
+
+def price_trips(
+    rolled: DataFrame, rates: DataFrame, quarantine: bool = False, staged: bool = True
+) -> DataFrame:
+    """Rolled-up trips, from lines or from a trip store, with allowance and total."""
+    dated = with_dates(rolled, quarantine)
     if staged:
         dated = stage(dated, "rollup")
     return with_totals(fill_rates(join_rates(dated, rates)))

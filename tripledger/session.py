@@ -75,6 +75,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever it lies; a missing one is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 class Scratch:
     """Staged tables of one job, deleted together (or one by one) when it is done."""
 
@@ -95,6 +106,5 @@ class Scratch:
 
     def release(self, path: str | None = None) -> None:
         """Delete one staged path, or all of the job; later reads of them fail."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.root)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(self.spark, path or self.root)
 
