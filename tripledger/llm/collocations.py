@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ SCORE = (
 )
 SHARD_ROWS = "shard int, lang string, words long, vocabulary array<string>, hashes binary, ids binary"
 FOUND = "lang string, size int, phrase string, n long"
-KNOWN = "lang string, size int, phrase string, n long, reached int, step int"
+KNOWN = "lang string, size int, phrase string, n long, step int"
 SLOTS = "slot int, mask long"
 
 
@@ -263,9 +263,11 @@ def phrase_counts(
     """``lang``, ``size``, ``phrase`` and ``n`` of all phrases that occur ``least`` times.
 
     ``rows`` is what ``shards`` returns, written and read again. The state of
-    phrases under way (their counts by shard, and the step in which their sum
-    reached the threshold) is written after each step; a phrase that no scan of
-    the last cycle has counted leaves it.
+    phrases under way (their counts by shard) is written after each step. Before
+    it is shuffled again, phrases leave it that have a count from every shard, or
+    none from the last cycle, and all words after the first cycle. Should the bit
+    table bring one back, its sum can only be too small, and the largest sum of a
+    phrase counts; it is new in the first step that found it frequent.
     """
     spark = rows.sparkSession
     held = [f"n_{s}" for s in range(count)]
@@ -277,40 +279,39 @@ def phrase_counts(
     step = 0
     while step <= last + count:
         shard = step % count
+        others = [c for c in held if c != held[shard]]
         recent = Frequent(bits)
         for new in news[-count:]:
             recent.words |= new
         shared = spark.sparkContext.broadcast((frequent, recent))
         fresh = _scan(rows.where(F.col("shard") == shard), shared, step < count, longest)
         nothing = F.lit(None).cast("long")
-        both = fresh.select(
-            "lang", "size", "phrase", "n", *(nothing.alias(c) for c in held),
-            F.lit(None).cast("int").alias("reached"),
-        )
+        both = fresh.select("lang", "size", "phrase", "n", *(nothing.alias(c) for c in held))
         if state is not None:
-            former = state.withColumn(held[shard], nothing).withColumn("n", nothing)
+            some = reduce(or_, (F.col(c).isNotNull() for c in others), F.lit(False))
+            lacks = reduce(or_, (F.col(c).isNull() for c in held))
+            former = state.where(some & lacks)
+            if step >= count:
+                former = former.where(F.col("size") > 1)
+            former = former.withColumn(held[shard], nothing).withColumn("n", nothing)
             both = former.unionByName(both)
         sums = both.groupBy("lang", "size", "phrase").agg(
-            *(F.max(c).alias(c) for c in held if c != held[shard]),
-            F.sum("n").alias(held[shard]),
-            F.min("reached").alias("reached"),
+            *(F.max(c).alias(c) for c in others), F.sum("n").alias(held[shard])
         )
         total = reduce(add, [F.coalesce(F.col(c), F.lit(0)) for c in held])
-        reached = F.coalesce("reached", F.when(total >= least, F.lit(step)))
-        under_way = sums.where(F.coalesce(*held).isNotNull()).withColumn("reached", reached)
         newer = scratch.path("state")
-        under_way = under_way.select("lang", "size", "phrase", *held, "reached")
-        state = scratch._stage_at(under_way, newer)
+        state = scratch._stage_at(sums.select("lang", "size", "phrase", *held), newer)
         shared.destroy()
         if path is not None:
             scratch.release(path)
         path = newer
         state.where(total >= least).select(
-            "lang", "size", "phrase", total.alias("n"), "reached", F.lit(step).alias("step")
+            "lang", "size", "phrase", total.alias("n"), F.lit(step).alias("step")
         ).write.mode("append").parquet(frequent_path)
         new = np.zeros(bits // 64, np.uint64)
         known = spark.read.schema(KNOWN).parquet(frequent_path)
-        added = known.where((F.col("step") == step) & (F.col("reached") == step))
+        reached = known.groupBy("lang", "size", "phrase").agg(F.min("step").alias("reached"))
+        added = reached.where(F.col("reached") == step)
         for batch in _slots(added, bits).toArrow().to_batches():
             slot, mask = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "mask"))
             new[slot] = mask.view(np.uint64)
