@@ -1,5 +1,7 @@
 import math
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
@@ -10,6 +12,7 @@ from tripledger.functions.trip import month_name
 from tripledger.operators import encode, metrics, ranks, windows
 from tripledger.operators.scaling import MinMax
 from tripledger.plans.trips import rank_trips
+from tripledger.session import CLEAN_UP, Scratch
 
 LABELS = ["AA", "BB", "CC"]
 
@@ -183,6 +186,29 @@ def test_breakdown_adds_up_and_unpivots(spark):
     assert series == {"additive": 1000.0, "sequence": 1469.0, "total": 1234.5}
 
 
+def test_written_steps_take_their_shuffles_along(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [Path(folder.getPath()) for folder in folders]
+
+    def shuffles():
+        return {f.name for folder in folders for f in folder.rglob("shuffle_*")}
+
+    def step():
+        return spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+
+    before = shuffles()
+    assert step().count() == 7 and shuffles() - before
+    before = shuffles()
+    scratch = Scratch(spark, "steps")
+    assert scratch.stage(step(), "counts").count() == 7  # this count has a shuffle of its own
+    deadline = time.monotonic() + 20
+    while len({n.split("_")[1] for n in shuffles() - before}) > 1 and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert len({n.split("_")[1] for n in shuffles() - before}) <= 1
+    assert CLEAN_UP not in spark.conf.getAll
+    scratch.release()
+
+
 def test_month_names(spark):
     names = [r[0] for r in spark.range(1, 13).select(month_name(F.col("id").cast("int"))).collect()]
     assert names[0] == "January" and names[11] == "December"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,6 +88,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written in this block takes its shuffle files along when it is done.
+
+    Else they stay until the driver collects its garbage, so that a job of many
+    written steps holds the shuffles of all of them. A write has shuffles of its
+    own, which nothing reads later. The session's own choice, if any, stands.
+    """
+    if CLEAN_UP in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP)
+
+
 class Scratch:
     """Staged tables of one job, deleted together (or one by one) when it is done."""
 
@@ -101,7 +124,8 @@ class Scratch:
         return self._stage_at(df, self.path(name))
 
     def _stage_at(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+        with short_lived_shuffles(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self, path: str | None = None) -> None:
