@@ -5,7 +5,7 @@ import random
 import cases
 import numpy as np
 from pyspark.sql import functions as F
-from tripledger.llm import language, quality, toxicity
+from tripledger.llm import common, language, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,6 +48,21 @@ def test_language_of_odd_texts(spark):
     assert language.identify(cases.table(spark, [(1, "abc")]), one).first()["lang_pred"] == "en"
 
 
+def test_samples_are_bounded_whatever_the_ids(spark):
+    """A third of all rows share one id, and some rows come very often."""
+    rows = [(7, f"text number {k}", "en") for k in range(3000)] + [(k, f"other {k}", "en") for k in range(3000)]
+    rows += [(9, "the same", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, counts = common.balanced_sample(docs, "lang", "doc_id", "text", most=900)
+    assert counts == {"en": 9000}
+    found = [tuple(r) for r in sample.distinct().collect()]
+    shared = sum(i == 7 for i, _, _ in found)
+    assert 450 < len(found) < 750 and 220 < shared < 390
+    few = common.few_of_each(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in few}[7] == common.TEXTS_PER_ID
+    assert max(r["count"] for r in few) == common.TEXTS_PER_ID and len(few) == 3000
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 5, 6, 30):
         code = language.code_words(n)

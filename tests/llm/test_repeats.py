@@ -62,6 +62,18 @@ def test_removed_bytes_at_hot_anchors(spark, monkeypatch):
         assert Counter(tuple(r)[:5] for r in rows) == Counter(brute(made))
 
 
+def test_rows_that_come_very_often(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SLOT_BYTES", 1 << 14)
+    monkeypatch.setattr(repeats, "MANY", 20)
+    made = shared(1)
+    long = next(t for _, t in made if t and len(t) > 500)
+    made += [made[2]] * 300 + [(None, long)] * 90 + [(9000, long)] * 50 + [(9001, "é" * 70)] * 30
+    docs = cases.table(spark, made)
+    rows = repeats.without_repeats(docs, "lang").drop("kept").collect()
+    assert Counter(tuple(r)[:5] for r in rows) == Counter(brute(made))
+    assert all(r["lang"] == ("en" if (r["doc_id"] or 0) % 2 else None) for r in rows)
+
+
 def test_segments_of_a_hot_anchor_part(spark, monkeypatch):
     """One phrase between varying words: its distinct segments do not meet in one bucket."""
     monkeypatch.setattr(repeats, "SLOT_BYTES", 1 << 14)

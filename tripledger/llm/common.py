@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripledger.session import Scratch
@@ -150,9 +150,26 @@ def hashed_grams(data: np.ndarray, size: int, bits: int) -> np.ndarray:
     return h >> np.uint32(32 - bits)
 
 
-def balanced_sample(rows: DataFrame, label: str, key: str, most: int) -> tuple[DataFrame, dict]:
+#: Texts that one id gives to a sample of labelled ids.
+TEXTS_PER_ID = 8
+
+
+def few_of_each(rows: DataFrame, most: int = TEXTS_PER_ID) -> DataFrame:
+    """At most ``most`` rows of each ``doc_id``, by a hash of ``text``.
+
+    Rows beyond that are dropped before the shuffle, so an id with very many
+    rows gathers no more than ``most`` from each task.
+    """
+    nth = fresh(rows, "nth")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= most).drop(nth)
+
+
+def balanced_sample(rows: DataFrame, label: str, *key: str, most: int) -> tuple[DataFrame, dict]:
     """About ``most`` rows for each value of ``label``, chosen by a hash of ``key``.
 
+    ``key`` should tell rows apart, since rows of one key are drawn or left together.
+
     Returns the sample and the count of all rows by value. Values with fewer
     rows are kept whole. The rates follow the counts of all rows, so the
     sample's size does not grow with the input.
@@ -163,5 +180,5 @@ def balanced_sample(rows: DataFrame, label: str, key: str, most: int) -> tuple[D
     rate = F.create_map(
         *(F.lit(x) for value, n in sorted(counts.items()) for x in (value, min(1.0, most / n)))
     )
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
+    drawn = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
     return rows.where(drawn < rate[F.col(label)]), counts

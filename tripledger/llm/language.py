@@ -137,10 +137,12 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Lang
     """Fit on ``doc_id``, ``text`` and non-null ``lang``.
 
     About ``rows_per_language`` rows of each language are used, chosen by a hash
-    of the id; their texts stay on the executors, which return n-gram counts
+    of id and text, repeated rows once; their texts stay on the executors, which return n-gram counts
     and margins only.
     """
-    sample, counts = balanced_sample(labelled, "lang", "doc_id", rows_per_language)
+    labelled = labelled.select("doc_id", "text", "lang")
+    sample, counts = balanced_sample(labelled, "lang", "doc_id", "text", most=rows_per_language)
+    sample = sample.distinct()
     languages = sorted(counts)
     code = code_words(len(languages))
     if not code.shape[1]:

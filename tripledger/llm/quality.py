@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.common import (
     balanced_sample,
+    few_of_each,
     hashed_grams,
     map_batches,
     read_table,
@@ -137,8 +138,8 @@ def fit(
     """Fit on documents with a rating.
 
     A document that is rated more than once counts with its highest rating; null
-    ratings are left out. About ``rows_per_grade`` rows of each grade, chosen by
-    a hash of the id, are drawn; features are made where the texts are. Without
+    ratings are left out. About ``rows_per_grade`` ids of each grade, chosen by
+    a hash of the id, are drawn, of each ``TEXTS_PER_ID`` texts at most; features are made where the texts are. Without
     ratings, or with one grade only, every document gets that grade.
     """
     known = (
@@ -146,7 +147,7 @@ def fit(
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(grade).cast("int").alias("grade"))
     )
-    sample, counts = balanced_sample(known, "grade", "doc_id", rows_per_grade)
+    sample, counts = balanced_sample(known, "grade", "doc_id", most=rows_per_grade)
 
     def rows(batch: pa.RecordBatch):
         made = [features(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
@@ -157,6 +158,7 @@ def fit(
 
     # The sample is bounded, so it may be broadcast to where the texts are.
     joined = texts_of(documents).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
+    joined = few_of_each(joined)
     found = sorted(
         map_batches(joined, rows, "doc_id long, grade int, x binary").collect(),
         key=lambda r: (r["doc_id"], r["x"]),

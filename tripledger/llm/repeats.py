@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import read_table, texts_of
+from tripledger.llm.common import broadcast_within, fresh, read_table, texts_of
+from tripledger.session import Scratch
 
 LENGTH = 50
 ANCHOR = 20
@@ -708,6 +709,8 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: Rows of one id and text up to which a slot takes them as they are.
+MANY = 1_000
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
@@ -720,7 +723,34 @@ def without_repeats(documents: DataFrame, *others: str) -> DataFrame:
     without those of characters that were cut in part. Null texts are empty.
     Rows with a null id are smaller than none and keep all. Rows with one id
     never remove from each other. An empty table gives an empty result.
+
+    Rows of one id and text have one result. One row stands for them all where
+    there are more than ``MANY``, so that no slot has to hold them.
     """
+    docs = texts_of(documents, *others)
+    same = fresh(docs, "same")
+    docs = docs.withColumn(
+        same, F.struct("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
+    )
+    many = docs.groupBy(same).agg(F.count("*").alias("rows")).where(F.col("rows") > MANY).select(same)
+    number = many.count()
+    if not number:
+        return _cut(docs.drop(same), *others)
+    scratch = Scratch(documents.sparkSession, "repeats")
+    many = broadcast_within(scratch.stage(many, "many"), number)
+    copies = docs.join(many, same, "left_semi").withColumn(same, F.to_json(same))
+    one = copies.groupBy(same).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    rest = docs.join(many, same, "left_anti").withColumn(same, F.lit(None).cast("string"))
+    each = rest.unionByName(one, allowMissingColumns=True)
+    cut = scratch.stage(_cut(each, *others, same), "cut")
+    stood = broadcast_within(cut.where(F.col(same).isNotNull()).drop(*others), number)
+    return cut.where(F.col(same).isNull()).drop(same).unionByName(
+        copies.select(same, *others).join(stood, same).drop(same)
+    )
+
+
+def _cut(documents: DataFrame, *others: str) -> DataFrame:
+    """``without_repeats`` of documents none of which comes in very many rows."""
     slots, buckets, spread = _setting(documents, *others)
     masks = _shared_anchors(slots, buckets)
     spans = (

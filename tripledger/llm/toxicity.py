@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.common import (
     balanced_sample,
+    few_of_each,
     hashed_grams,
     map_batches,
     pieces_of,
@@ -194,13 +195,14 @@ def fit(
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    sample, counts = balanced_sample(known, "toxic", "doc_id", rows_per_class)
+    sample, counts = balanced_sample(known, "toxic", "doc_id", most=rows_per_class)
     total = sum(counts.values())
     if len(counts) < 2:
         share = 0.0 if not total else float(max(counts))
         return ToxicityModel(np.zeros(len(SIZES) << BITS, np.float32), 20.0 * (share - 0.5))
     # The sample is bounded, so it may be broadcast to where the texts are.
-    rows = texts_of(documents).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text")
+    rows = few_of_each(texts_of(documents).join(F.broadcast(sample), "doc_id"))
+    rows = rows.orderBy("doc_id", "text")
     texts, wanted = [], []
     for row in rows.collect():
         texts.append(row["text"])
