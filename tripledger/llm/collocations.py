@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import pieces_of, read_table, texts_of
-from tripledger.session import Scratch
+from tripledger.session import Scratch, short_lived_shuffles
 
 LEAST = 100
 LONGEST = 5
@@ -41,6 +41,8 @@ UNKNOWN = "und"
 SHARDS = 2
 #: Bytes of text in one row of a shard; a longer text has a row of its own.
 PIECE = 1 << 21
+#: Shards and state are read a few times only, so small files are worth more than fast ones.
+PACKING = "zstd"
 #: Bits of the table of frequent phrases: 8 MB.
 BITS = 1 << 26
 
@@ -53,7 +55,7 @@ SCORE = (
     "(CAST(a AS DECIMAL(17,0)) * CAST(n AS DECIMAL(16,0)) * 1000BD) "
     "DIV (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
 )
-SHARD_ROWS = "shard int, lang string, words long, vocabulary array<string>, hashes binary, ids binary"
+SHARD_ROWS = "shard int, lang string, words long, vocabulary array<string>, ids binary"
 FOUND = "lang string, size int, phrase string, n long"
 KNOWN = "lang string, size int, phrase string, n long, step int"
 SLOTS = "slot int, mask long"
@@ -97,10 +99,9 @@ def shards(documents: DataFrame, count: int = SHARDS) -> DataFrame:
                             pa.array([lang]),
                             pa.array([int((ids >= 0).sum())]),
                             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                            pa.array([_word_hashes(words.to_pylist(), lang).tobytes()]),
                             pa.array([ids.tobytes()], pa.binary()),
                         ],
-                        ["shard", "lang", "words", "vocabulary", "hashes", "ids"],
+                        ["shard", "lang", "words", "vocabulary", "ids"],
                     )
 
     held = texts_of(documents, "lang").withColumn("lang", F.coalesce("lang", F.lit(UNKNOWN)))
@@ -235,9 +236,10 @@ def _scan(rows: DataFrame, shared: Broadcast, words_too: bool, longest: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                lang, own, ids = (batch.column(c)[k].as_py() for c in ("lang", "hashes", "ids"))
-                own, ids = np.frombuffer(own, np.uint64), np.frombuffer(ids, np.int32)
+                lang, ids = (batch.column(c)[k].as_py() for c in ("lang", "ids"))
+                ids = np.frombuffer(ids, np.int32)
                 words = batch.column("vocabulary").slice(k, 1).flatten()
+                own = _word_hashes(words.to_pylist(), lang)
                 for size, phrases, n in counted(words, own, ids, *shared.value, words_too, longest):
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -249,7 +251,13 @@ def _scan(rows: DataFrame, shared: Broadcast, words_too: bool, longest: int) ->
                         ["lang", "size", "phrase", "n"],
                     )
 
-    return rows.select("lang", "vocabulary", "hashes", "ids").mapInArrow(run, FOUND)
+    return rows.select("lang", "vocabulary", "ids").mapInArrow(run, FOUND)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with short_lived_shuffles(df.sparkSession):
+        df.write.option("compression", PACKING).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def phrase_counts(
@@ -300,7 +308,7 @@ def phrase_counts(
         )
         total = reduce(add, [F.coalesce(F.col(c), F.lit(0)) for c in held])
         newer = scratch.path("state")
-        state = scratch._stage_at(sums.select("lang", "size", "phrase", *held), newer)
+        state = _written(sums.select("lang", "size", "phrase", *held), newer)
         shared.destroy()
         if path is not None:
             scratch.release(path)
@@ -348,7 +356,7 @@ def collocations(
     scratch = Scratch(spark, "collocations")
     path = scratch.path("shards")
     made = shards(documents, count).write.option("parquet.block.size", 1 << 24)
-    made.partitionBy("shard").parquet(path)
+    made.partitionBy("shard").option("compression", PACKING).parquet(path)
     rows = spark.read.schema(SHARD_ROWS).parquet(path)
     known = scratch.stage(phrase_counts(rows, scratch, least, longest, count, bits), "counts")
     total = rows.groupBy("lang").agg(F.sum("words").alias("n"))
