@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import planted_trips
-from tripledger.models import bundle, hybrid
+from tripledger.models import bundle, hybrid, recurrent
 from tripledger.models.lagged import fit_lagged
 from tripledger.models.recurrent import Reservoir, fit_recurrent
 from tripledger.models.sequence import scaled_step
@@ -89,6 +90,31 @@ def test_hybrid_with_a_recurrent_part_is_saved_and_forecasts(spark):
     assert hybrid.evaluate(model, ranked).first().rmse > 0
 
 
+def test_a_batch_is_scored_without_the_inputs_of_all_its_steps(spark, monkeypatch):
+    """A task holds the inputs of one step of ``WINDOWS`` windows, however many a batch has."""
+    monkeypatch.setattr(recurrent, "WINDOWS", 50)
+    wanted = []
+    inputs = recurrent._inputs
+    monkeypatch.setattr(
+        recurrent, "_inputs", lambda *a: wanted.append(len(a[2])) or inputs(*a)
+    )
+    monkeypatch.setattr(recurrent, "arrow_udf", lambda kind: lambda score: wanted_of(score))
+    batch = pa.array(
+        [[{"y": 0.1 * k, "duration": 0.2, "home_idx": k % 2, "dest_idx": None}] * 10 for k in range(230)],
+        pa.list_(pa.struct([("y", pa.float64()), ("duration", pa.float64()), ("home_idx", pa.int32()), ("dest_idx", pa.int32())])),
+    )
+
+    def wanted_of(score):
+        assert len(score(batch)) == 230
+        return lambda column: F.lit(0.0)
+
+    step, state = Reservoir(units=4).draw(2)
+    scaler = MinMax.fit(chaotic(spark, 80).rows, ["AA", "BB"])
+    model = recurrent.RecurrentModel(step, state, np.ones(7), 10, ("AA", "BB"), scaler)
+    model.transform(spark.range(1).withColumn("history", F.lit(0)))
+    assert wanted and max(wanted) <= 50
+
+
 def test_without_countries_and_with_too_few_rows(spark):
     ranked = chaotic(spark, 80)
     scaler = MinMax.fit(ranked.rows, [])

@@ -12,7 +12,7 @@ all windows of a batch take a step together.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from tripledger.operators.gram import summed_matrix
 from tripledger.operators.scaling import MinMax
 from tripledger.operators.windows import SEQUENCE_LENGTH
 
-#: Windows whose states a task holds at once.
+#: Windows whose states a task holds at once; one step of all of them is some 3 MB.
 WINDOWS = 4096
 
 
@@ -60,11 +60,14 @@ def _inputs(step: np.ndarray, codes: int, y, duration, home, dest) -> np.ndarray
     return out
 
 
-def _features(inputs: np.ndarray, first: np.ndarray, length: int, state: np.ndarray, last) -> np.ndarray:
-    """A one, the last state and the last step's numbers of the windows that begin at ``first``."""
+def _features(inputs: Callable, first: np.ndarray, length: int, state: np.ndarray, last) -> np.ndarray:
+    """A one, the last state and the last step's numbers of the windows that begin at ``first``.
+
+    ``inputs`` gives the inputs of the rows it is asked for.
+    """
     h = np.zeros((len(first), len(state)))
     for k in range(length):
-        h = np.tanh(inputs[first + k] + h @ state)
+        h = np.tanh(inputs(first + k) + h @ state)
     numbers = [column[first + length - 1] for column in last]
     return np.column_stack([np.ones(len(first)), h, *numbers])
 
@@ -92,7 +95,12 @@ class RecurrentModel:
                 name: flat.field(name).fill_null(-1).to_numpy(zero_copy_only=False)
                 for name in ("y", "duration", "home_idx", "dest_idx")
             }
-            inputs = _inputs(step, codes, *columns.values())
+            values = tuple(columns.values())
+
+            def inputs(at: np.ndarray) -> np.ndarray:
+                # A batch holds many more steps than windows: never the inputs of all.
+                return _inputs(step, codes, *(v[at] for v in values))
+
             out = []
             for at in range(0, len(history), WINDOWS):
                 first = np.arange(at, min(at + WINDOWS, len(history))) * length
@@ -159,7 +167,7 @@ def fit_recurrent(
             inputs = _inputs(step, codes, *values)
             for at in range(0, len(after), WINDOWS):
                 some = after[at : at + WINDOWS]
-                x = _features(inputs, some - length, length, state, values[:2])
+                x = _features(inputs.__getitem__, some - length, length, state, values[:2])
                 whole = np.column_stack([x, values[0][some]])
                 total += whole.T @ whole
             tail = [c[-length:] for c in joined]
