@@ -109,3 +109,12 @@ def test_amounts_keep_their_type_and_an_empty_store_is_an_error(spark):
         store.append(random_lines(spark, 20, "decimal(18,3)"), "b")
     with pytest.raises(ValueError):
         TripStore(spark, store.path, fan=1)
+
+
+def test_entries_are_written_small(spark):
+    store = TripStore(spark, scratch_path(spark, "store"))
+    assert store.append(random_lines(spark), "one")
+    files = [r.name for r in spark.read.parquet(f"{store.path}/entries/*").select(
+        F.input_file_name().alias("name")
+    ).distinct().collect()]
+    assert files and all(".zstd." in name for name in files)

@@ -108,7 +108,7 @@ class TripStore:
 
     def _write(self, states: DataFrame, level: int, batch: str | None, replaces: list[str]) -> None:
         entry = uuid.uuid4().hex
-        states.write.parquet(f"{self.path}/entries/{entry}")
+        states.write.option("compression", "zstd").parquet(f"{self.path}/entries/{entry}")
         row = (entry, level, batch, replaces, states.schema.json())
         self.spark.createDataFrame([row], _MANIFEST.replace(", saved_at timestamp", "")).withColumn(
             "saved_at", F.current_timestamp()
