@@ -1,13 +1,17 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import cases
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tripledger.llm import packing
+from tripledger.llm import encoding, packing
+from tripledger.llm.common import map_batches
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +115,32 @@ def test_very_long_text(spark, tokenizer):
     made = [(1, cases.prose(rng, 60_000)), (2, "é" * 300_000), (3, "one"), (4, "x " * 100_000)]
     rows = packing.pack(cases.table(spark, made)).collect()
     assert all(n & (n - 1) == 0 for n in check(rows, made, tokenizer))
+
+
+def test_memory_of_the_encoder_does_not_follow_the_batch():
+    rng = random.Random(9)
+    texts = pa.array([cases.prose(rng, 4_000) for _ in range(500)], pa.string())
+    assert texts.nbytes > 1 << 23
+    encoder = encoding.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    list(map(len, encoder.encode(texts[:1], 1)))
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        assert sum(len(starts) - 1 for _, starts in encoder.encode(texts, 1)) == len(texts)
+        held = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+    assert held < 64 << 20
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    def seen(batch):
+        sizes = [pa.array([batch.num_rows]), pa.array([batch.nbytes])]
+        yield pa.RecordBatch.from_arrays(sizes, ["n", "size"])
+
+    long = spark.range(0, 9_000, 1, 1).select("id", F.repeat(F.lit("x"), 3_000).alias("text"))
+    rows = map_batches(long, seen, "n long, size long").collect()
+    assert sum(r["n"] for r in rows) == 9_000
+    assert max(r["size"] for r in rows) < 5 << 20

@@ -20,8 +20,9 @@ from tripledger.llm.common import pieces_of
 
 #: Parts that a worker remembers at most; beyond that those not seen lately go.
 KNOWN = 400_000
-#: Bytes of text that are encoded at once; a longer text stands alone.
-PIECE = 1 << 23
+#: Bytes of text that are encoded at once; a longer text stands alone. What a worker holds
+#: besides its batch and its known parts is some 25 times that.
+PIECE = 1 << 21
 
 # How the tokenizer parts a text of these characters.
 PLAIN_WORD = "^[!-~À-ÖØ-öø-ÿ]+$"
@@ -39,8 +40,9 @@ def gathered(
     """
     number = count[index]
     upto = np.concatenate([[0], np.cumsum(number)])
-    shift = (np.cumsum(count) - count)[index] - upto[:-1]
-    return store[np.repeat(shift, number) + np.arange(upto[-1])], upto
+    at = np.repeat((np.cumsum(count) - count)[index] - upto[:-1], number)
+    at += np.arange(upto[-1])
+    return store[at], upto
 
 
 def _plain(words: pa.Array) -> pa.Array:
@@ -111,14 +113,18 @@ class Encoder:
         texts = texts.cast(pa.string())
         size = pc.binary_length(texts).to_pylist()
         for a, b in pieces_of(size, PIECE, int):
-            split = pc.ascii_split_whitespace(texts.slice(a, b - a))
-            each = split.flatten().dictionary_encode()
-            store, count = self._words(each.dictionary)
-            ids, upto = gathered(store, count, each.indices.to_numpy(zero_copy_only=False))
-            offsets = split.offsets.to_numpy(zero_copy_only=False)
-            close = upto[offsets[1:] - offsets[0]]
-            starts = np.concatenate([[0], close + np.arange(1, b - a + 1)])
-            yield np.insert(ids, close, end).astype("<u4"), starts
+            yield self._piece(texts.slice(a, b - a), end)
+
+    def _piece(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy(zero_copy_only=False)
+        each = split.flatten().dictionary_encode()
+        del split  # the words themselves are not needed again
+        store, count = self._words(each.dictionary)
+        ids, upto = gathered(store, count, each.indices.to_numpy(zero_copy_only=False))
+        close = upto[offsets[1:] - offsets[0]]
+        starts = np.concatenate([[0], close + np.arange(1, len(texts) + 1)])
+        return np.insert(ids, close, end).astype("<u4", copy=False), starts
 
 
 _ENCODERS: dict[str, Encoder] = {}

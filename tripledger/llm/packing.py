@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.common import map_batches, read_table, texts_of
 from tripledger.llm.encoding import encoder
-from tripledger.session import Scratch
+from tripledger.session import Scratch, bounded_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -299,6 +299,7 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
                     columns, [name.split()[0] for name in PIECES.split(", ")]
                 )
 
+    bounded_batches(documents.sparkSession)
     return _hashed(documents).mapInArrow(run, PIECES)
 
 
