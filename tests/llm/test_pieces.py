@@ -57,6 +57,19 @@ def test_full_memory_starts_anew(model, monkeypatch):
     assert machine.encode(text).tolist() == model.encode(text)
 
 
+def test_parts_that_no_piece_connects_are_walked_once(model, monkeypatch):
+    """Words of known parts in new company (punctuation, lines) are not walked again."""
+    machine, rng = pieces.Transducer(PATH), random.Random(3)
+    walked = []
+    path = machine.shortest_path
+    monkeypatch.setattr(machine, "shortest_path", lambda part: walked.append(part) or path(part))
+    names = [cases.prose(rng, 1) for _ in range(30)]
+    text = " ".join(f"{rng.choice(names)}.\n{rng.choice(names)}" for _ in range(600))
+    assert machine.encode(text).tolist() == model.encode(text)
+    assert len(walked) == len(set(walked)) <= 2 * len(names) + 10
+    assert all(machine.merged(piece) == [piece] for piece in machine.ids)
+
+
 def test_operator_on_odd_documents(spark, model):
     made = cases.rows()
     rows = pieces.encode_and_decode(cases.table(spark, made)).collect()

@@ -31,8 +31,9 @@ from tripledger.llm.common import map_batches, pieces_of, read_table, texts_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 INFINITE = float("inf")
-#: What a worker remembers: words, and neighbours of pieces.
+#: What a worker remembers: words, their parts, and neighbours of pieces.
 WORDS = 400_000
+PARTS = 400_000
 NEIGHBOURS = 400_000
 LONG_WORD = 64
 PIECE = 1 << 20
@@ -57,12 +58,21 @@ class Transducer:
                 self.ids[piece], self.weight[piece] = k, -model.get_score(k)
                 self.spelled[k] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids))
-        self.beginnings = {piece[:k] for piece in self.ids for k in range(1, len(piece))}
+        #: The pieces machine: a state is its arcs by character; the empty one marks a piece's end.
+        self.start: dict[str, dict] = {}
+        for piece in self.ids:
+            state = self.start
+            for character in piece:
+                state = state.setdefault(character, {})
+            state[""] = {}
+        #: Neighbours inside a piece. No piece and no merge spans any others, so words are cut there.
+        self.inside = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             self.words = re.compile(r".+", re.DOTALL)
         else:
             self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.meets: dict[tuple[str, str], bool] = {}
 
     def normalise(self, text: str) -> str:
@@ -86,24 +96,24 @@ class Transducer:
         return parts
 
     def neighbours(self, left: str, right: str) -> bool:
-        """Whether the merge-order machine lets one piece follow another."""
+        """Whether the merge-order machine lets one piece follow another, or begin."""
         pair = (left, right)
         found = self.meets.get(pair)
         if found is None:
             if len(self.meets) >= NEIGHBOURS:
                 self.meets.clear()
-            found = self.meets[pair] = self.merged(left + right) == [left, right]
+            found = self.meets[pair] = self.merged(left + right) == [left, right][not left :]
         return found
 
     def arcs(self, word: str, start: int) -> list[int]:
         """Ends of the pieces that begin there, the longest last; else of a byte path."""
-        out = []
-        for end in range(start + 1, min(len(word), start + self.longest) + 1):
-            text = word[start:end]
-            if text in self.weight:
-                out.append(end)
-            if text not in self.beginnings:
+        out, state = [], self.start
+        for end, character in enumerate(word[start : start + self.longest], start + 1):
+            state = state.get(character)
+            if state is None:
                 break
+            if "" in state:
+                out.append(end)
         return out if word[start] in self.weight else [start + 1]
 
     def shortest_path(self, word: str) -> bytes:
@@ -125,7 +135,7 @@ class Transducer:
                 piece = word[at:end]
                 if piece not in self.weight:
                     piece = ""
-                if not dead[end] and (not before or not piece or self.neighbours(before, piece)):
+                if not dead[end] and (not piece or self.neighbours(before, piece)):
                     path.append((at, piece))
                     at, before = end, piece
                     open_arcs.append(self.arcs(word, at) if at < n else [])
@@ -143,12 +153,32 @@ class Transducer:
                 out += [self.byte_ids[b] for b in word[start].encode()]
         return array("i", out).tobytes()
 
+    def path_by_parts(self, word: str) -> bytes:
+        """The shortest path, put together from those of the parts that no piece connects."""
+        inside, cuts = self.inside, [0]
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in inside:
+                cuts.append(k)
+        cuts.append(len(word))
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = word[a:b]
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.shortest_path(part)
+                if len(part) <= LONG_WORD:
+                    if len(self.parts) >= PARTS:
+                        self.parts.clear()
+                    self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, text: str) -> np.ndarray:
         out = []
         for word in self.words.findall(self.normalise(text)):
             ids = self.known.get(word)
             if ids is None:
-                ids = self.shortest_path(word)
+                ids = self.path_by_parts(word)
                 if len(word) <= LONG_WORD:
                     if len(self.known) >= WORDS:
                         self.known.clear()
