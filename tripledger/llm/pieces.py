@@ -107,14 +107,17 @@ class Transducer:
 
     def arcs(self, word: str, start: int) -> list[int]:
         """Ends of the pieces that begin there, the longest last; else of a byte path."""
-        out, state = [], self.start
-        for end, character in enumerate(word[start : start + self.longest], start + 1):
-            state = state.get(character)
-            if state is None:
+        if word[start] not in self.weight:
+            return [start + 1]
+        out, state, end = [], self.start, start
+        for character in word[start : start + self.longest]:
+            if character not in state:
                 break
+            state = state[character]
+            end += 1
             if "" in state:
                 out.append(end)
-        return out if word[start] in self.weight else [start + 1]
+        return out
 
     def shortest_path(self, word: str) -> bytes:
         """Ids of a normalised word as native 32-bit integers.
@@ -125,6 +128,7 @@ class Transducer:
         first, is the shortest.
         """
         n, at, before = len(word), 0, ""
+        weight, met = self.weight, self.meets.get
         path: list[tuple[int, str]] = []
         dead = [False] * (n + 1)
         open_arcs = [self.arcs(word, 0)] if n else []
@@ -132,10 +136,15 @@ class Transducer:
             arcs = open_arcs[-1]
             while arcs:
                 end = arcs.pop()
+                if dead[end]:
+                    continue
                 piece = word[at:end]
-                if piece not in self.weight:
+                if piece not in weight:
                     piece = ""
-                if not dead[end] and (not piece or self.neighbours(before, piece)):
+                follows = not piece or met((before, piece))
+                if follows is None:
+                    follows = self.neighbours(before, piece)
+                if follows:
                     path.append((at, piece))
                     at, before = end, piece
                     open_arcs.append(self.arcs(word, at) if at < n else [])
